@@ -18,6 +18,7 @@ null; an empty table gives an empty result; only doc_id and text are read.
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Iterator
 
@@ -114,13 +115,18 @@ class PieceTrie:
             before = word
 
 
+@functools.cache
+def _worker_trie(vocabulary: str) -> PieceTrie:
+    """One a Python worker: its terminals serve all tasks that the worker runs."""
+    return PieceTrie(load_pieces(vocabulary))
+
+
 def token_counts(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
     """doc_id, n_words, n_tokens: one row per row of ``docs``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = None
         for batch in batches:
-            trie = trie or PieceTrie(load_pieces(vocabulary))
+            trie = _worker_trie(vocabulary)
             data, offsets = tx.doc_bytes(batch.column(1))
             words, tokens = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for i, j in tx.doc_slices(offsets, SLICE_BYTES):
