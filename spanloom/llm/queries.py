@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm.jaccard_join import jaccard_components
+from spanloom.llm.packing import pack
+from spanloom.llm.pfor import token_files
 from spanloom.llm.quality import quality
 from spanloom.llm.token_counts import token_counts
 
@@ -23,15 +25,25 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), shingle=3, percent=90)
 
 
+def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op4_ngram_jaccard": op4_ngram_jaccard,
+        "op5_mixture_packing": op5_mixture_packing,
         "op9_quality_divergence": op9_quality_divergence,
+        "op10_token_files": op10_token_files,
     }
 
 
