@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanloom.llm.byte_bpe import byte_bpe
 from spanloom.llm.jaccard_join import jaccard_components
 from spanloom.llm.packing import pack
 from spanloom.llm.pfor import token_files
@@ -29,6 +30,10 @@ def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -42,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_mixture_packing": op5_mixture_packing,
+        "op7_byte_bpe": op7_byte_bpe,
         "op9_quality_divergence": op9_quality_divergence,
         "op10_token_files": op10_token_files,
     }
