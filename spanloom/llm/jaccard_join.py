@@ -128,15 +128,16 @@ def choose_matches(df_in_order: np.ndarray, base: int, n: int) -> int:
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """doc_id, n, matches (l) and the prefix shingles in order, as signed longs."""
+    """doc_id, n, cls, matches (l) and the prefix shingles in order, as signed longs."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # fixed size
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            n, matches, rows = np.zeros(batch.num_rows, np.int64), np.ones(batch.num_rows, np.int32), []
+            n, matches, rows, cls = np.zeros(batch.num_rows, np.int64), np.ones(batch.num_rows, np.int32), [], []
             for row, members in _sets(batch.column(1), shingle):
                 n[row] = size = len(members)
+                cls.append(_class_key(members))
                 if not size:
                     rows.append(members)
                     continue
@@ -149,13 +150,13 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, shingle: int, percent: int) ->
             first = np.zeros(len(rows) + 1, np.int64)
             np.cumsum([len(x) for x in rows], out=first[1:])
             flat = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(matches), tx.list_array(flat.view(np.int64), first, pa.int64())], names=["doc_id", "n", "matches", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls, pa.binary()), pa.array(matches), tx.list_array(flat.view(np.int64), first, pa.int64())], names=["doc_id", "n", "cls", "matches", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, n long, matches int, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, n long, cls binary, matches int, prefix array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(cls, members) of the classes in ``wanted`` (cls, rep): the texts are scanned, only wanted sets are sent on."""
+    """(id, members) of the classes in ``wanted`` (id, cls, rep): the texts are scanned, only wanted sets are sent on."""
     spark = docs.sparkSession
     bit = F.pmod(F.xxhash64("rep"), F.lit(BITMAP_BITS))
     placed = lambda df: df.withColumn("b", bit).withColumns({"bucket": F.bitmap_bucket_number("b"), "at": F.bitmap_bit_position("b")}).drop("b")
@@ -183,13 +184,13 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
     found = placed(docs.select(F.col("doc_id").cast("long").alias("rep"), "text")).mapInArrow(scan, "rep long, cls binary, members array<long>")
     # one row a class, though ids may repeat in the input
-    return found.join(wanted.select("rep", "cls"), ["rep", "cls"], "left_semi").dropDuplicates(["cls"]).select("cls", "members")
+    return found.alias("f").join(wanted.alias("w"), F.col("f.rep").eqNullSafe(F.col("w.rep")) & (F.col("f.cls") == F.col("w.cls"))).select("w.id", "f.members").dropDuplicates(["id"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sets reach the threshold."""
-    left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("ma")), "a")
-    both = left.join(sets.select(F.col("cls").alias("b"), F.col("members").alias("mb")), "b").select("a", "b", "ma", "mb")
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b").select("a", "b", "ma", "mb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +202,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good[k] = 100 * both_n >= percent * (len(x) + len(y) - both_n)
             yield batch.select([0, 1]).filter(pa.array(good))
 
-    return both.mapInArrow(check, "a binary, b binary")
+    return both.mapInArrow(check, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
@@ -215,9 +216,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
     scanned = materialize(document_sets(docs, shingle), "sets")
     members = scanned.where("part IS NULL").select("doc_id", "n", "cls")
     sketch = frequency_sketch(scanned.where("part IS NOT NULL").select("part", "counts"))
-    classes = materialize(members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
+    classes = members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # the written id is what all later steps read
     labels = _link_classes(docs, classes, sketch, shingle, percent)
-    named = labels.join(classes, labels.node == classes.cls).select("cls", "component", "rep")
+    named = labels.join(classes, labels.node == classes.id).select("cls", "component", "rep")
     names = named.groupBy("component").agg(F.min("rep").alias("least"))
     by_class = classes.select("cls", "rep").join(named.join(names, "component").select("cls", "least"), "cls", "left").select("cls", F.coalesce("least", "rep").alias("least"))
     full, empty = members.where("n > 0"), members.where("n = 0")
@@ -225,40 +227,51 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
     return out.union(empty.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def _enough_shared(pairs: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share enough prefix shingles to be links at all.
+
+    In the prefixes for the smaller l of the two, l shingles. In the whole prefixes, as many as the
+    overlap that the pair's sizes ask for, less the longer of the two rests: a common shingle that is
+    not in both prefixes lies in the rest of the set whose prefix ends first.
+    """
+    side = lambda k: prefix.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("matches").alias(f"m{k}"), F.col("prefix").alias(f"p{k}"))
+    matches = F.least("ma", "mb")
+    cut = lambda k: F.slice(f"p{k}", 1, (F.col(f"n{k}") - F.ceil(F.lit(percent) * F.col(f"n{k}") / 100)).cast("int") + matches)
+    overlap = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
+    rest = F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where((F.size(F.array_intersect(cut("a"), cut("b"))) >= matches) & (F.size(F.array_intersect("pa", "pb")) >= overlap - rest)).select("a", "b")
+
+
 def _link_classes(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """(node, component) of all classes that have a link."""
+    """(node, component) of the ids of all classes that have a link."""
     prefix = prefixes(docs, sketch, shingle, percent).where("n > 0")
-    prefix = materialize(prefix.join(classes.select("cls", F.col("rep").alias("doc_id"), F.col("n").alias("size")), "doc_id").where("n = size").dropDuplicates(["cls"]).select("cls", "n", "matches", "prefix"), "prefixes")
-    posting = prefix.select("cls", "n", F.explode("prefix").alias("token"))
+    of = classes.select("id", "rep", F.col("cls").alias("key"))
+    prefix = materialize(prefix.join(of, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("cls") == F.col("key"))).dropDuplicates(["id"]).select("id", "n", "matches", "prefix"), "prefixes")
+    posting = prefix.select(F.explode("prefix").alias("token"), "id", "n")
     shared = posting.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
     lists = materialize(posting.join(shared, "token"), "lists")
-    listed = lists.select("cls").distinct()
-    wanted = classes.join(listed, "cls", "left_semi").select("cls", "rep")
-    sets = materialize(sets_of(docs, wanted, shingle), "members")
-    labels, open_lists, leaders_a_list = None, lists.select("token", "cls", "n", F.col("cls").alias("component"), F.lit(1).alias("comp_size")), FIRST_LEADERS
+    labels, open_lists, leaders_a_list = None, lists.select("token", "id", "n", F.col("id").alias("component"), F.lit(1).alias("comp_size")), FIRST_LEADERS
     while True:
         # leaders: in each part of a list, a class of the smallest component so far
-        part = F.pmod(F.xxhash64("cls", "token"), F.lit(leaders_a_list))
-        lead = open_lists.groupBy("token", part.alias("part")).agg(F.min(F.struct("comp_size", F.xxhash64("cls").alias("h"), "cls", "n", "component")).alias("l"))
-        lead = lead.select("token", F.col("l.cls").alias("leader"), F.col("l.n").alias("ln"), F.col("l.component").alias("lcomponent"))
-        near = (F.col("cls") != F.col("leader")) & (F.col("component") != F.col("lcomponent")) & (100 * F.least("n", "ln") >= percent * F.greatest("n", "ln"))
-        pairs = open_lists.join(lead, "token").where(near).select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
-        # enough shared prefix shingles, in the prefixes of the smaller number of matches
-        head = lambda side: prefix.select(F.col("cls").alias(side), F.col("n").alias(f"n{side}"), F.col("matches").alias(f"m{side}"), F.col("prefix").alias(f"p{side}"))
-        need = F.least("ma", "mb")
-        cut = lambda side: F.slice(f"p{side}", 1, (F.col(f"n{side}") - F.ceil(F.lit(percent) * F.col(f"n{side}") / 100)).cast("int") + need)
-        pairs = pairs.join(head("a"), "a").join(head("b"), "b").where(F.size(F.array_intersect(cut("a"), cut("b"))) >= need).select("a", "b")
-        links = _verify(pairs, sets, percent)
+        part = F.pmod(F.xxhash64("id", "token"), F.lit(leaders_a_list))
+        lead = open_lists.groupBy("token", part.alias("part")).agg(F.min(F.struct("comp_size", F.xxhash64("id").alias("h"), "id", "n", "component")).alias("l"))
+        lead = lead.select("token", F.col("l.id").alias("leader"), F.col("l.n").alias("ln"), F.col("l.component").alias("lcomponent"))
+        near = (F.col("id") != F.col("leader")) & (F.col("component") != F.col("lcomponent")) & (100 * F.least("n", "ln") >= percent * F.greatest("n", "ln"))
+        pairs = open_lists.join(lead, "token").where(near).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+        pairs = materialize(_enough_shared(pairs, prefix, percent), "pairs")
+        wanted = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id").select("id", "cls", "rep")
+        links = _verify(pairs, materialize(sets_of(docs, wanted, shingle), "members"), percent)
         if labels is not None:  # earlier links, as stars
             links = links.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
         labels = connected_components(links)
         sizes = labels.groupBy("component").agg(F.count("*").alias("comp_size"))
-        labelled = labels.join(sizes, "component").select(F.col("node").alias("cls"), "component", "comp_size")
-        rest = open_lists.select("token", "cls", "n").join(lead.select("token", F.col("leader").alias("cls")), ["token", "cls"], "left_anti")
-        rest = rest.join(labelled, "cls", "left").select("token", "cls", "n", F.coalesce("component", "cls").alias("component"), F.coalesce("comp_size", F.lit(1)).alias("comp_size"))
+        labelled = labels.join(sizes, "component").select(F.col("node").alias("id"), "component", "comp_size")
+        rest = open_lists.select("token", "id", "n").join(lead.select("token", F.col("leader").alias("id")), ["token", "id"], "left_anti")
+        rest = rest.join(labelled, "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("comp_size", F.lit(1)).alias("comp_size"))
         rest = materialize(rest, "rest")
         apart = rest.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
         if not apart.limit(1).count():
             return labels
-        open_lists = rest.join(apart, "token").select("token", "cls", "n", "component", "comp_size")
+        open_lists = rest.join(apart, "token").select("token", "id", "n", "component", "comp_size")
         leaders_a_list *= FIRST_LEADERS
