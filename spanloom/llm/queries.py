@@ -10,7 +10,9 @@ from spanloom.llm.byte_bpe import byte_bpe
 from spanloom.llm.jaccard_join import jaccard_components
 from spanloom.llm.packing import pack
 from spanloom.llm.pfor import token_files
+from spanloom.llm.pii import find_pii
 from spanloom.llm.quality import quality
+from spanloom.llm.secrets import find_secrets
 from spanloom.llm.token_counts import token_counts
 
 
@@ -30,10 +32,18 @@ def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op6_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(_table(spark, sf_dir, "documents"))
 
 
+def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -47,7 +57,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_mixture_packing": op5_mixture_packing,
+        "op6_pii_bootstrap": op6_pii_bootstrap,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_secret_ownership": op8_secret_ownership,
         "op9_quality_divergence": op9_quality_divergence,
         "op10_token_files": op10_token_files,
     }
