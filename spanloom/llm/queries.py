@@ -14,6 +14,7 @@ from spanloom.llm.pii import find_pii
 from spanloom.llm.quality import quality
 from spanloom.llm.secrets import find_secrets
 from spanloom.llm.token_counts import token_counts
+from spanloom.llm.warc import archived_and_audited
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_and_audited(_table(spark, sf_dir, "pages"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), shingle=3, percent=90)
 
@@ -55,6 +60,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_warc_fixity": op2_warc_fixity,
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_mixture_packing": op5_mixture_packing,
         "op6_pii_bootstrap": op6_pii_bootstrap,
