@@ -260,7 +260,7 @@ def _link_classes(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, shing
         near = (F.col("id") != F.col("leader")) & (F.col("component") != F.col("lcomponent")) & (100 * F.least("n", "ln") >= percent * F.greatest("n", "ln"))
         pairs = open_lists.join(lead, "token").where(near).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         pairs = materialize(_enough_shared(pairs, prefix, percent), "pairs")
-        wanted = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id").select("id", "cls", "rep")
+        wanted = materialize(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id").select("id", "cls", "rep"), "wanted")
         links = _verify(pairs, materialize(sets_of(docs, wanted, shingle), "members"), percent)
         if labels is not None:  # earlier links, as stars
             links = links.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
