@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm.byte_bpe import byte_bpe
+from spanloom.llm.hnsw import every_nth, nearest
 from spanloom.llm.jaccard_join import jaccard_components
 from spanloom.llm.packing import pack
 from spanloom.llm.pfor import token_files
@@ -29,6 +30,11 @@ def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_and_audited(_table(spark, sf_dir, "pages"))
 
 
+def op3_hnsw_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return nearest(rows.where(every_nth(rows, 20)), rows, k=20)
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), shingle=3, percent=90)
 
@@ -61,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_warc_fixity": op2_warc_fixity,
+        "op3_hnsw_nearest": op3_hnsw_nearest,
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_mixture_packing": op5_mixture_packing,
         "op6_pii_bootstrap": op6_pii_bootstrap,
