@@ -11,10 +11,11 @@
    A pair must share the smaller of its two l in the prefixes for that l.
 4. Posting lists are worked off in rounds. A list is a group of any size, so it is never gathered:
    some of its classes become leaders (a minimum with map-side combine), and each other class of the
-   list is held against them, first by length, then by shared prefix shingles, then in full. Two
-   classes that are already in one component need no check. A leader that has met its whole list
-   leaves it; a list whose rest lies in one component is done. Each round takes ``FIRST_LEADERS`` times
-   the leaders of the one before, so that all pairs of a list are decided at the end.
+   list is held against them, first by length, place of the shared shingle and bitmaps of the prefixes,
+   then by shared prefix shingles, then in full. Two classes that are already in one component need no
+   check. A leader that has met its whole list leaves it; a list whose rest lies in one component is
+   done. Each round takes ``MORE_LEADERS`` times the leaders of the one before, so that all pairs of a
+   list are decided at the end.
 
 The components so found are those of all links. Pairs within a copy group or a near-copy group are
 not emitted: what is written per round is linear in the lists.
@@ -24,6 +25,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +40,10 @@ from spanloom.llm.store import materialize
 
 SKETCH_BITS, SKETCH_PARTS = 21, 64
 MAX_MATCHES = 4
-#: Leaders of a posting list in the first round; each further round has this many times as many.
-FIRST_LEADERS = 16
+#: Leaders of a posting list in the first round, and how many times as many each further round has.
+FIRST_LEADERS, MORE_LEADERS = 8, 16
+#: Bitmaps of a prefix, 64 bits each, that go along in the posting lists.
+MARKS = tuple(f"s{i}" for i in range(8))
 #: Documents whose sets are fetched for verification pass a bitmap of this many bits first (1 MB).
 BITMAP_BITS = 1 << 23
 
@@ -150,9 +155,17 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, shingle: int, percent: int) ->
             first = np.zeros(len(rows) + 1, np.int64)
             np.cumsum([len(x) for x in rows], out=first[1:])
             flat = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls, pa.binary()), pa.array(matches), tx.list_array(flat.view(np.int64), first, pa.int64())], names=["doc_id", "n", "cls", "matches", "prefix"])
+            marks = _signatures(flat, np.diff(first))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls, pa.binary()), pa.array(matches), tx.list_array(flat.view(np.int64), first, pa.int64()), *map(pa.array, marks.T)], names=["doc_id", "n", "cls", "matches", "prefix", *MARKS])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, n long, cls binary, matches int, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, n long, cls binary, matches int, prefix array<long>, " + ", ".join(f"{m} long" for m in MARKS))
+
+
+def _signatures(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bitmaps of each row's shingles, a column of 64 bits for each of MARKS."""
+    bits = np.zeros((len(sizes), 64 * len(MARKS)), np.uint8)
+    bits[np.repeat(np.arange(len(sizes)), sizes), (flat & np.uint64(64 * len(MARKS) - 1)).astype(np.int64)] = 1
+    return np.ascontiguousarray(np.packbits(bits, axis=1)).view(">i8").astype(np.int64)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -247,17 +260,24 @@ def _link_classes(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, shing
     """(node, component) of the ids of all classes that have a link."""
     prefix = prefixes(docs, sketch, shingle, percent).where("n > 0")
     of = classes.select("id", "rep", F.col("cls").alias("key"))
-    prefix = materialize(prefix.join(of, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("cls") == F.col("key"))).dropDuplicates(["id"]).select("id", "n", "matches", "prefix"), "prefixes")
-    posting = prefix.select(F.explode("prefix").alias("token"), "id", "n")
+    prefix = materialize(prefix.join(of, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("cls") == F.col("key"))).dropDuplicates(["id"]).select("id", "n", "matches", "prefix", *MARKS), "prefixes")
+    own = ("id", "n", "pn", *MARKS)
+    posting = prefix.select(F.posexplode("prefix").alias("pos", "token"), "id")
     shared = posting.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    lists = materialize(posting.join(shared, "token"), "lists")
-    labels, open_lists, leaders_a_list = None, lists.select("token", "id", "n", F.col("id").alias("component"), F.lit(1).alias("comp_size")), FIRST_LEADERS
+    lists = materialize(posting.join(shared, "token").join(prefix.withColumn("pn", F.size("prefix")).select(*own), "id"), "lists")
+    labels, open_lists, leaders_a_list = None, lists.select("token", "pos", *own, F.col("id").alias("component"), F.lit(1).alias("comp_size")), FIRST_LEADERS
     while True:
         # leaders: in each part of a list, a class of the smallest component so far
         part = F.pmod(F.xxhash64("id", "token"), F.lit(leaders_a_list))
-        lead = open_lists.groupBy("token", part.alias("part")).agg(F.min(F.struct("comp_size", F.xxhash64("id").alias("h"), "id", "n", "component")).alias("l"))
-        lead = lead.select("token", F.col("l.id").alias("leader"), F.col("l.n").alias("ln"), F.col("l.component").alias("lcomponent"))
+        lead = open_lists.groupBy("token", part.alias("part")).agg(F.min(F.struct("comp_size", F.xxhash64("id").alias("h"), *own, "pos", "component")).alias("l"))
+        lead = lead.select("token", F.col("l.id").alias("leader"), *(F.col(f"l.{c}").alias(f"l{c}") for c in (*own[1:], "pos", "component")))
         near = (F.col("id") != F.col("leader")) & (F.col("component") != F.col("lcomponent")) & (100 * F.least("n", "ln") >= percent * F.greatest("n", "ln"))
+        # shingles have one order, so a shared one at these places leaves that many that can be common
+        most = F.least("pos", "lpos") + 1 + F.least(F.col("n") - F.col("pos"), F.col("ln") - F.col("lpos")) - 1
+        # shingles of one prefix whose bits the other lacks are not in the other
+        lacking = lambda x, y: reduce(add, (F.bit_count(F.col(f"{x}{m}").bitwiseAND(F.bitwise_not(f"{y}{m}"))) for m in MARKS))
+        common = F.least(F.col("pn") - lacking("", "l"), F.col("lpn") - lacking("l", "")) + F.greatest(F.col("n") - F.col("pn"), F.col("ln") - F.col("lpn"))
+        near = near & ((100 + percent) * F.least(most, common) >= percent * (F.col("n") + F.col("ln")))
         pairs = open_lists.join(lead, "token").where(near).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         pairs = materialize(_enough_shared(pairs, prefix, percent), "pairs")
         wanted = materialize(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id").select("id", "cls", "rep"), "wanted")
@@ -267,11 +287,11 @@ def _link_classes(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, shing
         labels = connected_components(links)
         sizes = labels.groupBy("component").agg(F.count("*").alias("comp_size"))
         labelled = labels.join(sizes, "component").select(F.col("node").alias("id"), "component", "comp_size")
-        rest = open_lists.select("token", "id", "n").join(lead.select("token", F.col("leader").alias("id")), ["token", "id"], "left_anti")
-        rest = rest.join(labelled, "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("comp_size", F.lit(1)).alias("comp_size"))
+        rest = open_lists.select("token", "pos", *own).join(lead.select("token", F.col("leader").alias("id")), ["token", "id"], "left_anti")
+        rest = rest.join(labelled, "id", "left").select("token", "pos", *own, F.coalesce("component", "id").alias("component"), F.coalesce("comp_size", F.lit(1)).alias("comp_size"))
         rest = materialize(rest, "rest")
         apart = rest.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
         if not apart.limit(1).count():
             return labels
-        open_lists = rest.join(apart, "token").select("token", "id", "n", "component", "comp_size")
-        leaders_a_list *= FIRST_LEADERS
+        open_lists = rest.join(apart, "token").select("token", "pos", *own, "component", "comp_size")
+        leaders_a_list *= MORE_LEADERS

@@ -14,11 +14,13 @@ from spanloom.llm.pfor import token_files
 from spanloom.llm.pii import find_pii
 from spanloom.llm.quality import quality
 from spanloom.llm.secrets import find_secrets
+from spanloom.llm.store import bounded_batches
 from spanloom.llm.token_counts import token_counts
 from spanloom.llm.warc import archived_and_audited
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
