@@ -15,7 +15,7 @@ from spanloom.llm.jaccard_join import jaccard_components
 from spanloom.llm.packing import pack
 from spanloom.llm.pii import redactor
 from spanloom.llm.quality import keeps
-from spanloom.llm.store import materialize
+from spanloom.llm.store import bounded_batches, materialize
 
 #: Near duplicates share this part of their five-word shingles.
 SHINGLE, PERCENT = 5, 80
@@ -23,6 +23,7 @@ SHINGLE, PERCENT = 5, 80
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    bounded_batches(spark)
     return docs.where(keeps(docs)("text", "lang"))
 
 
@@ -31,6 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without words or without a doc_id stay. Of rows that share a doc_id and a text, one stays.
     """
+    bounded_batches(spark)
     labels = materialize(jaccard_components(docs, shingle=SHINGLE, percent=PERCENT).select("doc_id", "component_id"), "labels")
     surplus = labels.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(surplus, "doc_id", "left_anti").select(docs.columns)
@@ -43,12 +45,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the kind in place of every personal identifier."""
+    bounded_batches(spark)
     cleaned = docs.withColumn("text", redactor(docs)("text"))
     return cleaned.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in sequences of 2048 tokens, sources mixed by their shares."""
+    bounded_batches(spark)
     return pack(docs)
 
 
