@@ -264,7 +264,8 @@ def _link_classes(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, shing
     own = ("id", "n", "pn", *MARKS)
     posting = prefix.select(F.posexplode("prefix").alias("pos", "token"), "id")
     shared = posting.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    lists = materialize(posting.join(shared, "token").join(prefix.withColumn("pn", F.size("prefix")).select(*own), "id"), "lists")
+    marked = prefix.withColumn("pn", F.size("prefix")).select(*own)
+    lists = materialize(posting.join(shared, "token").join(marked, "id"), "lists")
     labels, open_lists, leaders_a_list = None, lists.select("token", "pos", *own, F.col("id").alias("component"), F.lit(1).alias("comp_size")), FIRST_LEADERS
     while True:
         # leaders: in each part of a list, a class of the smallest component so far
@@ -287,11 +288,12 @@ def _link_classes(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, shing
         labels = connected_components(links)
         sizes = labels.groupBy("component").agg(F.count("*").alias("comp_size"))
         labelled = labels.join(sizes, "component").select(F.col("node").alias("id"), "component", "comp_size")
-        rest = open_lists.select("token", "pos", *own).join(lead.select("token", F.col("leader").alias("id")), ["token", "id"], "left_anti")
-        rest = rest.join(labelled, "id", "left").select("token", "pos", *own, F.coalesce("component", "id").alias("component"), F.coalesce("comp_size", F.lit(1)).alias("comp_size"))
+        # bitmaps are joined again to the few lists that stay open
+        rest = open_lists.select("token", "pos", "id").join(lead.select("token", F.col("leader").alias("id")), ["token", "id"], "left_anti")
+        rest = rest.join(labelled, "id", "left").select("token", "pos", "id", F.coalesce("component", "id").alias("component"), F.coalesce("comp_size", F.lit(1)).alias("comp_size"))
         rest = materialize(rest, "rest")
         apart = rest.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
         if not apart.limit(1).count():
             return labels
-        open_lists = rest.join(apart, "token").select("token", "pos", *own, "component", "comp_size")
+        open_lists = materialize(rest.join(apart, "token").join(marked, "id").select("token", "pos", *own, "component", "comp_size"), "open")
         leaders_a_list *= MORE_LEADERS
