@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanloom.plans import event_queries, table_queries
+
 FLAGSHIP = "ivl_merge_events"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for module in (event_queries, table_queries) for name, (query, _) in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in (event_queries, table_queries) for name, (_, sql) in module.QUERIES.items() if sql}

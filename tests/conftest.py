@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -26,4 +27,4 @@ def spark():
 
 @pytest.fixture(scope="session")
 def data():
-    return "/root/testdata/sf0.001"
+    return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
