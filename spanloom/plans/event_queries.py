@@ -22,10 +22,10 @@ def spans(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
     """An event covers as many minutes as its value, from its time on."""
     rows = events(spark, sf_dir)
     rows = rows.where(F.col("event_type").isin(*kinds)) if kinds else rows
-    return rows.select("user_id", "event_id", "event_type", F.col("at").alias("start"), (F.col("at") + F.floor(F.col("value") * 60).cast("long") * SECOND).alias("end"), F.round(F.least(F.col("value") / 100, F.lit(1.0)), 6).alias("confidence"))
+    return rows.select("user_id", "event_id", "event_type", F.col("at").alias("start"), (F.col("at") + F.floor(F.col("value") * 60).cast("long") * SECOND).alias("end"), F.least(F.floor("value") / 100, F.lit(1.0)).alias("confidence"))
 
 
-_SPANS = "spans AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS s, epoch_us(ts) + CAST(floor(value * 60) AS BIGINT) * 1000000 AS e, round(least(value / 100, 1.0), 6) AS confidence FROM events)"
+_SPANS = "spans AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS s, epoch_us(ts) + CAST(floor(value * 60) AS BIGINT) * 1000000 AS e, least(floor(value) / 100, 1.0) AS confidence FROM events)"
 
 
 def _islands(source: str, gap: int = 0, extra: str = "") -> str:

@@ -62,11 +62,11 @@ def label_cosine(spark, sf_dir):
 
 def binarised(spark, sf_dir):
     """How many components of each vector lie above its median."""
-    rows = table(spark, sf_dir, "embeddings")
-    s = F.array_sort(F.transform("embedding", lambda x: x.cast("double")))
-    middle = (F.get(s, (F.size(s) / 2).cast("int") - 1) + F.get(s, (F.size(s) / 2).cast("int"))) / 2
-    ranked = rows.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), middle.alias("m"))
-    return ranked.select("vec_id", F.array_join(F.transform("v", lambda x: F.when(x > F.col("m"), "1").otherwise("0")), "").alias("bits"))
+    doubles = F.transform("embedding", lambda x: x.cast("double"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.inline(F.array(F.struct(doubles.alias("v"), F.array_sort(doubles).alias("s")))))  # sorted once a row
+    half = (F.size("s") / 2).cast("int")
+    middle = F.inline(F.array(F.struct(((F.get("s", half - 1) + F.get("s", half)) / 2).alias("m"))))
+    return rows.select("vec_id", "v", middle).select("vec_id", F.array_join(F.transform("v", lambda x: F.when(x > F.col("m"), "1").otherwise("0")), "").alias("bits"))
 
 
 def spread(spark, sf_dir):
