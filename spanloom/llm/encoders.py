@@ -18,8 +18,8 @@ _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = ".,;:!?|*$%&#()"
 
-#: Stretches that a worker keeps the ids of.
-MAX_KEPT = 250_000
+#: Stretches that each of a worker's two generations keeps the ids of, besides those of the slice in hand.
+MAX_KEPT = 300_000
 
 _AFTER = f"(?![^{_WHITE}{_PLAIN}])"
 SPACED = re.compile(f"[{_WHITE}]*[{_LETTERS}]+{_AFTER}|[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
@@ -35,29 +35,51 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(resolve(vocabulary))
         self.tokenizer.encode_special_tokens = True
+        self.splitter = Tokenizer.from_file(resolve(vocabulary))  # here special tokens count
+        plain = {i: t.content for i, t in self.splitter.get_added_tokens_decoder().items() if t.special and "<" in t.content and not (t.lstrip or t.rstrip or t.single_word)}
+        self.mark_id, self.mark = max(plain.items(), default=(-1, ""))
         self.stretch = SPACED if keep_space else UNSPACED
+        one = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        self.folds = all(one(f"a{c}") == one(f"A{c.upper()}") for c in "abcdefghijklmnopqrstuvwxyz")  # A-Z count as a-z
         self.kept: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian bytes of ``dtype``."""
+    def _encode_new(self, new: list[str]) -> None:
+        """Many stretches at once with a special token between them, which no stretch can hold; others one by one."""
         import numpy as np
 
+        alone = [x for x in new if "<" in x] if self.mark else new
+        joined = [x for x in new if "<" not in x] if self.mark else []
+        for k in range(0, len(joined), 4096):
+            part = joined[k : k + 4096]
+            ids = np.array(self.splitter.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+            raw, size, at = ids.tobytes(), ids.itemsize, 0
+            for stretch, end in zip(part, ends, strict=True):
+                self.kept[stretch] = raw[size * at : size * end]
+                at = end + 1
+        for stretch, x in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            self.kept[stretch] = np.array(x.ids, self.dtype).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian bytes of ``dtype``.
+
+        Stretches are kept in two generations: those in use move to the younger one, and the older one is
+        dropped when the younger is full, so frequent stretches stay.
+        """
+        if self.folds:  # fewer distinct stretches
+            texts = [x.encode().lower().decode() for x in texts]
         found = [self.stretch.findall(x) for x in texts]
-        new = list(set().union(*found).difference(self.kept)) if found else []
-        if len(self.kept) + len(new) > MAX_KEPT:
-            self.kept.clear()
-            new = list(set().union(*found))
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            ids = [x.ids for x in self.tokenizer.encode_batch(part, add_special_tokens=False)]
-            flat = np.array([i for x in ids for i in x], self.dtype).tobytes()
-            at, size = 0, int(self.dtype[2])
-            for stretch, x in zip(part, ids, strict=True):
-                self.kept[stretch] = flat[at : at + size * len(x)]
-                at += size * len(x)
+        missing = set().union(*found).difference(self.kept) if found else set()
+        for stretch in missing.intersection(self.before):
+            self.kept[stretch] = self.before[stretch]
+        self._encode_new(list(missing.difference(self.before)))
         get = self.kept.__getitem__
-        return [b"".join(map(get, x)) for x in found]
+        out = [b"".join(map(get, x)) for x in found]
+        if len(self.kept) > MAX_KEPT:
+            self.before, self.kept = self.kept, {}
+        return out
 
 
 @functools.cache
