@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.jaccard_join import jaccard_components
 from spanloom.llm.packing import pack
-from spanloom.llm.pii import redactor
+from spanloom.llm.pii import redact
 from spanloom.llm.quality import keeps
 from spanloom.llm.store import bounded_batches, materialize
 
@@ -46,8 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the kind in place of every personal identifier."""
     bounded_batches(spark)
-    cleaned = docs.withColumn("text", redactor(docs)("text"))
-    return cleaned.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(docs.columns)
+    return redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

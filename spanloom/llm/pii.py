@@ -5,12 +5,14 @@ looks like an identifier, is an instance; the words around it are its patterns (
 to each side; one to the left with the token's shape). Spark holds the graph of patterns and distinct
 instances and scores it in turns: a pattern's score for a kind is the mean score of its instances, an
 instance's score the mean of its patterns' (seeds stay at 1 for their kind and 0 for others). Patterns
-with ``MIN_SEEDS`` distinct seeds of a kind and a score of ``MIN_SCORE`` are of high confidence; the
-``MAX_PATTERNS`` best are the model. A second scan adds the identifier-like tokens that stand in a
-pattern of the model, with its kind. Base spans always stay.
+with ``MIN_SEEDS`` distinct seeds of a kind and a score of ``MIN_SCORE`` are of high confidence; all of
+them are the model. The identifier-like tokens that stand in a pattern of the model are added, with the
+kind of the best such pattern. Base spans always stay.
 
-The edges are summed by (pattern, instance) before they are joined, so a frequent pattern or instance
-sends one row for each distinct pair. Only the model, whose size is a parameter, reaches the driver.
+One scan writes every row's instances with their places and patterns. The edges are summed by (pattern,
+instance) before they are joined, so a frequent pattern or instance sends one row for each distinct pair.
+The model is a written table of any size, to which the candidates' patterns are joined; the spans found are
+collected by row (``find_pii``) or by the text's digest (``redact``).
 
 Defined results: null or empty text has no spans; repeated rows get one row each; ids may be null; an
 empty table gives an empty result; only doc_id and text are read.
@@ -18,7 +20,6 @@ empty table gives an empty result; only doc_id and text are read.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.store import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_SEEDS, MIN_SCORE, MAX_PATTERNS, TURNS = 5, 0.8, 10_000, 2
+MIN_SEEDS, MIN_SCORE, TURNS = 5, 0.8, 2
 CONTEXT = 80  # characters on either side in which context words are looked for
 
 # The formats.
@@ -124,28 +125,31 @@ def patterns_of(text: str, start: int, end: int) -> list[int]:
     return [xxhash.xxh64_intdigest(x) - (1 << 63) for x in found]
 
 
-def _edges(docs: DataFrame) -> DataFrame:
-    """(pattern, instance, kind or null): distinct within a batch."""
+_PLACES = "array<struct<kind:string,start:bigint,end:bigint,instance:bigint,patterns:array<bigint>>>"
+_PLACES_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))]))
+
+
+def _scan(docs: DataFrame, key: Column, key_type: str) -> DataFrame:
+    """key, places: base spans by kind and start, then candidates, whose kind is null."""
+
+    def places(text: str | None) -> list[dict]:
+        if not text or not _MARKED.search(text):
+            return []
+        base = base_spans(text)
+        found = [*base, *((None, *x) for x in candidates(text, base))]
+        return [{"kind": k, "start": s, "end": e, "instance": xxhash.xxh64_intdigest(text[s:e].lower()) - (1 << 63), "patterns": patterns_of(text, s, e)} for k, s, e in found]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[tuple[int, int, str | None]] = set()
-            for text in batch.column(0).to_pylist():
-                if not text or not _MARKED.search(text):
-                    continue
-                base = base_spans(text)
-                for kind, start, end in [*base, *((None, *x) for x in candidates(text, base))]:
-                    instance = xxhash.xxh64_intdigest(text[start:end].lower()) - (1 << 63)
-                    seen.update((p, instance, kind) for p in patterns_of(text, start, end))
-            columns = list(zip(*seen, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["pattern", "instance", "kind"])
-
-    return docs.select("text").mapInArrow(scan, "pattern long, instance long, kind string")
-
-
-def learn_patterns(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE, max_patterns: int = MAX_PATTERNS) -> dict[int, tuple[str, float]]:
-    """The model: pattern to its kind and score."""
-    edges = materialize(_edges(docs).groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([places(x) for x in batch.column(1).to_pylist()], _PLACES_ARROW)], names=["key", "places"])
+
+    return docs.select(key.alias("key"), "text").mapInArrow(scan, f"key {key_type}, places {_PLACES}")
+
+
+def learn_patterns(scanned: DataFrame, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE) -> DataFrame:
+    """The model as a written table: pattern, kind, score."""
+    each = scanned.select(F.explode("places").alias("x")).select(F.explode("x.patterns").alias("pattern"), "x.instance", "x.kind")
+    edges = materialize(each.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
     # patterns of a single instance teach nothing
     wide = edges.groupBy("pattern").agg(F.count("*").alias("n"), *(F.sum((F.col("kind") == k).cast("long")).alias(k) for k in KINDS))
     wide = wide.where(F.greatest(*(F.coalesce(k, F.lit(0)) for k in KINDS)) >= min_seeds).select("pattern", "n", *(F.coalesce(k, F.lit(0)).alias(k) for k in KINDS))
@@ -159,62 +163,80 @@ def learn_patterns(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_score: float
             unknown = graph.where("kind IS NULL").join(patterns, "pattern").groupBy("instance").agg(*(F.avg(f"p_{k}").alias(f"u_{k}") for k in KINDS))
             scored = graph.join(unknown, "instance", "left").select("pattern", "instance", "kind", *(F.when(F.col("kind").isNotNull(), s).otherwise(F.coalesce(f"u_{k}", F.lit(0.0))).alias(f"i_{k}") for s, k in zip(seed, KINDS, strict=True)))
     best = F.array_max(F.array(*(F.struct(F.when(F.col(k) >= min_seeds, F.col(f"p_{k}")).otherwise(0.0).alias("score"), F.lit(k).alias("kind")) for k in KINDS)))
-    model = patterns.join(wide, "pattern").select("pattern", "n", best.alias("best")).where(F.col("best.score") >= min_score)
-    rows = model.orderBy(F.desc("best.score"), F.desc("n"), "pattern").limit(max_patterns).collect()
-    return {r["pattern"]: (r["best"]["kind"], r["best"]["score"]) for r in rows}
+    model = patterns.join(wide, "pattern").select("pattern", best.alias("best")).where(F.col("best.score") >= min_score)
+    return materialize(model.select("pattern", "best.kind", "best.score"), "model")
+
+
+def _added(scanned: DataFrame, by: str, model: DataFrame) -> DataFrame:
+    """The candidates that stand in a pattern of the model, collected by a column: by, added."""
+    each = scanned.select(by, F.explode(F.filter("places", lambda x: x["kind"].isNull())).alias("x")).select(by, "x.start", "x.end", F.explode("x.patterns").alias("pattern"))
+    best = each.join(model, "pattern").groupBy(by, "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"))
+    return best.groupBy(by).agg(F.collect_list(_span(F.col("best.kind"), F.col("start"), F.col("end"))).alias("added"))
 
 
-def all_spans(text: str | None, model: dict[int, tuple[str, float]]) -> tuple[list[Span], list[Span]]:
-    """Base spans, and these with the added ones; both by kind, then start."""
-    if not text or not _MARKED.search(text):
-        return [], []
-    base = base_spans(text)
-    added: list[Span] = []
-    if model:
-        for start, end in candidates(text, base):
-            known = [model[p] for p in patterns_of(text, start, end) if p in model]
-            if known:
-                added.append((max(known, key=lambda x: (x[1], x[0]))[0], start, end))
-    return base, sorted([*base, *added], key=lambda x: (KINDS.index(x[0]), x[1], x[2])) if added else base
+def _span(kind: Column, start: Column, end: Column) -> Column:
+    return F.struct(F.array_position(F.array(*map(F.lit, KINDS)), kind).alias("rank"), start.alias("start"), end.alias("end"), kind.alias("kind"))
 
 
-def _written(spans: list[Span]) -> str:
-    return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+def _base() -> Column:
+    return F.transform(F.filter("places", lambda x: x["kind"].isNotNull()), lambda x: _span(x["kind"], x["start"], x["end"]))
+
+
+def _every() -> Column:
+    return F.array_sort(F.concat("base", F.coalesce("added", F.filter("base", lambda x: F.lit(False)))))
+
+
+def _written(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def find_pii(docs: DataFrame, **limits: float) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans (all, as kind:start:end)."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn_patterns(docs, **limits))
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+    scanned = materialize(_scan(docs, F.col("doc_id").cast("long"), "long").withColumn("row", F.monotonically_increasing_id()), "places")
+    found = scanned.select("row", "key", _base().alias("base")).join(_added(scanned, "row", learn_patterns(scanned, **limits)), "row", "left")
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select(F.col("key").alias("doc_id"), *map(count, KINDS), F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(_every()).alias("spans"))
+
+
+def _redacted(text: str | None, spans: list[Span]) -> str | None:
+    if not text or not spans:
+        return text
+    out, done = [], 0
+    for kind, start, end in sorted(spans, key=lambda x: (x[1], -x[2])):
+        if start >= done:
+            out += [text[done:start], f"[{kind.upper()}]"]
+        done = max(done, end)
+    return "".join([*out, text[done:]])
+
+
+def redact(docs: DataFrame, **limits: float) -> DataFrame:
+    """``docs`` with ``[KIND]`` in place of every span. Spans are joined by the text's digest: equal texts have equal spans."""
+    scanned = materialize(_scan(docs, F.sha2("text", 256), "string").where(F.size("places") > 0), "places")
+    added = _added(scanned, "key", learn_patterns(scanned, **limits))
+    once = scanned.dropDuplicates(["key"]).select("key", _base().alias("base")).join(added, "key", "left")
+    spans = materialize(once.select(F.col("key").alias("_key"), _written(_every()).alias("_spans")).where("_spans <> ''"), "spans")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            found = [all_spans(x, model) for x in batch.column(1).to_pylist()]
-            counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
-            digests = pa.array([hashlib.sha256(_written(base).encode()).hexdigest() for base, _ in found], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, pa.array([_written(x) for _, x in found], pa.string())], names=names)
+    @F.arrow_udf("string")
+    def clean(text: pa.Array, written: pa.Array) -> pa.Array:
+        read = lambda x: [(k, int(s), int(e)) for k, s, e in (y.split(":") for y in x.split(","))] if x else []
+        return pa.array([_redacted(t, read(x)) for t, x in zip(text.to_pylist(), written.to_pylist(), strict=True)], pa.string())
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    joined = docs.join(spans, F.sha2(docs["text"], 256) == spans["_key"], "left")
+    return joined.select(*(clean(docs["text"], "_spans").alias("text") if c == "text" else docs[c] for c in docs.columns))
 
 
 def redactor(docs: DataFrame, **limits: float) -> Callable[[str], Column]:
-    """A column function that puts ``[KIND]`` in place of every span, with the model of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn_patterns(docs, **limits))
-
-    def redacted(text: str | None, model: dict) -> str | None:
-        if not text:
-            return text
-        out, done = [], 0
-        for kind, start, end in sorted(all_spans(text, model)[1], key=lambda x: (x[1], -x[2])):
-            if start >= done:
-                out += [text[done:start], f"[{kind.upper()}]"]
-            done = max(done, end)
-        return "".join([*out, text[done:]])
+    """As ``redact``, as a column function: it holds the whole model of ``docs`` in memory, so it is for models that fit there."""
+    model = {r["pattern"]: (r["score"], r["kind"]) for r in learn_patterns(materialize(_scan(docs, F.lit(0), "int"), "places"), **limits).toLocalIterator()}
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def spans(text: str | None) -> list[Span]:
+        base = base_spans(text) if text else []
+        known = ((x, [shared.value[p] for p in patterns_of(text, *x) if p in shared.value]) for x in (candidates(text, base) if text else ()))
+        return [*base, *((max(found)[1], *x) for x, found in known if found)]
 
     @F.arrow_udf("string")
     def clean(text: pa.Array) -> pa.Array:
-        model = shared.value
-        return pa.array([redacted(x, model) for x in text.to_pylist()], pa.string())
+        return pa.array([_redacted(x, spans(x)) for x in text.to_pylist()], pa.string())
 
     return clean

@@ -55,6 +55,16 @@ def test_pii_discovers_what_contexts_announce(spark):
     assert all(spans[d] == "" for d, _ in other)
 
 
+def test_pii_keeps_every_pattern(spark):
+    from spanloom.llm.pii import find_pii, redact
+
+    n = 5000  # contexts of five seeds and one other identifier: 15,000 patterns pass
+    text = lambda i: "\n".join(f"left{i} ahead{i} {x} behind{i}" for x in [*(f"u{j}x{i}@mail.example.org" for j in range(5)), f"id-{10000 + i}#h"])
+    docs = spark.range(n).rdd.map(lambda r: (r[0], text(r[0]))).toDF("doc_id long, text string")
+    assert find_pii(docs).where("spans NOT RLIKE '^(email:[0-9]+:[0-9]+,){5}email:[0-9]+:[0-9]+$'").count() == 0
+    assert redact(docs).where("text RLIKE '@|#'").count() == 0
+
+
 def test_redactor(spark):
     from spanloom.llm.pii import redactor
 
