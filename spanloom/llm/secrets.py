@@ -3,9 +3,10 @@
 Matches come from the JVM's regular expressions; their places from the lengths of the stretches that
 ``split`` leaves between them, summed up in blocks of ``BLOCK`` matches. Beside the base kinds, long
 mixed tokens of any use are candidates of kind ``generic``. Each candidate value is then counted over the
-corpus by distinct repositories and owners: what several owners hold is an example that people copy;
-a value of one owner alone looks live. Generic candidates are only reported if they are owner-specific;
-base spans always stay, and are counted as owner-specific or copied.
+corpus by distinct repositories and owners: what many owners hold in many repositories is an example that
+people copy; any other value looks live, also one that a copied document carries to a few owners. Many are
+``WIDE``, or half of all the corpus has where that is less, but two at least. Generic candidates are only
+reported if they are owner-specific; base spans always stay, and are counted as owner-specific or copied.
 
 One scan of the texts; from there on only candidates move, and they are made distinct by (value, owner,
 repository) ahead of the count. Rows of the scan are written with an id of their own, so that the join
@@ -32,8 +33,8 @@ HEX = "[0-9a-f]{32,}"  # a run is matched whole, so runs of less than 32 may be
 GENERIC = "[A-Za-z0-9+/_-]{24,}"
 KINDS = ("assign", "access", "hex", "generic")
 _PATTERNS = dict(zip(KINDS, (ASSIGN, ACCESS, HEX, GENERIC), strict=True))
-#: A value that more owners than this hold is a copied example.
-MAX_OWNERS = 1
+#: So many owners, and as many repositories, make a value a copied example; half of all are enough in a small corpus.
+WIDE = 10
 BLOCK = 256
 
 _SPAN = "struct<start:bigint,rank:int,end:bigint,value:string>"
@@ -109,29 +110,39 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _many(n: str, total: str) -> Column:
+    return (F.col(n) >= 2) & ((F.col(n) >= WIDE) | (2 * F.col(n) >= F.col(total)))
+
+
 def find_secrets(docs: DataFrame, owner: str = "source", repository: Sequence[str] = ("source", "lang")) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex (base), base_sha256, spans (all), n_owner_specific, n_copied (base)."""
+    """doc_id, n_assign, n_access, n_hex (base), base_sha256, spans (all), n_owner_specific, n_copied (base), n_owners, n_repositories (of each of spans)."""
     scanned = materialize(candidates(docs, owner, repository), "candidates")
     each = scanned.select("row", "owner", "repository", F.explode(F.concat("base", "generic")).alias("span"))
     key = F.sha2(F.col("span.value"), 256)
     held = each.select(key.alias("key"), "owner", "repository").distinct()
     owners = held.select("key", "owner").distinct().groupBy("key").agg(F.count("*").alias("n_owners"))
     repositories = held.groupBy("key").agg(F.count("*").alias("n_repositories"))
-    known = owners.join(repositories, "key")
-    judged = each.withColumn("key", key).join(known, "key").select("row", "span", (F.col("n_owners") <= MAX_OWNERS).alias("own"))
+    pairs = scanned.select("owner", "repository").distinct().groupBy("owner").agg(F.count("*").alias("n"))
+    totals = pairs.agg(F.count("*").alias("all_owners"), F.sum("n").alias("all_repositories"))
+    known = owners.join(repositories, "key").crossJoin(F.broadcast(totals))
+    copied = _many("n_owners", "all_owners") & _many("n_repositories", "all_repositories")
+    judged = each.withColumn("key", key).join(known, "key").select("row", "span", "n_owners", "n_repositories", (~copied).alias("own"))
     generic = KINDS.index("generic")
+    reported = F.struct("span.start", "span.rank", "span.end", "n_owners", "n_repositories")
     by_row = judged.groupBy("row").agg(
-        F.collect_list(F.when((F.col("span.rank") == generic) & F.col("own"), F.col("span"))).alias("added"),
+        F.array_sort(F.collect_list(F.when((F.col("span.rank") < generic) | F.col("own"), reported))).alias("every"),
         F.sum(((F.col("span.rank") < generic) & F.col("own")).cast("long")).alias("n_owner_specific"),
         F.sum(((F.col("span.rank") < generic) & ~F.col("own")).cast("long")).alias("n_copied"),
     )
     count = lambda k: F.size(F.filter("base", lambda s: s["rank"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    every = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(f"array<{_SPAN}>"))))
+    listed = lambda c: F.coalesce(F.array_join(F.transform("every", lambda s: s[c].cast("string")), ","), F.lit("")).alias(c)
     return scanned.join(by_row, "row", "left").select(
         "doc_id",
         *(count(k) for k in KINDS[:3]),
         F.sha2(_written(F.col("base")), 256).alias("base_sha256"),
-        _written(every).alias("spans"),
+        F.coalesce(_written(F.col("every")), F.lit("")).alias("spans"),
         F.coalesce("n_owner_specific", F.lit(0)).alias("n_owner_specific"),
         F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
+        listed("n_owners"),
+        listed("n_repositories"),
     )

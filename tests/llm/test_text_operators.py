@@ -92,6 +92,20 @@ def test_secret_ownership(spark):
     assert (got[4].n_owner_specific, got[4].n_copied) == (1, 0)
 
 
+def test_secret_ownership_by_owners_and_repositories(spark):
+    from spanloom.llm.secrets import find_secrets
+
+    copied, wide, few = "Qp7" * 10, "Zx9" * 10, "Mw3" * 10
+    rows = [(i, f"use {wide}", f"s{i}", "a", "r") for i in range(12)]  # many owners and repositories
+    rows += [(20 + i, f"mine {copied}", f"s{i}", "a", "r") for i in range(2)]  # one document in two of 30 sources
+    rows += [(30 + i, f"own {few}", "s1", "a", f"r{i}") for i in range(12)]  # many repositories of one owner
+    rows += [(50 + i, "nothing", f"s{i}", "a", "r") for i in range(30)]
+    got = {r.doc_id: r for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, repo string"), repository=("repo",)).collect()}
+    assert all(got[i].spans == "" for i in range(12))
+    assert [(got[20 + i].spans, got[20 + i].n_owners, got[20 + i].n_repositories) for i in range(2)] == [("generic:5:35", "2", "2")] * 2
+    assert all((got[30 + i].spans, got[30 + i].n_owners, got[30 + i].n_repositories) == ("generic:4:34", "1", "12") for i in range(12))
+
+
 def test_byte_bpe(docs):
     import tiktoken
 
