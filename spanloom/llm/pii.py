@@ -3,11 +3,14 @@
 Seeds are the matches of four formats (email, ip, card, phone). Each seed, and each other token that
 looks like an identifier, is an instance; the words around it are its patterns (two to the left; one
 to each side; one to the left with the token's shape). Spark holds the graph of patterns and distinct
-instances and scores it in turns: a pattern's score for a kind is the mean score of its instances, an
-instance's score the mean of its patterns' (seeds stay at 1 for their kind and 0 for others). Patterns
-with ``MIN_SEEDS`` distinct seeds of a kind and a score of ``MIN_SCORE`` are of high confidence; all of
-them are the model. The identifier-like tokens that stand in a pattern of the model are added, with the
-kind of the best such pattern. Base spans always stay.
+instances and scores it in rounds: a pattern's score for a kind is the mean score of its instances, an
+instance's score the mean of those of all its patterns times ``DAMPING`` (seeds stay at 1 for their kind and 0
+for others). Patterns with ``MIN_SEEDS`` distinct seeds of a kind and a score of ``MIN_SCORE`` are of high
+confidence; all of them are the model. Instances in a pattern of the model become seeds of its kind for the
+next round. Rounds end when no pattern was added and none can be: damped scores change by at most ``DAMPING``
+times the last change, so all that is still to come is bounded, and less than ``CLOSE`` counts as nothing.
+The identifier-like tokens that stand in a pattern of the model are added, with the kind of the best such
+pattern. Base spans always stay.
 
 One scan writes every row's instances with their places and patterns. The edges are summed by (pattern,
 instance) before they are joined, so a frequent pattern or instance sends one row for each distinct pair.
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.store import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_SEEDS, MIN_SCORE, TURNS = 5, 0.8, 2
+MIN_SEEDS, MIN_SCORE, DAMPING, CLOSE = 5, 0.8, 0.7, 0.001
 CONTEXT = 80  # characters on either side in which context words are looked for
 
 # The formats.
@@ -105,7 +108,7 @@ def candidates(text: str, base: list[Span]) -> Iterator[tuple[int, int]]:
             end -= 1
         while k < len(taken) and taken[k][1] <= start:
             k += 1
-        if 6 <= end - start <= 64 and not (k < len(taken) and taken[k][0] < end):
+        if end - start >= 6 and not (k < len(taken) and taken[k][0] < end):
             token = text[start:end]
             if "@" in token or sum(c.isdigit() for c in token) >= 4:
                 yield start, end
@@ -149,22 +152,43 @@ def _scan(docs: DataFrame, key: Column, key_type: str) -> DataFrame:
 def learn_patterns(scanned: DataFrame, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE) -> DataFrame:
     """The model as a written table: pattern, kind, score."""
     each = scanned.select(F.explode("places").alias("x")).select(F.explode("x.patterns").alias("pattern"), "x.instance", "x.kind")
-    edges = materialize(each.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
-    # patterns of a single instance teach nothing
-    wide = edges.groupBy("pattern").agg(F.count("*").alias("n"), *(F.sum((F.col("kind") == k).cast("long")).alias(k) for k in KINDS))
-    wide = wide.where(F.greatest(*(F.coalesce(k, F.lit(0)) for k in KINDS)) >= min_seeds).select("pattern", "n", *(F.coalesce(k, F.lit(0)).alias(k) for k in KINDS))
-    graph = edges.join(wide.select("pattern"), "pattern", "left_semi")
-    seed = [F.when(F.col("kind") == k, 1.0).otherwise(0.0) for k in KINDS]
-    scored = graph.select("pattern", "instance", "kind", *(s.alias(f"i_{k}") for s, k in zip(seed, KINDS, strict=True)))
-    patterns = None
-    for turn in range(TURNS):
-        patterns = materialize(scored.groupBy("pattern").agg(*(F.avg(f"i_{k}").alias(f"p_{k}") for k in KINDS)), "patterns")
-        if turn + 1 < TURNS:
-            unknown = graph.where("kind IS NULL").join(patterns, "pattern").groupBy("instance").agg(*(F.avg(f"p_{k}").alias(f"u_{k}") for k in KINDS))
-            scored = graph.join(unknown, "instance", "left").select("pattern", "instance", "kind", *(F.when(F.col("kind").isNotNull(), s).otherwise(F.coalesce(f"u_{k}", F.lit(0.0))).alias(f"i_{k}") for s, k in zip(seed, KINDS, strict=True)))
-    best = F.array_max(F.array(*(F.struct(F.when(F.col(k) >= min_seeds, F.col(f"p_{k}")).otherwise(0.0).alias("score"), F.lit(k).alias("kind")) for k in KINDS)))
-    model = patterns.join(wide, "pattern").select("pattern", best.alias("best")).where(F.col("best.score") >= min_score)
-    return materialize(model.select("pattern", "best.kind", "best.score"), "model")
+    pairs = materialize(each.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
+    edges = pairs.join(pairs.groupBy("pattern").agg(F.count("*").alias("n")), "pattern")
+    # patterns of a single instance only hand it back its own damped score: they count in its divisor
+    known = edges.groupBy("instance").agg(F.max("kind").alias("kind"), (F.count("*") - DAMPING * F.sum((F.col("n") == 1).cast("long"))).alias("divisor"))
+    graph = materialize(edges.where("n > 1").select("pattern", "instance", "n").join(known, "instance"), "graph")
+    fixed = materialize(graph.groupBy("pattern", "n").agg(*(F.sum((F.coalesce("kind", F.lit("")) == k).cast("long")).alias(f"f_{k}") for k in KINDS)), "fixed")
+    free = materialize(graph.where("kind IS NULL").select("pattern", "instance", "divisor"), "free")
+    patterns = states = None
+    while True:
+        now = fixed
+        if states is not None:
+            value = lambda k: F.when(F.col("promoted").isNotNull(), (F.col("promoted") == k).cast("double")).otherwise(DAMPING * F.col(f"u_{k}"))
+            sums = free.select("pattern", "instance").join(states, "instance").groupBy("pattern").agg(*(F.sum((F.coalesce("promoted", F.lit("")) == k).cast("long")).alias(f"a_{k}") for k in KINDS), *(F.sum(value(k)).alias(f"v_{k}") for k in KINDS))
+            now = fixed.join(sums, "pattern", "left").join(patterns.select("pattern", F.col("kind").alias("was"), *(F.col(f"p_{k}").alias(f"o_{k}") for k in KINDS)), "pattern")
+        else:
+            now = now.select("*", F.lit(None).cast("string").alias("was"), *(F.lit(0).alias(f"a_{k}") for k in KINDS), *(F.lit(0.0).alias(f"{c}_{k}") for c in "vo" for k in KINDS))
+        score = {k: F.round((F.col(f"f_{k}") + F.coalesce(f"v_{k}", F.lit(0.0))) / F.col("n"), 9) for k in KINDS}
+        now = now.select("pattern", "was", *(score[k].alias(f"p_{k}") for k in KINDS), *((F.col(f"f_{k}") + F.coalesce(f"a_{k}", F.lit(0)) >= min_seeds).alias(f"e_{k}") for k in KINDS), F.greatest(*(F.abs(score[k] - F.col(f"o_{k}")) for k in KINDS)).alias("change"))
+        best = F.array_max(F.array(*(F.struct(F.when(F.col(f"e_{k}"), F.col(f"p_{k}")).otherwise(-1.0).alias("score"), F.lit(k).alias("kind")) for k in KINDS)))
+        now = now.select("*", best.alias("best")).withColumn("kind", F.coalesce("was", F.when(F.col("best.score") >= min_score, F.col("best.kind"))))
+        patterns = materialize(now, "patterns")
+        new, change = F.col("was").isNull() & F.col("kind").isNotNull(), patterns.agg(F.max("change")).first()[0] or 0.0
+        to_come = change * DAMPING / (1 - DAMPING)
+        added, near = patterns.agg(F.count(F.when(new, 1)), F.count(F.when(F.col("kind").isNull() & (F.col("best.score") + to_come >= min_score), 1))).first()
+        if states is not None and not added and (not near or to_come < CLOSE):
+            break
+        found = F.max(F.when(F.col("kind").isNotNull(), F.struct(_score(), F.col("kind"))))["kind"]
+        scores = free.join(patterns, "pattern").groupBy("instance").agg(found.alias("found"), *((F.sum(f"p_{k}") / F.first("divisor")).alias(f"u_{k}") for k in KINDS))
+        if states is not None:  # a seed keeps its first kind
+            scores = scores.join(states.select("instance", "promoted"), "instance").withColumn("found", F.coalesce("promoted", "found")).drop("promoted")
+        states = materialize(scores.withColumnRenamed("found", "promoted"), "states")
+    return materialize(patterns.where("kind IS NOT NULL").select("pattern", "kind", _score()), "model")
+
+
+def _score() -> Column:
+    """The score for the kind that a pattern has."""
+    return F.coalesce(*(F.when(F.col("kind") == k, F.col(f"p_{k}")) for k in KINDS)).alias("score")
 
 
 def _added(scanned: DataFrame, by: str, model: DataFrame) -> DataFrame:

@@ -65,6 +65,19 @@ def test_pii_keeps_every_pattern(spark):
     assert redact(docs).where("text RLIKE '@|#'").count() == 0
 
 
+def test_pii_discovers_over_several_hops(spark):
+    from spanloom.llm.pii import find_pii
+
+    seeds = [f"please reach me at user{i}@mail.example.org any day" for i in range(40)]
+    first = [f"please reach me at id-{7000 + i}#home any day" for i in range(8)]
+    second = [f"your badge number {x} opened it" for x in (*(f"id-{7000 + i}#home" for i in range(8)), "9911/zz")]
+    third = [f"and the owner {x} slept well" for x in (*(f"id-{7000 + i}#home" for i in range(8)), "9922/yy" * 12)]
+    texts = [*seeds, *first, *second, *third, *(f"shelf number {9000 + i} is empty" for i in range(40))]
+    spans = {r.doc_id: r.spans for r in find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(spans[i].count("email:") == 1 for i in range(40 + 8 + 9 + 9))
+    assert all(spans[i] == "" for i in range(66, len(texts)))
+
+
 def test_redactor(spark):
     from spanloom.llm.pii import redactor
 
