@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.store import materialize
+from spanloom.llm.store import discard, materialize
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """Links (a, b) to (node, component): component is the smallest node that links reach.
 
     Every node of a link gets a row. Each round is two aggregations by node, with map-side
-    minimum; the round's links are written to the shared folder, and only one count reaches
-    the driver. A node with very many links is the smaller end of its star and so is summed
+    minimum; the round's links are written to the shared folder, and only whether they are stars
+    reaches the driver. A node with very many links is the smaller end of its star and so is summed
     up, never gathered. Nulls and loops link nothing; without links the result is empty.
     """
     edges = materialize(links.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = _state(edges)
-    while True:
+    while not _stars(edges):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: a node's larger neighbours move to the smallest of all
@@ -26,13 +25,15 @@ def connected_components(links: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours move to the smallest of these
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = materialize(moved.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        before, state = state, _state(edges)
-        if before == state:  # nothing moves: every node hangs on its root
-            break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-def _state(edges: DataFrame) -> tuple:
-    """Count and hash sum of the distinct links: one row."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        old, edges = edges, materialize(moved.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(old)
+    labels = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    labels.written_at = edges.written_at
+    return labels
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root that hangs on nothing: then roots are the smallest of their components."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    odd = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)")
+    return not odd.limit(1).count()

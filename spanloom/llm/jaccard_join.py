@@ -10,12 +10,13 @@
    the posting lists of the longer prefix, plus verification of the fewer candidates that share l).
    A pair must share the smaller of its two l in the prefixes for that l.
 4. Posting lists are worked off in rounds. A list is a group of any size, so it is never gathered:
-   some of its classes become leaders (a minimum with map-side combine), and each other class of the
-   list is held against them, first by length, place of the shared shingle and bitmaps of the prefixes,
-   then by shared prefix shingles, then in full. Two classes that are already in one component need no
-   check. A leader that has met its whole list leaves it; a list whose rest lies in one component is
-   done. Each round takes ``MORE_LEADERS`` times the leaders of the one before, so that all pairs of a
-   list are decided at the end.
+   some of its classes become leaders (a minimum with map-side combine, by the hash of the class, so that the
+   lists of one group of near copies elect the same ones), and each other class of the list is held against
+   them: by length and place of the shared shingle, each pair once by bitmaps of the sets, then by shared
+   prefix shingles, then in full. Two classes that are already in one component need no check. A leader that
+   has met its whole list leaves it; a list whose rest lies in one component is done. The first rounds take
+   1, 8 and 64 leaders, which gathers the large components; later ones take many, but none from a list's
+   largest component: a pair that is still open has one end outside it. So all pairs of a list are decided at the end.
 
 The components so found are those of all links. Pairs within a copy group or a near-copy group are
 not emitted: what is written per round is linear in the lists.
@@ -31,19 +32,21 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import text as tx
 from spanloom.llm.components import connected_components
-from spanloom.llm.store import materialize
+from spanloom.llm.store import discard, materialize
 
 SKETCH_BITS, SKETCH_PARTS = 21, 64
 MAX_MATCHES = 4
-#: Leaders of a posting list in the first round, and how many times as many each further round has.
-FIRST_LEADERS, MORE_LEADERS = 8, 16
-#: Bitmaps of a prefix, 64 bits each, that go along in the posting lists.
-MARKS = tuple(f"s{i}" for i in range(8))
+#: Leaders that a posting list has in the first rounds; in each further round ``MORE_LEADERS`` times as many as before.
+FIRST_LEADERS, MORE_LEADERS = (1, 8, 64), 64
+#: Bitmaps of 64 bits each: of the whole set up to so many shingles, else of the prefix.
+MARKS, MARKED_WHOLE = tuple(f"s{i}" for i in range(16)), 1024
+#: Classes with over a hundredth of all rows; there can be no more than a hundred.
+HOT_SHARE = 100
 #: Documents whose sets are fetched for verification pass a bitmap of this many bits first (1 MB).
 BITMAP_BITS = 1 << 23
 
@@ -66,8 +69,8 @@ def _class_key(members: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(members.tobytes())
 
 
-def document_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """One row per document (doc_id, n, cls), and the partial sketches of each task (part, counts)."""
+def document_sets(docs: DataFrame, shingle: int, digests: bool = False) -> DataFrame:
+    """One row per document (doc_id, digest of the text, n, cls), and the partial sketches of each task (part, counts)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -81,16 +84,17 @@ def document_sets(docs: DataFrame, shingle: int) -> DataFrame:
                     at = (members >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                     _add(sketch, at)
             seen = seen or batch.num_rows > 0
-            yield _rows(batch.column(0), pa.array(n), pa.array(cls, pa.binary()))
+            yield _rows(batch.column(0), batch.column(2), pa.array(n), pa.array(cls, pa.binary()))
         if seen:
             for part, counts in enumerate(sketch.reshape(SKETCH_PARTS, -1)):
-                yield _rows(pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), part, zlib.compress(counts.tobytes(), 1))
+                yield _rows(pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), part, zlib.compress(counts.tobytes(), 1))
 
-    def _rows(ids: pa.Array, n: pa.Array, cls: pa.Array, part: int | None = None, counts: bytes | None = None) -> pa.RecordBatch:
+    def _rows(ids: pa.Array, digests: pa.Array, n: pa.Array, cls: pa.Array, part: int | None = None, counts: bytes | None = None) -> pa.RecordBatch:
         k = len(ids)
-        return pa.RecordBatch.from_arrays([ids, n, cls, pa.array([part] * k, pa.int32()), pa.array([counts] * k, pa.binary())], names=["doc_id", "n", "cls", "part", "counts"])
+        return pa.RecordBatch.from_arrays([ids, digests, n, cls, pa.array([part] * k, pa.int32()), pa.array([counts] * k, pa.binary())], names=["doc_id", "digest", "n", "cls", "part", "counts"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, n long, cls binary, part int, counts binary")
+    digest = F.md5("text") if digests else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("long"), "text", digest.alias("digest")).mapInArrow(scan, "doc_id long, digest string, n long, cls binary, part int, counts binary")
 
 
 def _add(sketch: np.ndarray, at: np.ndarray) -> None:
@@ -140,6 +144,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, shingle: int, percent: int) ->
         counts = shared.value
         for batch in batches:
             n, matches, rows, cls = np.zeros(batch.num_rows, np.int64), np.ones(batch.num_rows, np.int32), [], []
+            marks = np.zeros((batch.num_rows, len(MARKS)), np.int64)
             for row, members in _sets(batch.column(1), shingle):
                 n[row] = size = len(members)
                 cls.append(_class_key(members))
@@ -152,20 +157,20 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, shingle: int, percent: int) ->
                 order = np.lexsort((members, df))[:keep]
                 matches[row] = m = choose_matches(df[order].astype(np.float64), base, size)
                 rows.append(members[order[: base + m - 1]])
+                marks[row] = _signature(members if size <= MARKED_WHOLE else rows[-1])
             first = np.zeros(len(rows) + 1, np.int64)
             np.cumsum([len(x) for x in rows], out=first[1:])
             flat = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
-            marks = _signatures(flat, np.diff(first))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls, pa.binary()), pa.array(matches), tx.list_array(flat.view(np.int64), first, pa.int64()), *map(pa.array, marks.T)], names=["doc_id", "n", "cls", "matches", "prefix", *MARKS])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, n long, cls binary, matches int, prefix array<long>, " + ", ".join(f"{m} long" for m in MARKS))
 
 
-def _signatures(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Bitmaps of each row's shingles, a column of 64 bits for each of MARKS."""
-    bits = np.zeros((len(sizes), 64 * len(MARKS)), np.uint8)
-    bits[np.repeat(np.arange(len(sizes)), sizes), (flat & np.uint64(64 * len(MARKS) - 1)).astype(np.int64)] = 1
-    return np.ascontiguousarray(np.packbits(bits, axis=1)).view(">i8").astype(np.int64)
+def _signature(members: np.ndarray) -> np.ndarray:
+    """A bitmap of the shingles, 64 bits for each of MARKS."""
+    bits = np.zeros(64 * len(MARKS), np.uint8)
+    bits[(members & np.uint64(64 * len(MARKS) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).view(">i8").astype(np.int64)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -196,8 +201,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0).slice(k, len(part)), pa.array(keys[k : k + 512], pa.binary()), tx.list_array(np.concatenate(part).view(np.int64), first, pa.int64())], names=["rep", "cls", "members"])
 
     found = placed(docs.select(F.col("doc_id").cast("long").alias("rep"), "text")).mapInArrow(scan, "rep long, cls binary, members array<long>")
-    # one row a class, though ids may repeat in the input
-    return found.alias("f").join(wanted.alias("w"), F.col("f.rep").eqNullSafe(F.col("w.rep")) & (F.col("f.cls") == F.col("w.cls"))).select("w.id", "f.members").dropDuplicates(["id"])
+    return _of_class(found.withColumnRenamed("rep", "doc_id"), wanted).select("id", "members")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -218,6 +222,37 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(check, "a long, b long")
 
 
+def _of_class(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of the classes' representatives, with the classes' id: one row a class, though ids may repeat in the input."""
+    key = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
+    of = classes.select("id", key("rep").alias("rep"), "cls")
+    # duplicates are told by the columns of the join, which has dealt out the rows by these already
+    return found.withColumn("rep", key("doc_id")).join(of, ["rep", "cls"]).dropDuplicates(["rep", "cls"])
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int, digests: bool) -> tuple[DataFrame, DataFrame]:
+    """All rows (doc_id, digest, n, cls), and each class's component: cls, copies, all_rows, first (its row to stay)."""
+    scanned = materialize(document_sets(docs, shingle, digests), "sets")
+    members = scanned.where("part IS NULL").select("doc_id", "digest", "n", "cls")
+    sketch = frequency_sketch(scanned.where("part IS NOT NULL").select("part", "counts"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest"))
+    classes = members.where("n > 0").groupBy("cls").agg(least.alias("first"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    classes = materialize(classes.withColumns({"id": F.monotonically_increasing_id(), "rep": F.col("first.doc_id")}), "classes")  # the written id is what all later steps read
+    labels = _link_classes(docs, classes, sketch, shingle, percent)
+    named = labels.join(classes, labels.node == classes.id).select("cls", "component", "first")
+    names = named.groupBy("component").agg(F.min("first").alias("least"))
+    by_class = classes.select("cls", "copies", "first").join(named.join(names, "component").select("cls", "least"), "cls", "left")
+    return members, by_class.select("cls", "copies", F.coalesce("least", "first").alias("first"))
+
+
+def _with_first(members: DataFrame, by_class: DataFrame) -> DataFrame:
+    """The rows with a set, and ``first`` of their component. Rows of the hottest classes get it from a broadcast of at most HOT_SHARE rows."""
+    full = members.where("n > 0")
+    limit = full.count() // HOT_SHARE
+    hot, rest = F.broadcast(by_class.where(F.col("copies") > limit)), by_class.where(F.col("copies") <= limit)
+    return full.join(hot, "cls").select(*members.columns, "first").union(full.join(hot, "cls", "left_anti").join(rest, "cls").select(*members.columns, "first"))
+
+
 def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included): one row per row of ``docs``.
 
@@ -226,18 +261,20 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
     names no component (a component of null ids alone has a null id). Rows that share a doc_id and
     a text are copies of each other. Only doc_id and text are read.
     """
-    scanned = materialize(document_sets(docs, shingle), "sets")
-    members = scanned.where("part IS NULL").select("doc_id", "n", "cls")
-    sketch = frequency_sketch(scanned.where("part IS NOT NULL").select("part", "counts"))
-    classes = members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # the written id is what all later steps read
-    labels = _link_classes(docs, classes, sketch, shingle, percent)
-    named = labels.join(classes, labels.node == classes.id).select("cls", "component", "rep")
-    names = named.groupBy("component").agg(F.min("rep").alias("least"))
-    by_class = classes.select("cls", "rep").join(named.join(names, "component").select("cls", "least"), "cls", "left").select("cls", F.coalesce("least", "rep").alias("least"))
-    full, empty = members.where("n > 0"), members.where("n = 0")
-    out = full.join(by_class, "cls").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
-    return out.union(empty.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    members, by_class = _grouped(docs, shingle, percent, digests=False)
+    out = _with_first(members, by_class).select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"))
+    return out.union(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def surplus_rows(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct (doc_id, digest) of the rows that a smaller row of their component stands for, and of repeated rows that stay.
+
+    ``digest`` is md5 of the text. Rows are ordered by doc_id (nulls last), then digest.
+    """
+    members, by_class = _grouped(docs, shingle, percent, digests=True)
+    rows = materialize(_with_first(members, by_class).groupBy("doc_id", "digest").agg(F.first("first").alias("first"), F.count("*").alias("n")), "rows")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    return rows.where(~stays).select("doc_id", "digest"), rows.where(stays & (F.col("n") > 1)).select("doc_id", "digest")
 
 
 def _enough_shared(pairs: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
@@ -256,44 +293,63 @@ def _enough_shared(pairs: DataFrame, prefix: DataFrame, percent: int) -> DataFra
     return both.where((F.size(F.array_intersect(cut("a"), cut("b"))) >= matches) & (F.size(F.array_intersect("pa", "pb")) >= overlap - rest)).select("a", "b")
 
 
+def _alike(a: str, b: str, percent: int) -> Column:
+    """Whether two classes (n, pn and the bitmaps, behind the prefixes a and b) may be linked: shingles of one whose bits the other lacks are not in the other."""
+    c = lambda k, name: F.col(k + name)
+    lacking = lambda x, y: reduce(add, (F.bit_count(c(x, m).bitwiseAND(F.bitwise_not(c(y, m)))) for m in MARKS))
+    in_sets = F.least(c(a, "n") - lacking(a, b), c(b, "n") - lacking(b, a))
+    in_prefixes = F.least(c(a, "pn") - lacking(a, b), c(b, "pn") - lacking(b, a)) + F.greatest(c(a, "n") - c(a, "pn"), c(b, "n") - c(b, "pn"))
+    whole = lambda k: c(k, "n") <= MARKED_WHOLE
+    common = F.when(whole(a) & whole(b), in_sets).when(~whole(a) & ~whole(b), in_prefixes).otherwise(F.least(c(a, "n"), c(b, "n")))
+    return (100 + percent) * common >= percent * (c(a, "n") + c(b, "n"))
+
+
 def _link_classes(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, shingle: int, percent: int) -> DataFrame:
     """(node, component) of the ids of all classes that have a link."""
-    prefix = prefixes(docs, sketch, shingle, percent).where("n > 0")
-    of = classes.select("id", "rep", F.col("cls").alias("key"))
-    prefix = materialize(prefix.join(of, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("cls") == F.col("key"))).dropDuplicates(["id"]).select("id", "n", "matches", "prefix", *MARKS), "prefixes")
-    own = ("id", "n", "pn", *MARKS)
-    posting = prefix.select(F.posexplode("prefix").alias("pos", "token"), "id")
-    shared = posting.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    marked = prefix.withColumn("pn", F.size("prefix")).select(*own)
-    lists = materialize(posting.join(shared, "token").join(marked, "id"), "lists")
-    labels, open_lists, leaders_a_list = None, lists.select("token", "pos", *own, F.col("id").alias("component"), F.lit(1).alias("comp_size")), FIRST_LEADERS
+    prefix = _of_class(prefixes(docs, sketch, shingle, percent).where("n > 0"), classes)
+    prefix = materialize(prefix.select("id", "n", "matches", "prefix", *MARKS), "prefixes")
+    marked = prefix.select("id", "n", F.size("prefix").alias("pn"), *MARKS)
+    side = lambda k: marked.select(*(F.col(c).alias(k + c) for c in marked.columns))
+    posting = prefix.select(F.posexplode("prefix").alias("pos", "token"), "id", "n")
+    shared = posting.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
+    slim = ["token", "id", "n", "pos", "m"]
+    lists = materialize(posting.join(shared, "token").select(*slim), "lists")
+    open_lists, labels, turn, leaders = lists.withColumns({"component": F.col("id"), "main": F.lit(-1).cast("long")}), None, 0, 1
     while True:
-        # leaders: in each part of a list, a class of the smallest component so far
-        part = F.pmod(F.xxhash64("id", "token"), F.lit(leaders_a_list))
-        lead = open_lists.groupBy("token", part.alias("part")).agg(F.min(F.struct("comp_size", F.xxhash64("id").alias("h"), *own, "pos", "component")).alias("l"))
-        lead = lead.select("token", F.col("l.id").alias("leader"), *(F.col(f"l.{c}").alias(f"l{c}") for c in (*own[1:], "pos", "component")))
+        leaders = FIRST_LEADERS[turn] if turn < len(FIRST_LEADERS) else leaders * MORE_LEADERS
+        # in the first round the bitmaps are held against distinct pairs, later on against the few rows of open lists
+        rows = open_lists if not turn else open_lists.drop("n").join(marked, "id")
+        more = [] if not turn else ["pn", *MARKS]
+        may_lead = rows if turn < len(FIRST_LEADERS) else rows.where("component <> main")
+        order = F.struct(F.xxhash64("id").alias("h"), "id", "n", "pos", "component", *more)
+        lead = may_lead.groupBy("token", F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("part")).agg(F.min(order).alias("l"))
+        lead = lead.select("token", F.col("l.id").alias("leader"), *(F.col(f"l.{c}").alias(f"l{c}") for c in ("n", "pos", "component", *more)))
         near = (F.col("id") != F.col("leader")) & (F.col("component") != F.col("lcomponent")) & (100 * F.least("n", "ln") >= percent * F.greatest("n", "ln"))
         # shingles have one order, so a shared one at these places leaves that many that can be common
-        most = F.least("pos", "lpos") + 1 + F.least(F.col("n") - F.col("pos"), F.col("ln") - F.col("lpos")) - 1
-        # shingles of one prefix whose bits the other lacks are not in the other
-        lacking = lambda x, y: reduce(add, (F.bit_count(F.col(f"{x}{m}").bitwiseAND(F.bitwise_not(f"{y}{m}"))) for m in MARKS))
-        common = F.least(F.col("pn") - lacking("", "l"), F.col("lpn") - lacking("l", "")) + F.greatest(F.col("n") - F.col("pn"), F.col("ln") - F.col("lpn"))
-        near = near & ((100 + percent) * F.least(most, common) >= percent * (F.col("n") + F.col("ln")))
-        pairs = open_lists.join(lead, "token").where(near).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        pairs = materialize(_enough_shared(pairs, prefix, percent), "pairs")
-        wanted = materialize(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id").select("id", "cls", "rep"), "wanted")
-        links = _verify(pairs, materialize(sets_of(docs, wanted, shingle), "members"), percent)
-        if labels is not None:  # earlier links, as stars
-            links = links.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        most = F.least("pos", "lpos") + F.least(F.col("n") - F.col("pos"), F.col("ln") - F.col("lpos"))
+        near = near & ((100 + percent) * most >= percent * (F.col("n") + F.col("ln")))
+        if turn:
+            near = near & _alike("", "l", percent)
+        met = rows.join(lead, "token").where(near).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+        if not turn:
+            met = met.join(side("a"), F.col("a") == F.col("aid")).join(side("b"), F.col("b") == F.col("bid")).where(_alike("a", "b", percent)).select("a", "b")
+        pairs = materialize(_enough_shared(met, prefix, percent), "pairs")
+        wanted = materialize(classes.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id").select("id", "cls", "rep"), "wanted")
+        sets = materialize(sets_of(docs, wanted, shingle), "members")
+        links = _verify(pairs, sets, percent)
+        before = labels
+        if before is not None:  # earlier links, as stars
+            links = links.union(before.select(F.col("node").alias("a"), F.col("component").alias("b")))
         labels = connected_components(links)
-        sizes = labels.groupBy("component").agg(F.count("*").alias("comp_size"))
-        labelled = labels.join(sizes, "component").select(F.col("node").alias("id"), "component", "comp_size")
-        # bitmaps are joined again to the few lists that stay open
-        rest = open_lists.select("token", "pos", "id").join(lead.select("token", F.col("leader").alias("id")), ["token", "id"], "left_anti")
-        rest = rest.join(labelled, "id", "left").select("token", "pos", "id", F.coalesce("component", "id").alias("component"), F.coalesce("comp_size", F.lit(1)).alias("comp_size"))
+        rest = (open_lists if turn else open_lists.where("m > 2")).select(*slim)
+        rest = rest.join(lead.select("token", F.col("leader").alias("id")), ["token", "id"], "left_anti")
+        rest = rest.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         rest = materialize(rest, "rest")
-        apart = rest.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-        if not apart.limit(1).count():
+        by_component = rest.groupBy("token", "component").agg(F.count("*").alias("k"))
+        largest = by_component.groupBy("token").agg(F.count("*").alias("apart"), F.max(F.struct("k", "component"))["component"].alias("main")).where("apart > 1")
+        after = materialize(rest.join(largest.select("token", "main"), "token").select(*slim, "component", "main"), "open")
+        discard(pairs, wanted, sets, before, rest, open_lists if turn else lists)
+        open_lists, turn = after, turn + 1
+        if not open_lists.limit(1).count():
+            discard(open_lists, prefix)
             return labels
-        open_lists = materialize(rest.join(apart, "token").join(marked, "id").select("token", "pos", *own, "component", "comp_size"), "open")
-        leaders_a_list *= MORE_LEADERS

@@ -16,9 +16,9 @@ def shingle_set(text, k):
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
-def components(docs, k, percent):
-    """docs: (doc_id, text) -> doc_id -> (n, smallest id)."""
-    sets = [(d, frozenset(shingle_set(t, k))) for d, t in docs]
+def groups(texts, k, percent):
+    """For each text a number that it shares with those that links reach; and its set's size."""
+    sets = [frozenset(shingle_set(t, k)) for t in texts]
     parent = list(range(len(sets)))
 
     def find(x):
@@ -28,20 +28,37 @@ def components(docs, k, percent):
         return x
 
     holders = {}
-    for i, (_, s) in enumerate(sets):
+    for i, s in enumerate(sets):
         for x in s:
             holders.setdefault(x, []).append(i)
-    for i, (_, s) in enumerate(sets):
+    for i, s in enumerate(sets):
         shared = Counter(j for x in s for j in holders[x] if j < i)
         for j, n in shared.items():
-            if 100 * n >= percent * (len(s) + len(sets[j][1]) - n):
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
                 parent[find(i)] = find(j)
-    least = {}
-    for i, (d, _) in enumerate(sets):
-        r = find(i)
+    return [(find(i), len(s)) for i, s in enumerate(sets)]
+
+
+def components(docs, k, percent):
+    """docs: (doc_id, text) -> (doc_id, n, smallest id)."""
+    found, least = groups([t for _, t in docs], k, percent), {}
+    for (d, _), (r, _) in zip(docs, found, strict=True):
         if d is not None:
             least[r] = min(least.get(r, d), d)
-    return [(d, len(s), least.get(find(i))) for i, (d, s) in enumerate(sets)]
+    return [(d, n, least.get(r)) for (d, _), (r, n) in zip(docs, found, strict=True)]
+
+
+def one_of_each_group(rows, k, percent):
+    """Rows (doc_id and text among them) without a set, and of each group the first by doc_id (none last) and digest of the text."""
+    out, first = [], {}
+    for row, (r, n) in zip(rows, groups([x.text for x in rows], k, percent), strict=True):
+        if not n:
+            out.append(row)
+            continue
+        place = (row.doc_id is None, row.doc_id or 0, hashlib.md5(row.text.encode()).hexdigest())
+        if r not in first or place < first[r][0]:
+            first[r] = (place, row)
+    return out + [row for _, row in first.values()]
 
 
 def luhn(digits):
