@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.jaccard_join import jaccard_components
+from spanloom.llm.jaccard_join import surplus_rows
 from spanloom.llm.packing import pack
 from spanloom.llm.pii import redact
 from spanloom.llm.quality import keeps
@@ -28,19 +28,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies.
+    """One row of each group of near copies: the one of the smallest doc_id (nulls last), then text digest.
 
-    Documents without words or without a doc_id stay. Of rows that share a doc_id and a text, one stays.
+    Rows are told apart by doc_id and text, so that a doc_id may stand for several texts. Documents without
+    words stay. Of rows that share a doc_id and a text, one stays.
     """
     bounded_batches(spark)
-    labels = materialize(jaccard_components(docs, shingle=SHINGLE, percent=PERCENT).select("doc_id", "component_id"), "labels")
-    surplus = labels.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(surplus, "doc_id", "left_anti").select(docs.columns)
-    repeated = materialize(labels.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
+    surplus, repeated = surplus_rows(docs, shingle=SHINGLE, percent=PERCENT)
+    same = lambda rows: docs["doc_id"].eqNullSafe(rows["doc_id"]) & (F.md5(docs["text"]) == rows["digest"])
+    kept = docs.join(surplus, same(surplus), "left_anti")
     if not repeated.limit(1).count():
         return kept
-    once, again = kept.join(repeated, "doc_id", "left_anti"), kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.select(docs.columns).unionByName(again.select(docs.columns))
+    once, again = kept.join(repeated, same(repeated), "left_anti"), kept.join(repeated, same(repeated), "left_semi")
+    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,55 +4,107 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Two-part public suffixes, and parameters that only track.
-TWO_PART = "co.uk co.jp co.kr co.nz co.za co.in com.au com.br com.cn com.mx com.tw org.uk net.au ac.uk gov.uk".split()
-TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content utm_id fbclid gclid gclsrc dclid msclkid twclid ref source affiliate aff clickid irclickid".split()
-PATH_WORDS = "podcast podcasts offer offers promo code deal deals try start go special partner ref show radio".split()
+# Two-part public suffixes.
+TWO_PART = ("co.uk", "co.jp", "co.kr", "co.nz", "co.za", "co.in", "com.au", "com.br", "com.cn", "com.mx", "com.tw", "org.uk", "net.au", "ac.uk", "gov.uk")
+# Parameters that only track.
+TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "fbclid", "gclid", "gclsrc", "dclid", "msclkid", "twclid", "ref", "source", "affiliate", "aff", "clickid", "irclickid")
+# Path segments that keep their names.
+PATH_WORDS = ("podcast", "podcasts", "offer", "offers", "promo", "code", "deal", "deals", "try", "start", "go", "special", "partner", "ref", "show", "radio")
 # Named entities, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&#x27;", "'"), ("&#x2F;", "/"),
+    ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&lsquo;", "\u2018"), ("&rsquo;", "\u2019"), ("&ldquo;", "\u201c"), ("&rdquo;", "\u201d"), ("&hellip;", "\u2026"), ("&amp;", "&"),
+)
+# Words that carry nothing.
+FILLERS = ("um", "uh", "like", "so", "well", "basically", "actually", "literally", "right", "okay")
+# Phrases of promotion by family, on text in lower case without punctuation, and each family's weight.
+PHRASES = {
+    "sponsor": (1.0, ("brought to you by", "sponsored by", "today s sponsor", "thanks to our sponsor", "this episode is sponsored", "this podcast is brought", "a word from our sponsor", "message from our sponsor", "supported by")),
+    "promoCode": (1.2, ("use code [a-z0-9_]+", "promo code [a-z0-9_]+", "discount code [a-z0-9_]+", "coupon code [a-z0-9_]+", "code [a-z0-9_]+ at checkout", "enter code [a-z0-9_]+")),
+    "urlCTA": (0.8, ("[a-z0-9_]+ com slash [a-z0-9_]+", "dot com slash [a-z0-9_]+", "check out [a-z0-9_]+", "head to [a-z0-9_]+", "go to [a-z0-9_]+ com", "visit [a-z0-9_]+ com", "head over to", "[a-z0-9_]+ dot com", "click the link", "link in the description", "link in the show notes")),
+    "purchaseLanguage": (0.9, ("free trial", "money back guarantee", "first month free", "[0-9]+ percent off", "satisfaction guarantee", "risk free", "sign up today", "sign up now", "limited time offer", "exclusive offer", "special offer")),
+    "transitionMarker": (0.3, ("let s get back to", "and now back to", "back to the show", "back to the episode", "anyway\\b", "without further ado", "moving on")),
+}
+# The addresses that count as strong, on the raw text.
+STRONG_URL, STRONG_WEIGHT = "\\b[a-z0-9][a-z0-9-]*(?:[.][a-z0-9][a-z0-9-]*)*[.](?:com|net|org|io|co|app|fm|tv)\\b", 0.95
+# What an address in a text looks like.
+ADDRESS = "(?i)(?:https?://)?(?:www[.])?(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?[.])+(?:com|net|org|io|co|app|fm|tv|me|info|biz|us|uk|ca|de|fr|es|it|nl|au|dev|tech|store|shop|edu|gov|mil|xyz|link|ly|gg)(?:/[^\\s<>\"')\\]]*)?"
 
 
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "[ \\t\\n\\r\\f\\x0B]+", " "))
 
 
-def strip_html(html: Column) -> Column:
-    """Tags as spaces, named entities decoded, white space collapsed."""
-    out = F.regexp_replace(html, "<[^>]*>", " ")
+def decode_entities(text: Column) -> Column:
+    """Named entities, then decimal, then hexadecimal ones. What names no character stays."""
     for name, character in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(character))
-    return collapse(out)
+        text = F.replace(text, F.lit(name), F.lit(character))
+    for pattern, lead, base in (("&#([0-9]+);", "&#", 10), ("&#x([0-9a-fA-F]+);", "&#x", 16)):
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+        text = F.when(text.contains("&#"), F.aggregate(found, text, _put_character(lead, base))).otherwise(text)
+    return text
+
+
+def _put_character(lead: str, base: int):
+    def put(out: Column, digits: Column) -> Column:
+        code = F.conv(digits, base, 10).try_cast("long")
+        real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF) & (F.length(digits) <= 7)
+        character = F.decode(F.unhex(F.lpad(F.hex(F.when(real, code).otherwise(32)), 8, "0")), "UTF-32")
+        return F.when(real, F.replace(out, F.concat(F.lit(lead), digits, F.lit(";")), character)).otherwise(out)
+
+    return put
+
+
+def strip_html(html: Column) -> Column:
+    """Tags as spaces, entities decoded, white space collapsed."""
+    return collapse(decode_entities(F.regexp_replace(html, "<[^>]+>", " ")))
+
+
+def with_scheme(url: Column) -> Column:
+    return F.when(F.lower(url).rlike("^https?://"), url).otherwise(F.concat(F.lit("https://"), url))
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
+    return F.lower(F.regexp_extract(with_scheme(url), "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
 
 
 def domain(url: Column) -> Column:
-    """The registrable domain: two labels, or three behind a two-part suffix."""
+    """The registrable domain: two labels, or three behind a two-part suffix; null for numbers and single labels."""
     labels = F.split(host(url), "\\.")
     last = lambda n: F.concat_ws(".", F.slice(labels, F.greatest(F.lit(1), F.size(labels) - n + 1), F.lit(n)))
-    return F.when(last(2).isin(TWO_PART), last(3)).otherwise(last(2))
+    named = ~host(url).rlike("^[0-9.]*$") & (F.size(labels) >= 2)
+    return F.when(named, F.when((F.size(labels) >= 3) & last(2).isin(*TWO_PART), last(3)).otherwise(last(2)))
+
+
+def domains_in(text: Column) -> Column:
+    """The distinct registrable domains of the addresses in a text, in order."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(ADDRESS), F.lit(0)), lambda u: domain(F.regexp_replace(u, "(?i)^((https?://)?)www[.]", "$1")))
+    return F.array_distinct(F.filter(found, lambda d: d.isNotNull()))
 
 
 def canonical_url(url: Column) -> Column:
-    """Lower-case host without www, no fragment, tracking parameters or slash at the end."""
-    bare = F.regexp_replace(url, "#.*$", "")
-    path = F.regexp_replace(F.regexp_extract(bare, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*(/[^?]*)?", 1), "/+$", "")
-    query = F.regexp_extract(bare, "\\?(.*)$", 1)
-    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(F.split_part(p, F.lit("="), F.lit(1))).isin(TRACKING))
+    """Host in lower case; no tracking parameters, default port or slash at the end of the path. An address without a scheme stays so."""
+    whole = with_scheme(url)
+    scheme = F.regexp_extract(whole, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
+    user = F.regexp_extract(whole, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?", 1)
+    port = F.regexp_extract(whole, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/:?#]+(:[0-9]+)", 1)
+    path = F.regexp_extract(whole, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)?", 1)
+    query, fragment = F.regexp_extract(whole, "^[^?#]*[?]([^#]*)", 1), F.regexp_extract(whole, "(#.*)$", 1)
+    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(F.split_part(p, F.lit("="), F.lit(1))).isin(*TRACKING))
     tail = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.concat_ws("&", kept))).otherwise("")
-    return F.concat(F.lower(F.regexp_extract(bare, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1)), F.lit("://"), F.regexp_replace(host(url), "^www\\.", ""), path, tail)
+    cut = F.when((F.length(path) > 1) & path.endswith("/"), F.substring(path, F.lit(1), F.length(path) - 1)).otherwise(path)
+    out = F.concat(user, host(url), F.when(port.isin(":80", ":443"), "").otherwise(port), cut, tail, fragment)
+    return F.when(F.lower(url).rlike("^https?://"), F.concat(scheme, F.lit("://"), out)).otherwise(out)
 
 
 def path_shape(url: Column) -> Column:
     """The path with all but well-known segments as stars."""
-    path = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    path = F.regexp_extract(with_scheme(url), "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    return F.concat(F.lit("/"), F.concat_ws("/", F.transform(parts, lambda s: F.when(F.lower(s).isin(PATH_WORDS), F.lower(s)).otherwise("*"))))
+    return F.concat(F.lit("/"), F.concat_ws("/", F.transform(parts, lambda s: F.when(F.lower(s).isin(*PATH_WORDS), F.lower(s)).otherwise("*"))))
 
 
 def redact(text: Column, patterns: Sequence[tuple[str, str]]) -> Column:
@@ -74,11 +126,13 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    """Inner product; the shorter vector is padded with zeros."""
+    number = lambda x: F.coalesce(x.cast("double"), F.lit(0.0))
+    return F.aggregate(F.zip_with(a, b, lambda x, y: number(x) * number(y)), F.lit(0.0), lambda s, x: s + x)
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine, nothing below 0; 0 for a vector without length."""
+    """Cosine of vectors padded with zeros, nothing below 0; 0 for a vector without length."""
     size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(size > 0, F.greatest(F.lit(0.0), dot(a, b) / size)).otherwise(0.0)
 
@@ -87,3 +141,117 @@ def canberra_similarity(a: Column, b: Column) -> Column:
     """exp(-4 * mean(|a - b| / (a + b + 1e-6))) of non-negative vectors."""
     parts = F.zip_with(a, b, lambda x, y: F.abs(x - y) / (x + y + F.lit(1e-6)))
     return F.exp(-4 * F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / F.size(parts))
+
+
+def plain_words(text: Column) -> Column:
+    """Lower case, letters, digits and white space only, without fillers: the words in order."""
+    kept = F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}\\s]", "")
+    return F.filter(F.split(kept, "\\s+"), lambda w: (w != "") & ~w.isin(*FILLERS))
+
+
+def spoken(text: Column) -> Column:
+    """Lower case with everything but letters and digits as single spaces: what the phrases are matched on."""
+    return F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", " "))
+
+
+def phrase_counts(text: Column, families: dict[str, tuple[float, tuple[str, ...]]]) -> dict[str, Column]:
+    """Matches of each family's patterns, each pattern by itself."""
+    out = {}
+    for family, (_, patterns) in families.items():
+        total = F.lit(0).cast("long")
+        for p in patterns:
+            total = total + F.regexp_count(text, F.lit(p)).cast("long")
+        out[family] = total
+    return out
+
+
+def interpolated(start: Column, end: Column, position: Column, length: Column) -> Column:
+    """The time of a place in a text that runs from start to end."""
+    return F.when(length > 0, start + (end - start) * (position / length)).otherwise(start)
+
+
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out once a row: ``inline`` of one struct, unlike a projection, is not merged into later uses."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+
+
+def speech_quality(rows: DataFrame, text: str, seconds: Column) -> DataFrame:
+    """``rows`` with the parts of a transcript's quality (0 to 1): punctuation, density, repetition, word_length."""
+    rows = once(rows, _w=F.filter(F.split(text, "\\s+"), lambda w: w != ""), _s=seconds.cast("double"))
+    n = F.size("_w")
+    pair = lambda i: F.lower(F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1)))
+    rows = once(rows, _p=F.when(n >= 10, F.array_sort(F.transform(F.sequence(F.lit(0), n - 2), pair))), _l=F.transform("_w", lambda w: F.length(w).cast("double")), _u=F.transform("_w", lambda w: unusual_word(F.lower(w))))
+    enders = F.length(F.regexp_replace(text, "[^.!?]", ""))
+    clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    punctuation = F.when(n < 5, 0.5).otherwise(clamp(1 - F.abs(enders / F.greatest(F.lit(1.0), n / 20) - 1) * 0.5))
+    rate = n / F.nullif("_s", F.lit(0.0))
+    density = F.when(F.col("_s") <= 0, 0.0).when(rate.between(1.5, 4.0), 1.0).when(rate.between(1.0, 5.0), 0.6).when(rate.between(0.5, 6.0), 0.3).otherwise(0.0)
+    # of the sorted pairs, those that stand there more than twice: two of their neighbours are equal
+    same = lambda p, i: p.eqNullSafe(F.get("_p", i))
+    often = F.size(F.filter("_p", lambda p, i: same(p, i - 2) | (same(p, i - 1) & same(p, i + 1)) | same(p, i + 2)))
+    repetition = F.when(n < 10, 0.8).otherwise(F.greatest(F.lit(0.0), 1 - often / (n - 1) * 3))
+    total = lambda c, f=lambda x: x: F.aggregate(c, F.lit(0.0), lambda s, x: s + f(x))
+    rows = once(rows, _m=total("_l") / n, _q=total("_l", lambda x: x * x) / n, _f=total("_u") / n)
+    deviation = F.sqrt(F.greatest(F.lit(0.0), F.col("_q") - F.col("_m") * F.col("_m")))
+    by_mean = F.when(F.col("_m").between(3.0, 7.0), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(F.col("_m") - 5) * 0.2))
+    by_deviation = F.when(deviation.between(1.5, 4.0), 1.0).when(deviation < 1.5, deviation / 1.5).otherwise(F.greatest(F.lit(0.0), 1 - (deviation - 4) * 0.2))
+    length = F.when(n < 5, 0.5).otherwise(clamp((by_mean + by_deviation) / 2 * (1 - F.col("_f"))))
+    return once(rows, punctuation=punctuation, density=density, repetition=repetition, word_length=length).drop("_w", "_s", "_p", "_l", "_u", "_m", "_q", "_f")
+
+
+def unusual_word(w: Column) -> Column:
+    """Penalty of a word in lower case for what words seldom are, 1 at most."""
+    letters, digits = F.length(F.regexp_replace(w, "[^\\p{L}]", "")), F.length(F.regexp_replace(w, "[^\\p{N}]", ""))
+    vowels = F.length(F.regexp_replace(w, "[^aeiouy]", ""))
+    part = lambda c, x: F.when(c, x).otherwise(0.0)
+    total = part(letters == 0, 0.4) + part((digits > 0) & (letters > 0), 0.2) + part(F.length(w) > 18, 0.3) + part(w.rlike("(.)\\1\\1\\1"), 0.3) + part((letters >= 5) & (vowels / letters < 0.15), 0.2)
+    return F.least(F.lit(1.0), total)
+
+
+def quality_level(score: Column) -> Column:
+    return F.when(score >= 0.65, "good").when(score >= 0.35, "degraded").otherwise("unusable")
+
+
+def role_flags(rows: DataFrame, text: str, roles: dict[str, str]) -> DataFrame:
+    """``rows`` with ``found``: the first sentence of each role that the text has, as an array of (role, at)."""
+    rows = once(rows, _s=F.filter(F.split(F.lower(text), "[.!?]+"), lambda s: F.trim(s) != ""))
+    first = lambda p: F.array_min(F.filter(F.transform("_s", lambda s, i: F.when(s.rlike(p), i)), lambda i: i.isNotNull()))
+    return once(rows, found=F.filter(F.array(*(F.struct(F.lit(r).alias("role"), first(p).alias("at")) for r, p in roles.items())), lambda x: x["at"].isNotNull())).drop("_s")
+
+
+def order_consistency(found: str) -> Column:
+    """Share of the pairs of roles, in their expected order, whose sentences are in that order too."""
+    pairs = F.flatten(F.transform(found, lambda a, i: F.transform(F.slice(found, i + 2, F.greatest(F.size(found) - i - 1, F.lit(0))), lambda b: (a["at"] <= b["at"]).cast("double"))))
+    return F.when(F.size(found) > 1, F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / F.size(pairs)).otherwise(1.0)
+
+
+def redact_related(text: Column, triggers: Sequence[tuple[str, str]], related: Sequence[tuple[str, str]]) -> Column:
+    """Triggers' matches as placeholders; the related patterns' too, but only in a text that has a trigger."""
+    has = F.lit(False)
+    for pattern, _ in triggers:
+        has = has | text.rlike(pattern)
+    clean = redact(text, triggers)
+    return F.when(has, redact(clean, related)).otherwise(clean)
+
+
+def numbered(rows: DataFrame, text: str, pattern: str, name: str, out: str) -> DataFrame:
+    """``out``: each distinct match, in lower case, as ``[NAME_A]``, ``[NAME_B]``, ... by its first place; the same value has the same letter."""
+    rows = once(rows, _m=F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    rows = once(rows, _d=F.array_distinct(F.transform("_m", F.lower)), _p=F.split(text, pattern))
+    letter = lambda i: F.concat(F.when(i >= 26, F.char((F.lit(64) + F.floor(i / 26)).cast("int"))).otherwise(""), F.char((F.lit(65) + F.pmod(i, F.lit(26))).cast("int")))
+    put = lambda m: F.when(m.isNull(), "").otherwise(F.concat(F.lit(f"[{name}_"), letter(F.array_position("_d", F.lower(m)) - 1), F.lit("]")))
+    joined = F.array_join(F.flatten(F.zip_with("_p", "_m", lambda p, m: F.array(p, put(m)))), "")
+    return rows.withColumn(out, F.when(F.size("_m") > 0, joined).otherwise(F.col(text))).drop("_m", "_d", "_p")
+
+
+def first_host(hosts: Column, networks: Sequence[tuple[str, str]]) -> Column:
+    """The network of the first pattern, in order of precedence, that any host holds; ``unknown`` otherwise."""
+    out = F.when(F.lit(False), "")
+    for pattern, network in networks:
+        out = out.when(F.exists(hosts, lambda h: F.lower(h).contains(pattern)), network)  # noqa: B023
+    return out.otherwise("unknown")
+
+
+def spoken_domain(name: Column) -> Column:
+    """How a domain is said: its labels with ``dot`` between them."""
+    return F.replace(name, F.lit("."), F.lit(" dot "))

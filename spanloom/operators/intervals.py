@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Spans of more buckets than this are joined by their keys alone.
+LONGEST = 64
+
+
 def valid(spans: DataFrame) -> DataFrame:
     return spans.where(F.col("start").isNotNull() & F.col("end").isNotNull() & (F.col("start") <= F.col("end")))
 
@@ -70,16 +74,25 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: Sequence[str], bucket: int) -
     """Pairs with ``a.start < b.end`` and ``b.start < a.end``, as structs a and b.
 
     A range join as an equi-join: spans go to every bucket that they meet, and a pair counts in the
-    bucket where the later of the two starts. Buckets also spread the rows of a frequent key.
+    bucket where the later of the two starts. Buckets also spread the rows of a frequent key. A span of
+    more than ``LONGEST`` buckets, an open end included, is not dealt out.
     """
 
+    long = lambda e, s: e - s > bucket * LONGEST
+
     def dealt(spans: DataFrame, name: str) -> DataFrame:
         cells = F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))
-        return valid(spans).select(*keys, F.explode(cells).alias("_cell"), F.struct(*spans.columns).alias(name))
+        some = valid(spans).where(~long(F.col("end"), F.col("start")))
+        return some.select(*keys, F.explode(cells).alias("_cell"), F.struct(*spans.columns).alias(name))
 
-    both = dealt(a, "a").join(dealt(b, "b"), [*keys, "_cell"])
+    whole = lambda spans, name: valid(spans).select(*keys, long(F.col("end"), F.col("start")).alias("_long"), F.struct(*spans.columns).alias(name))
     meets = (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
-    return both.where(meets & (F.floor(F.greatest("a.start", "b.start") / bucket) == F.col("_cell"))).drop("_cell")
+    both = dealt(a, "a").join(dealt(b, "b"), [*keys, "_cell"])
+    both = both.where(meets & (F.floor(F.greatest("a.start", "b.start") / bucket) == F.col("_cell"))).drop("_cell")
+    # the few spans of very many buckets are joined by their keys alone
+    a_long, b_long = whole(a, "a").where("_long").drop("_long"), whole(b, "b").where("_long").drop("_long")
+    b_short = whole(b, "b").where("NOT _long").drop("_long")
+    return both.unionByName(a_long.join(b_short.unionByName(b_long), keys).where(meets)).unionByName(whole(a, "a").where("NOT _long").drop("_long").join(b_long, keys).where(meets))
 
 
 def overlap_length(a: str = "a", b: str = "b") -> Column:

@@ -7,19 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.operators.intervals import merge
+from spanloom.operators.intervals import merge, overlap_join
 
 
 def hit_groups(hits: DataFrame, keys: Sequence[str], gap: int, least: float = 0.95, cap: float = 0.95) -> DataFrame:
-    """Groups of hits (start, end, weight) no more than ``gap`` apart, with a score that saturates.
+    """Groups of promoting hits (start, end, weight) no more than ``gap`` apart, with a score that saturates.
 
-    A group needs two hits, or one hit of weight ``least``.
+    A group needs two hits, or one of weight ``least``. Hits of negative weight promote nothing: those within ``gap``
+    of a group only lower its weight. Hits of which the optional column ``metadata`` is true count in a group that has others, and
+    never make one strong. Weights are summed as hundredths.
     """
-    marked = hits.select(*keys, "start", "end", F.lit(1).cast("long").alias("n_hits"), (F.col("weight") * 100).cast("long").alias("weight"), (F.col("weight") >= least).cast("long").alias("n_strong"))
-    groups = merge(marked, keys, gap=gap, sums=["n_hits", "weight", "n_strong"])
+    meta = F.coalesce(F.col("metadata"), F.lit(False)) if "metadata" in hits.columns else F.lit(False)
+    rows = hits.select(*keys, "start", "end", F.round(F.col("weight") * 100).cast("long").alias("weight"), meta.alias("_meta"))
+    own = (~F.col("_meta")).cast("long")
+    marked = rows.where("weight >= 0").select(*keys, "start", "end", F.lit(1).cast("long").alias("n_hits"), "weight", (own * (F.col("weight") >= round(least * 100)).cast("long")).alias("n_strong"), own.alias("n_own"))
+    groups = merge(marked, keys, gap=gap, sums=["n_hits", "weight", "n_strong", "n_own"])
+    negative = rows.where("weight < 0").select(*keys, (F.col("start") - gap).alias("start"), (F.col("end") + gap).alias("end"), F.col("weight").alias("less"))
+    closed = groups.withColumn("end", F.col("end") + 1)  # ends are closed here
+    near = overlap_join(negative.withColumn("end", F.col("end") + 1), closed, keys, bucket=max(1, 4 * gap))
+    less = near.groupBy(*keys, F.col("b.start").alias("start")).agg(F.sum("a.less").alias("less"))
+    scored = groups.join(less, [*keys, "start"], "left").withColumn("weight", F.col("weight") + F.coalesce("less", F.lit(0)))
     total = F.greatest(F.col("weight"), F.lit(0)) / 100.0
     score = F.least(F.lit(cap), 1 - 1 / (1 + F.lit(0.3) * total))
-    return groups.where("n_hits >= 2 OR n_strong >= 1").select(*keys, "start", "end", "n_hits", F.round(score, 6).alias("score"))
+    return scored.where("n_own >= 1 AND (n_hits >= 2 OR n_strong >= 1)").select(*keys, "start", "end", "n_hits", F.round(score, 6).alias("score"))
 
 
 def regularize(spans: DataFrame, keys: Sequence[str], near: int, short: int, strong: float = 0.8) -> DataFrame:
@@ -91,16 +101,24 @@ def match_greedy(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return claims.withColumn("_k", F.row_number().over(keep)).where("_k = 1").drop("_c", "_k")
 
 
-def pr_curve_area(samples: DataFrame, score: str, positive: Column) -> DataFrame:
+def pr_curve_area(samples: DataFrame, score: str, positive: Column, bins: int = 4096) -> DataFrame:
     """Area under precision and recall by trapezoids, tied scores as one step, from (0, 1).
 
-    Only one row for each distinct score reaches the ordered window.
+    Scores are summed up in ``bins`` ranges between the least and the largest; the ordered window over all of them
+    sees one row a range, and each range's own steps are then summed behind what lies above it.
     """
     steps = samples.groupBy(score).agg(F.sum(positive.cast("long")).alias("tp"), F.count("*").alias("n"))
-    order = Window.orderBy(F.desc(score))
+    ends = steps.agg(F.min(score).alias("lo"), F.max(score).alias("hi"), F.sum("tp").alias("all"))  # one row
+    place = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col(score) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).otherwise(0)
+    placed = steps.join(F.broadcast(ends)).withColumn("bin", place)
+    above = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    # ``bins`` rows at most; the last step of a range is the point before the next range's first
+    ranges = placed.groupBy("bin").agg(F.sum("tp").alias("t"), F.sum("n").alias("m")).select("bin", zero(F.sum("t").over(above)).alias("t0"), zero(F.sum("m").over(above)).alias("m0"))
+    order = Window.partitionBy("bin").orderBy(F.desc(score))
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    total = steps.agg(F.sum("tp").alias("all"))
-    run = steps.select(score, F.sum("tp").over(upto).alias("tp"), F.sum("n").over(upto).alias("n")).join(F.broadcast(total))  # one row
-    points = run.select(score, (F.col("tp") / F.col("all")).alias("r"), (F.col("tp") / F.col("n")).alias("p"))
-    edges = points.select("r", "p", F.lag("r", 1, 0.0).over(order).alias("r0"), F.lag("p", 1, 1.0).over(order).alias("p0"))
-    return edges.agg(F.round(F.sum((F.col("r") - F.col("r0")) * (F.col("p") + F.col("p0")) / 2), 6).alias("auc_pr"))
+    run = placed.join(F.broadcast(ranges), "bin").withColumns({"ctp": F.col("t0") + F.sum("tp").over(upto), "cn": F.col("m0") + F.sum("n").over(upto)})
+    was_tp, was_n = F.col("ctp") - F.col("tp"), F.col("cn") - F.col("n")
+    before = F.when(was_n > 0, was_tp / was_n).otherwise(1.0)
+    area = (F.col("tp") / F.col("all")) * (F.col("ctp") / F.col("cn") + before) / 2
+    return run.agg(F.round(F.sum(area), 6).alias("auc_pr"))

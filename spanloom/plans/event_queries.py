@@ -189,7 +189,7 @@ QUERIES = {
     "join_point_in_interval": (point_in_interval, f"WITH {_SPANS} SELECT a.event_id, count(b.event_id) AS n FROM events a LEFT JOIN spans b ON a.user_id = b.user_id AND b.event_type = 'purchase' AND epoch_us(a.ts) BETWEEN b.s AND b.e WHERE a.event_type = 'error' GROUP BY a.event_id"),
     "join_asof_forward": (asof_forward, "SELECT a.event_id, a.user_id, epoch_us(a.ts) AS at, (SELECT min(epoch_us(b.ts)) FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'purchase' AND b.ts >= a.ts AND epoch_us(b.ts) - epoch_us(a.ts) <= 86400000000) AS next_at FROM events a WHERE a.event_type = 'view'"),
     "false_ready_rate": (false_ready_rate, "WITH f AS (SELECT EXISTS (SELECT 1 FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'purchase' AND b.ts >= a.ts AND epoch_us(b.ts) - epoch_us(a.ts) <= 86400000000) AS ok FROM events a WHERE a.event_type = 'view') SELECT count(*) AS ready, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS not_followed, round(avg(CASE WHEN ok THEN 0.0 ELSE 1.0 END), 6) AS rate FROM f"),
-    "win_gap_group_score": (gap_group_score, "WITH hits AS (SELECT user_id, epoch_us(ts) AS s, epoch_us(ts) AS e, CASE event_type WHEN 'signup' THEN 120 WHEN 'purchase' THEN 90 WHEN 'click' THEN 80 WHEN 'view' THEN 30 ELSE -50 END AS w FROM events), g AS (" + _islands("hits", 6 * HOUR, ", count(*) AS n_hits, sum(w) AS w, sum(CASE WHEN w >= 95 THEN 1 ELSE 0 END) AS strong") + ') SELECT user_id, "start", "end", n_hits, round(least(0.95::DOUBLE, 1 - 1 / (1 + 0.3::DOUBLE * greatest(w, 0) / 100.0)), 6) AS score FROM g WHERE n_hits >= 2 OR strong >= 1'),
+    "win_gap_group_score": (gap_group_score, "WITH hits AS (SELECT user_id, epoch_us(ts) AS s, epoch_us(ts) AS e, CASE event_type WHEN 'signup' THEN 120 WHEN 'purchase' THEN 90 WHEN 'click' THEN 80 WHEN 'view' THEN 30 ELSE -50 END AS w FROM events), g AS (" + _islands("(SELECT * FROM hits WHERE w >= 0)", 6 * HOUR, ", count(*) AS n_hits, sum(w) AS w, sum(CASE WHEN w >= 95 THEN 1 ELSE 0 END) AS strong") + f'), t AS (SELECT g.*, w + coalesce((SELECT sum(h.w) FROM hits h WHERE h.user_id = g.user_id AND h.w < 0 AND h.s <= g."end" + {6 * HOUR} AND h.e >= g."start" - {6 * HOUR}), 0) AS total FROM g) SELECT user_id, "start", "end", n_hits, round(least(0.95::DOUBLE, 1 - 1 / (1 + 0.3::DOUBLE * greatest(total, 0) / 100.0)), 6) AS score FROM t WHERE n_hits >= 2 OR strong >= 1'),
     "win_regularize": (regularize, f"WITH {_SPANS}, m AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, EXISTS (SELECT 1 FROM spans b WHERE b.user_id = a.user_id AND b.event_id <> a.event_id AND b.confidence >= 0.8 AND ((b.s < a.s OR (b.s = a.s AND b.event_id < a.event_id)) AND a.s - b.e <= 3600000000 OR (b.s > a.s OR (b.s = a.s AND b.event_id > a.event_id)) AND b.s - a.e <= 3600000000)) AS backed FROM spans a) SELECT user_id, event_id AS id, round(confidence * CASE WHEN n = 1 OR backed THEN 1.0::DOUBLE WHEN e - s < 600000000 THEN 0.85::DOUBLE * 0.9::DOUBLE ELSE 0.85::DOUBLE END, 6) AS confidence FROM m"),
     "win_local_maxima": (local_maxima, f"SELECT event_id, user_id, value FROM (SELECT *, lag(value) OVER {_ORDER} AS l, lead(value) OVER {_ORDER} AS r FROM events) WHERE (l IS NULL OR value >= l) AND (r IS NULL OR value >= r)"),
     "win_energy_transition": (energy_transitions, f"SELECT event_id, CASE WHEN v > b THEN 'rise' ELSE 'drop' END AS kind FROM (SELECT event_id, value / 100 AS v, lag(value / 100) OVER {_ORDER} AS b FROM events) WHERE b IS NOT NULL AND greatest(v, b) >= 0.05::DOUBLE AND abs(v - b) >= 0.25::DOUBLE AND abs(v - b) / greatest(v, b) > 0.35::DOUBLE"),

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.plans import event_queries, table_queries
+from spanloom.plans import evaluation_queries, event_queries, feature_queries, join_queries, order_queries, rollup_queries, score_queries, table_queries, text_queries
+
+_MODULES = (event_queries, table_queries, score_queries, join_queries, rollup_queries, feature_queries, text_queries, order_queries, evaluation_queries)
 
 FLAGSHIP = "ivl_merge_events"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query for module in (event_queries, table_queries) for name, (query, _) in module.QUERIES.items()}
+    return {name: query for module in _MODULES for name, (query, _) in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in (event_queries, table_queries) for name, (_, sql) in module.QUERIES.items() if sql}
+    return {name: sql for module in _MODULES for name, (_, sql) in module.QUERIES.items() if sql}

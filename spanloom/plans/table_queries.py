@@ -132,7 +132,7 @@ def duplicates(spark, sf_dir):
     return docs.where("n > 1")
 
 
-_CLEAN = "regexp_replace(html, '<[^>]*>', ' ', 'g')"
+_CLEAN = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
 for _name, _character in tx.ENTITIES:
     _CLEAN = "replace({}, '{}', '{}')".format(_CLEAN, _name, _character.replace("'", "''"))
 _CLEAN = f"trim(regexp_replace({_CLEAN}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
@@ -151,7 +151,7 @@ QUERIES = {
     "txt_pattern_scan": (pattern_scan, f"WITH c AS (SELECT doc_id, {_COUNT(PATTERNS[0][0])} AS email, {_COUNT(PATTERNS[1][0])} AS url, {_COUNT(PATTERNS[2][0])} AS number FROM documents) SELECT doc_id, email, url, number, round(least(0.95::DOUBLE, 1 - 1 / (1 + 0.3::DOUBLE * ((12 * email + 8 * url + 3 * number) / 10.0::DOUBLE))), 6) AS score FROM c WHERE email + url + number > 0"),
     "txt_html_strip": (strip_html, f"SELECT page_id, length({_CLEAN}) AS n_chars, md5({_CLEAN}) AS text_md5 FROM pages"),
     "txt_domains": (domains, f"WITH h AS (SELECT string_split({_HOST}, '.') AS p FROM pages), d AS (SELECT array_to_string(p[-2:], '.') AS two, array_to_string(p[-3:], '.') AS three FROM h) SELECT CASE WHEN two IN ({_TWO}) THEN three ELSE two END AS domain, count(*) AS n FROM d GROUP BY 1"),
-    "txt_url_canon": (canonical_urls, f"WITH u AS (SELECT page_id, {_HOST} AS host, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, regexp_replace(url, '#.*$', '') AS bare FROM pages), v AS (SELECT *, regexp_replace(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*(/[^?]*)?', 1), '/+$', '') AS path, list_filter(string_split(regexp_extract(bare, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND lower(split_part(x, '=', 1)) NOT IN ({_TRACK})) AS kept FROM u) SELECT page_id, scheme || '://' || regexp_replace(host, '^www\\.', '') || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical FROM v"),
+    "txt_url_canon": (canonical_urls, f"WITH u AS (SELECT page_id, url, CASE WHEN regexp_matches(lower(url), '^https?://') THEN url ELSE 'https://' || url END AS w FROM pages), v AS (SELECT *, regexp_extract(w, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS scheme, regexp_extract(w, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?', 1) AS usr, lower(regexp_extract(w, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host, regexp_extract(w, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/:?#]+(:[0-9]+)', 1) AS port, regexp_extract(w, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)?', 1) AS path, list_filter(string_split(regexp_extract(w, '^[^?#]*[?]([^#]*)', 1), '&'), lambda x: x <> '' AND lower(split_part(x, '=', 1)) NOT IN ({_TRACK})) AS kept, regexp_extract(w, '(#.*)$', 1) AS fragment FROM u) SELECT page_id, CASE WHEN regexp_matches(lower(url), '^https?://') THEN scheme || '://' ELSE '' END || usr || host || CASE WHEN port IN (':80', ':443') THEN '' ELSE port END || CASE WHEN length(path) > 1 AND path LIKE '%/' THEN substring(path, 1, length(path) - 1) ELSE path END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END || fragment AS canonical FROM v"),
     "txt_path_shape": (path_shapes, f"SELECT '/' || array_to_string(list_transform(list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> ''), lambda s: CASE WHEN lower(s) IN ({_PATHS}) THEN lower(s) ELSE '*' END), '/') AS shape, count(*) AS n FROM pages GROUP BY 1"),
     "txt_ngram_jaccard": (ngram_jaccard, "WITH g AS (SELECT item_id, list_distinct(list_transform(generate_series(1, greatest(length(text) - 3, 1)), lambda i: substring(lower(text), i, 4))) AS g FROM benchmark) SELECT a.item_id, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity FROM g a JOIN g b ON b.item_id = a.item_id + 1"),
     "num_cosine": (label_cosine, "WITH p AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i), m AS (SELECT label, list(m ORDER BY i) AS mean FROM p GROUP BY label) SELECT vec_id, round(greatest(0.0, list_cosine_similarity(embedding::DOUBLE[], mean)), 5) AS cosine FROM embeddings JOIN m USING (label)"),
