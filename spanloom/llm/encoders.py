@@ -2,7 +2,8 @@
 
 A text is cut where the tokenizer's own pre-tokenisation cuts whatever stands on either side: ahead
 of white space that follows a visible character, and behind a run of letters when white space or
-plain punctuation follows. The stretches' ids, joined, are then the ids of the whole text.
+plain punctuation follows. The stretches' ids, joined, are then the ids of the whole text. A text that
+may hold one of the tokenizer's added tokens, which it finds in texts ahead of all else, is encoded whole.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import functools
 import os
 import re
 
+import numpy as np
+
 from spanloom.llm.token_counts import resolve
 
 # Unicode's White_Space (as in \\s of the tokenizers), and letters of Latin-1.
@@ -34,26 +37,25 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(resolve(vocabulary))
-        self.tokenizer.encode_special_tokens = True
-        self.splitter = Tokenizer.from_file(resolve(vocabulary))  # here special tokens count
-        plain = {i: t.content for i, t in self.splitter.get_added_tokens_decoder().items() if t.special and "<" in t.content and not (t.lstrip or t.rstrip or t.single_word)}
+        added = self.tokenizer.get_added_tokens_decoder()
+        plain = {i: t.content for i, t in added.items() if t.special and "<" in t.content and not (t.lstrip or t.rstrip or t.single_word)}
         self.mark_id, self.mark = max(plain.items(), default=(-1, ""))
         self.stretch = SPACED if keep_space else UNSPACED
         one = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         self.folds = all(one(f"a{c}") == one(f"A{c.upper()}") for c in "abcdefghijklmnopqrstuvwxyz")  # A-Z count as a-z
+        #: Tokens that the library sees in texts as they stand: a text that holds one, in any case if A-Z are folded, is encoded whole.
+        self.added = sorted({t.content.lower() if self.folds else t.content for t in added.values()})
         self.kept: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
     def _encode_new(self, new: list[str]) -> None:
         """Many stretches at once with a special token between them, which no stretch can hold; others one by one."""
-        import numpy as np
-
         alone = [x for x in new if "<" in x] if self.mark else new
         joined = [x for x in new if "<" not in x] if self.mark else []
         for k in range(0, len(joined), 4096):
             part = joined[k : k + 4096]
-            ids = np.array(self.splitter.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, self.dtype)
             ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
             raw, size, at = ids.tobytes(), ids.itemsize, 0
             for stretch, end in zip(part, ends, strict=True):
@@ -68,15 +70,18 @@ class Encoder:
         Stretches are kept in two generations: those in use move to the younger one, and the older one is
         dropped when the younger is full, so frequent stretches stay.
         """
-        if self.folds:  # fewer distinct stretches
-            texts = [x.encode().lower().decode() for x in texts]
-        found = [self.stretch.findall(x) for x in texts]
+        whole = {}
+        folded = [x.encode().lower().decode() for x in texts] if self.folds else texts  # fewer distinct stretches
+        for i, x in enumerate(folded):
+            if any(t in x for t in self.added):
+                whole[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.dtype).tobytes()
+        found = [[] if i in whole else self.stretch.findall(x) for i, x in enumerate(folded)]
         missing = set().union(*found).difference(self.kept) if found else set()
         for stretch in missing.intersection(self.before):
             self.kept[stretch] = self.before[stretch]
         self._encode_new(list(missing.difference(self.before)))
         get = self.kept.__getitem__
-        out = [b"".join(map(get, x)) for x in found]
+        out = [whole[i] if i in whole else b"".join(map(get, x)) for i, x in enumerate(found)]
         if len(self.kept) > MAX_KEPT:
             self.before, self.kept = self.kept, {}
         return out
