@@ -11,13 +11,16 @@ the sources' shares of all tokens; with given weights, an exhausted queue's shar
 Documents are cut at a turn's end and at a sequence's end. Every sequence but the last few is full, and
 the remainder fills sequences whose lengths are powers of two: there is no padding.
 
-One scan tokenises and writes ids with the tokens ahead in their task and queue; a sum per task and
-queue (not per document) comes to the driver; a second scan places the pieces. No shuffle of texts or
-ids. A source of any size is spread over all tasks.
+Sources of at least ``1 / SHARES`` of all tokens, no more than ``SHARES`` then, have queues of their own; smaller ones,
+which have less than a document in a window anyway, share one queue that takes their documents task by task. With given weights every source
+has its own.
 
-Defined results: null or empty text is a document of the end id alone; a null source is a queue;
-of more than ``MAX_QUEUES`` sources, those with one hash bucket share a queue; repeated rows are packed each; an
-empty table gives no pieces; only doc_id, text and source are read.
+One scan tokenises and writes ids with the tokens ahead in their task and source; sums per task and
+source (not per document) give each of these its place in its queue, by window sums on Spark, and are joined to the rows;
+a second scan places the pieces. A source of any size is spread over all tasks.
+
+Defined results: null or empty text is a document of the end id alone; a null source is a source;
+repeated rows are packed each; an empty table gives no pieces; only doc_id, text and source are read.
 """
 
 from __future__ import annotations
@@ -30,14 +33,14 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm import text as tx
 from spanloom.llm.encoders import worker_encoder
 from spanloom.llm.store import materialize
 
-MAX_QUEUES = 1000
+SHARES = 1000
 SLICE_BYTES = 1 << 22
 
 
@@ -107,12 +110,21 @@ class Layout:
             self._at[k] = [int(g + r * past) for g, r in zip(base, rate, strict=True)]
         return self._at[k]
 
+    def given_by(self, k: int, queue: int) -> int:
+        """Tokens that one queue has given up to window k."""
+        if k >= self.windows:
+            return self.totals[queue]
+        done = k * self.window
+        phase = bisect_right(self.starts, done) - 1
+        base, rate = self.phases[phase]
+        return int(base[queue] + rate[queue] * (done - self.starts[phase]))
+
     def pieces(self, queue: int, ahead: int, n: int) -> Iterator[tuple[int, int, int, int]]:
         """(start in the document, length, sequence, offset) of a document with ``ahead`` tokens of its queue before it."""
         lo, hi = 0, self.windows
         while hi - lo > 1:  # the last window that begins at or before it
             mid = (lo + hi) // 2
-            lo, hi = (mid, hi) if self.given(mid)[queue] <= ahead else (lo, mid)
+            lo, hi = (mid, hi) if self.given_by(mid, queue) <= ahead else (lo, mid)
         k, at = lo, 0
         while at < n:
             here, after = self.given(k), self.given(k + 1)
@@ -136,35 +148,39 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1
 
     ``weights``: target shares by source, in any unit; by default the sources' shares of all tokens.
     """
-    queue = F.col("source").cast("string")
-    if docs.select("source").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        if weights is not None:
-            raise ValueError(f"weights are for at most {MAX_QUEUES} sources")
-        queue = F.concat(F.lit("bucket "), F.pmod(F.xxhash64(queue), F.lit(MAX_QUEUES)).cast("string"))
-    table = materialize(tokenized(docs.select("doc_id", "text", queue.alias("source")), vocabulary, keep_space, end_id), "tokens")
-    starts: dict[tuple[str | None, int], int] = {}
-    totals: list[int] = []
-    queue_of: dict[str | None, int] = {}
-    for r in table.groupBy("source", "task").agg(F.sum("n").alias("n")).orderBy(F.col("source").asc_nulls_first(), "task").toLocalIterator():
-        q = queue_of.setdefault(r["source"], len(queue_of))
-        totals += [0] * (q + 1 - len(totals))
-        starts[r["source"], r["task"]] = totals[q]
-        totals[q] += r["n"]
-    shares = None if weights is None else [Fraction(weights.get(s, 0)) for s in queue_of]
-    layout = Layout(totals, shares, window * length, length)
-    shared = docs.sparkSession.sparkContext.broadcast((layout, starts, queue_of))
+    table = materialize(tokenized(docs.select("doc_id", "text", "source"), vocabulary, keep_space, end_id), "tokens")
+    sums = materialize(table.groupBy("source", "task").agg(F.sum("n").alias("n")), "sums")
+    by_source = sums.groupBy("source").agg(F.sum("n").alias("n"))
+    total = by_source.agg(F.sum("n")).first()[0] or 0
+    own = by_source if weights is not None else by_source.where(F.col("n") * SHARES >= total)
+    most = SHARES if weights is None else len(weights)
+    named = [(r["source"], r["n"]) for r in own.orderBy(F.col("source").asc_nulls_first()).limit(most + 1).collect()]
+    if weights is not None and any(not weights.get(s) for s, _ in named):
+        raise ValueError("each source with documents needs a positive weight")
+    totals = [n for _, n in named]
+    if sum(totals) < total:
+        totals.append(total - sum(totals))  # the small sources together
+    layout = Layout(totals, None if weights is None else [Fraction(weights[s]) for s, _ in named], window * length, length)
+    queues = F.broadcast(docs.sparkSession.createDataFrame([(s, i) for i, (s, _) in enumerate(named)], "name string, queue int"))  # SHARES rows at most
+    placed = sums.join(queues, F.col("source").eqNullSafe(F.col("name")), "left").withColumn("queue", F.coalesce("queue", F.lit(len(named)))).drop("name")
+    before = lambda *k: Window.partitionBy(*k).rowsBetween(Window.unboundedPreceding, -1)
+    tasks = placed.groupBy("queue", "task").agg(F.sum("n").alias("n")).select("queue", "task", F.coalesce(F.sum("n").over(before("queue").orderBy("task")), F.lit(0)).alias("first"))
+    inside = F.coalesce(F.sum("n").over(before("queue", "task").orderBy("source")), F.lit(0))
+    starts = placed.withColumn("inside", inside).join(tasks, ["queue", "task"]).select(F.col("source").alias("of"), F.col("task").alias("in_task"), "queue", (F.col("first") + F.col("inside")).alias("begin"))
+    rows = table.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("task") == F.col("in_task"))).select("doc_id", "source", "n", "ids", (F.col("begin") + F.col("ahead")).alias("at"), "queue")
+    shared = docs.sparkSession.sparkContext.broadcast(layout)  # some numbers for each of at most SHARES + 1 queues
     wide = worker_encoder(vocabulary, keep_space).dtype
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, ahead_of_task, queues = shared.value
+        plan = shared.value
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 rows: list[tuple] = []
-                for doc_id, source, n, raw, task, ahead in zip(*(c.to_pylist() for c in batch.slice(i, 512).columns), strict=True):
+                for doc_id, source, n, raw, at, queue in zip(*(c.to_pylist() for c in batch.slice(i, 512).columns), strict=True):
                     ids = np.frombuffer(raw, wide).astype("<u4").tobytes()
-                    for start, size, sequence, offset in plan.pieces(queues[source], ahead_of_task[source, task] + ahead, n):
+                    for start, size, sequence, offset in plan.pieces(queue, at, n):
                         rows.append((doc_id, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), n, sequence, offset, source))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 7 else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))], names=names)
 
-    return table.mapInArrow(place, ", ".join(f"{c} long" for c in names[:-1]) + ", source string")
+    return rows.mapInArrow(place, ", ".join(f"{c} long" for c in names[:-1]) + ", source string")

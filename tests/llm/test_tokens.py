@@ -24,6 +24,23 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_packing_of_very_many_sources(spark):
+    from pyspark.sql import functions as F
+
+    from spanloom.llm.packing import pack
+
+    small = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a few words of a small source").alias("text"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("source"))
+    large = spark.range(3000, 3400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("many words of the large one "), 20).alias("text"), F.lit("large").alias("source"))
+    pieces = pack(small.union(large).repartition(5), window=1, length=256).collect()
+    assert {p.source for p in pieces} == {f"s{i}" for i in range(3000)} | {"large"}
+    taken = defaultdict(int)
+    for p in pieces:
+        taken[p.sequence_id, p.source == "large"] += p.length
+    share = sum(n for (_, big), n in taken.items() if big) / sum(taken.values())
+    full = [i for i in {i for i, _ in taken} if taken[i, True] + taken[i, False] == 256]
+    assert all(abs(taken[i, True] - share * 256) <= 1 for i in full)  # every window has its share
+
+
 @pytest.mark.parametrize("source", ["edge", "table"])
 def test_packing_round_trip(spark, data, source):
     from spanloom.llm.packing import pack
