@@ -234,16 +234,20 @@ def _redacted(text: str | None, spans: list[Span]) -> str | None:
 
 
 def redact(docs: DataFrame, **limits: float) -> DataFrame:
-    """``docs`` with ``[KIND]`` in place of every span. Spans are joined by the text's digest: equal texts have equal spans."""
+    """``docs`` with ``[KIND]`` in place of every span.
+
+    Base spans are found again in each text; only what the model adds is joined, by the text's digest (equal texts have
+    equal spans), so that texts are not moved for it while it is small.
+    """
     scanned = materialize(_scan(docs, F.sha2("text", 256), "string").where(F.size("places") > 0), "places")
-    added = _added(scanned, "key", learn_patterns(scanned, **limits))
-    once = scanned.dropDuplicates(["key"]).select("key", _base().alias("base")).join(added, "key", "left")
-    spans = materialize(once.select(F.col("key").alias("_key"), _written(_every()).alias("_spans")).where("_spans <> ''"), "spans")
+    once = scanned.dropDuplicates(["key"])
+    added = _added(once, "key", learn_patterns(scanned, **limits))
+    spans = materialize(added.select(F.col("key").alias("_key"), _written(F.col("added")).alias("_spans")), "spans")
 
     @F.arrow_udf("string")
     def clean(text: pa.Array, written: pa.Array) -> pa.Array:
         read = lambda x: [(k, int(s), int(e)) for k, s, e in (y.split(":") for y in x.split(","))] if x else []
-        return pa.array([_redacted(t, read(x)) for t, x in zip(text.to_pylist(), written.to_pylist(), strict=True)], pa.string())
+        return pa.array([_redacted(t, [*base_spans(t), *read(x)]) if t else t for t, x in zip(text.to_pylist(), written.to_pylist(), strict=True)], pa.string())
 
     joined = docs.join(spans, F.sha2(docs["text"], 256) == spans["_key"], "left")
     return joined.select(*(clean(docs["text"], "_spans").alias("text") if c == "text" else docs[c] for c in docs.columns))
