@@ -2,11 +2,12 @@
 
 Two scans and no shuffle of text. The first adds up, per language, a histogram of character classes
 and one of common words over all documents (tasks send one row per language and bin). The second
-holds each document's histograms against its language's by the Jensen-Shannon distance.
+holds each document's histograms against its language's, less the document's own counts, by the Jensen-Shannon distance.
 
 Defined results: null or empty text has no words and fails the base rule; a null language is a
-language of its own; a language beyond the ``MAX_LANGUAGES`` with most words is held against the
-histogram of all languages; repeated rows get one result each; an empty table gives an empty one.
+language of its own; a language with less than ``1 / SHARES`` of all words, or that is mostly the document
+itself, is no reference: the histogram of all languages takes its place; repeated rows get one result each; an
+empty table gives an empty one.
 Only ``doc_id``, ``text`` and ``lang`` are read, so further columns cannot clash.
 """
 
@@ -29,10 +30,10 @@ COMMON_WORDS = (
     "el los las y del se por con para una no es lo al como su"
 )
 
-#: Languages with a reference of their own: the ones with most words.
-MAX_LANGUAGES = 1000
-#: Shorter documents, or languages with too little text beside the document's own, are not judged by divergence.
-MIN_WORDS, MIN_CHARS, MIN_REFERENCE = 80, 400, 20
+#: Languages with at least this part of all words have a reference of their own: there can be no more than ``SHARES``.
+SHARES = 1000
+#: Shorter documents are not judged by divergence.
+MIN_WORDS, MIN_CHARS = 80, 400
 #: Largest Jensen-Shannon distances (base 2, 0 to 1) of a kept document.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.30
 
@@ -133,7 +134,7 @@ def js_distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
 def references(docs: DataFrame) -> dict:
     """Summed histograms over all documents: ``by_lang``, and ``pooled`` over all languages.
 
-    Bounded: ``MAX_LANGUAGES`` rows of about a hundred numbers come to the driver.
+    Bounded: at most ``SHARES`` rows of about a hundred numbers come to the driver.
     """
     width = N_CHAR + N_WORD
 
@@ -154,33 +155,36 @@ def references(docs: DataFrame) -> dict:
                 lang = langs.dictionary[int(code)].as_py() if code < len(langs.dictionary) else None
                 total = hist[codes == code].sum(axis=0)
                 sums[lang] = sums[lang] + total if lang in sums else total
-            if len(sums) > MAX_LANGUAGES:
+            if len(sums) > SHARES:
                 yield flush()
         yield flush()
 
     bins = docs.select("text", "lang").mapInArrow(partial, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     per_lang = bins.groupBy("lang").agg(F.collect_list(F.struct("bin", "n")).alias("hist"), F.sum(F.when(F.col("bin") >= N_CHAR, F.col("n"))).alias("words"))
+    pooled = np.zeros(width, np.int64)
+    for b, n in bins.groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        pooled[b] = n
     found: dict[str | None, np.ndarray] = {}
-    for row in per_lang.orderBy(F.desc("words"), "lang").limit(MAX_LANGUAGES).collect():
+    for row in per_lang.where(F.col("words") * SHARES >= int(pooled[N_CHAR:].sum())).collect():
         hist = np.zeros(width, np.int64)
         for b, n in row["hist"]:
             hist[b] = n
         found[row["lang"]] = hist
-    pooled = np.zeros(width, np.int64)
-    for b, n in bins.groupBy("bin").agg(F.sum("n").alias("n")).collect() if len(found) == MAX_LANGUAGES else []:
-        pooled[b] = n
     return {"by_lang": found, "pooled": pooled}
 
 
 def judge(column: pa.Array, langs: pa.Array, refs: dict) -> dict[str, np.ndarray]:
     """Counts, base rule, distances and verdict for a batch."""
     f = features(column)
-    ref = np.array([refs["by_lang"].get(x, refs["pooled"]) for x in langs.to_pylist()], np.int64).reshape(len(column), N_CHAR + N_WORD)
     own = np.concatenate([f["chars"], f["common"]], axis=1)
+    # the document's own words are among its language's
+    ref = np.array([refs["by_lang"].get(x, refs["pooled"]) for x in langs.to_pylist()], np.int64).reshape(own.shape) - own
+    few = ref[:, N_CHAR:].sum(axis=1) < f["n_words"]
+    ref[few] = refs["pooled"] - own[few]
     f["char_distance"] = js_distance(own[:, :N_CHAR], ref[:, :N_CHAR])
     f["word_distance"] = js_distance(own[:, N_CHAR:], ref[:, N_CHAR:])
     f["base_failed"] = (f["n_words"] < 50) | (100 * f["n_repeat_words"] > 50 * f["n_words"])
-    judged = (f["n_words"] >= MIN_WORDS) & (f["word_chars"] >= MIN_CHARS) & (ref[:, N_CHAR:].sum(axis=1) >= MIN_REFERENCE * f["n_words"])
+    judged = (f["n_words"] >= MIN_WORDS) & (f["word_chars"] >= MIN_CHARS)
     far = (f["char_distance"] > MAX_CHAR_DISTANCE) | (f["word_distance"] > MAX_WORD_DISTANCE)
     f["kept"] = ~f["base_failed"] & ~(judged & far)
     return f

@@ -143,6 +143,42 @@ def test_quality(docs):
     assert not any(r.kept and r.base_failed for r in found)
 
 
+def _distance(a, b):
+    """Jensen-Shannon distance of two counters, base 2."""
+    import math
+
+    na, nb, total = sum(a.values()), sum(b.values()), 0.0
+    if not na or not nb:
+        return 0.0
+    for k in set(a) | set(b):
+        p, q = a[k] / na, b[k] / nb
+        total += sum(x * math.log2(2 * x / (p + q)) for x in (p, q) if x)
+    return math.sqrt(max(total, 0) / 2)
+
+
+def test_quality_by_divergence(spark):
+    from spanloom.llm import quality as q
+
+    good = " ".join(["the house of the man that is at the end of it and was for a long time by this river"] * 4)
+    words = good.split()
+    texts = [(i, " ".join(words[i % 7 :] + [f"w{i}"] * 3), ["en", "fr"][i % 2]) for i in range(12)] + [(20, " ".join(f"x{i}#$%|" for i in range(90)), "en"), (21, " ".join(f"q{i} of" for i in range(60)), None)]
+    common = set(q.common_word_list())
+    kinds = lambda t: Counter("space" if c in " \n" else "lower" if c.islower() else "digit" if c.isdigit() else "symbol" if c in "#*$%&|<>" else "punctuation" for c in t)
+    named = lambda t: Counter(w if w in common else "" for w in t.split())
+    by_lang, pooled = {}, (Counter(), Counter())
+    for _, t, lang in texts:
+        for side in (by_lang.setdefault(lang, (Counter(), Counter())), pooled):
+            side[0].update(kinds(t)), side[1].update(named(t))
+    for r in q.quality(spark.createDataFrame(texts, "doc_id long, text string, lang string")).collect():
+        _, t, lang = next(x for x in texts if x[0] == r.doc_id)
+        chars, own = kinds(t), named(t)
+        refs = by_lang[lang] if sum((by_lang[lang][1] - own).values()) >= r.n_words else pooled
+        d = _distance(chars, refs[0] - chars), _distance(own, refs[1] - own)
+        assert r.char_distance == pytest.approx(d[0], abs=1e-9) and r.word_distance == pytest.approx(d[1], abs=1e-9)
+        far = r.n_words >= q.MIN_WORDS and r.word_chars >= q.MIN_CHARS and (d[0] > q.MAX_CHAR_DISTANCE or d[1] > q.MAX_WORD_DISTANCE)
+        assert r.kept == (not r.base_failed and not far)
+
+
 def test_token_counts(docs):
     from spanloom.llm.token_counts import MARK, load_pieces, token_counts
 
