@@ -1,7 +1,78 @@
-"""DuckDB SQL for the queries of this package that SQL can express."""
+"""DuckDB SQL of the corpus queries that SQL can express; written for tables of some thousands of documents."""
 
 from __future__ import annotations
 
+from spanloom.llm import quality, secrets
+
+_WORD = "[^\\x20\\x09-\\x0D]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def jaccard(shingle: int = 3, percent: int = 90) -> str:
+    run = " || ' ' || ".join(f"w[i + {k}]" for k in range(shingle))
+    return f"""WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents),
+s AS (SELECT r, doc_id, list_distinct(CASE WHEN len(w) >= {shingle} THEN list_transform(range(1, len(w) - {shingle} + 2), lambda i: {run}) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM t),
+e AS (SELECT r, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.r AS a, b.r AS b FROM e a JOIN e b ON a.x = b.x AND a.r < b.r GROUP BY a.r, b.r HAVING 100 * count(*) >= {percent} * (any_value(a.n) + any_value(b.n) - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), reach AS (SELECT a, a AS z FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.z),
+c AS (SELECT reach.a AS r, min(s.doc_id) AS least FROM reach JOIN s ON s.r = reach.z GROUP BY 1)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(c.least, s.doc_id) AS component_id FROM s LEFT JOIN c USING (r)"""
+
+
+def _spans(kind: str, pattern: str, good: str, value: str = "m") -> str:
+    """Matches of a pattern with their places: the stretches between them, and they themselves, are added up."""
+    return f"""{kind}0 AS (SELECT r, regexp_split_to_array(text, '{pattern}') AS g, regexp_extract_all(text, '{pattern}') AS m FROM d WHERE regexp_matches(text, '{pattern}')),
+{kind} AS (SELECT r, {secrets.KINDS.index(kind)} AS rank, st AS s, st + length(m) AS e, {value} AS v FROM (SELECT r, m[i] AS m, CAST(coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS st
+FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM {kind}0)) WHERE {good})"""
+
+
+def ownership() -> str:
+    assign = secrets.ASSIGN.replace("'", "''")
+    many = lambda n, total: f"({n} >= 2 AND ({n} >= {secrets.WIDE} OR 2 * {n} >= {total}))"
+    names = "['assign', 'access', 'hex', 'generic']"
+    written = lambda c: f"array_to_string(list_transform(list_sort({c}), lambda x: {names}[x[2] + 1] || ':' || x[1] || ':' || x[3]), ',')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce('o' || source, 'n') AS owner, coalesce('o' || source, 'n') || '/' || coalesce('o' || lang, 'n') AS repository FROM documents),
+{_spans('assign', assign, 'length(v) >= 8', f"regexp_extract(m, '{assign}', 2)")}, {_spans('access', 'AKIA[A-Z0-9]{12,}', 'true')}, {_spans('hex', '[0-9a-f]{32,}', 'true')},
+{_spans('generic', '[A-Za-z0-9+/_-]{24,}', "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')")},
+base AS (SELECT * FROM assign UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hex),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM generic g WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = g.r AND b.s < g.e AND b.e > g.s)),
+known AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT repository) AS repositories FROM every JOIN d USING (r) GROUP BY v),
+total AS (SELECT count(DISTINCT owner) AS owners, count(DISTINCT repository) AS repositories FROM d),
+judged AS (SELECT every.*, k.owners, k.repositories, NOT ({many('k.owners', 't.owners')} AND {many('k.repositories', 't.repositories')}) AS own FROM every JOIN known k ON k.v = every.v CROSS JOIN total t),
+agg AS (SELECT r, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex, list([s, rank, e]) FILTER (WHERE rank < 3) AS b, list([s, rank, e, owners, repositories]) FILTER (WHERE rank < 3 OR own) AS x, count(*) FILTER (WHERE rank < 3 AND own) AS n_owner_specific, count(*) FILTER (WHERE rank < 3 AND NOT own) AS n_copied FROM judged GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce({written('b')}, '')) AS base_sha256, coalesce({written('x')}, '') AS spans, coalesce(n_owner_specific, 0) AS n_owner_specific, coalesce(n_copied, 0) AS n_copied,
+coalesce(array_to_string(list_transform(list_sort(x), lambda y: y[4]), ','), '') AS n_owners, coalesce(array_to_string(list_transform(list_sort(x), lambda y: y[5]), ','), '') AS n_repositories FROM d LEFT JOIN agg USING (r)"""
+
+
+def divergence() -> str:
+    count = lambda pattern: f"length(regexp_replace(text, '[^{pattern}]', '', 'g'))"
+    space, symbol = "\\x20\\x09-\\x0D", "#*$%&|<>"
+    rest = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum() and c != 32 and not 9 <= c <= 13 and chr(c) not in symbol)
+    classes = (space, "a-z", "A-Z", "0-9", symbol, rest, "\\x{C0}-\\x{FF}", "\\x{80}-\\x{BF}\\x{100}-\\x{7FF}", "\\x{800}-\\x{FFFF}", "\\x{10000}-\\x{10FFFF}")
+    words = ", ".join(f"('{w}')" for w in quality.common_word_list())
+    # of two histograms by bin, the square of the distance
+    part = lambda p, q: f"CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+n AS (SELECT *, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, {count(symbol)} AS n_symbols, string_split(text, chr(10)) AS lines FROM d),
+dup AS (SELECT r, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT r, unnest(lines) AS x FROM n) WHERE regexp_matches(x, '{_WORD}') GROUP BY r),
+win AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT r, w, unnest(range(1, n_words - 1)) AS i FROM n WHERE n_words >= 3)),
+twice AS (SELECT r, x FROM win GROUP BY r, x HAVING count(*) > 1),
+cov AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM win JOIN twice USING (r, x), range(3) t(k) GROUP BY r),
+f AS (SELECT n.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM n LEFT JOIN dup USING (r) LEFT JOIN cov USING (r)),
+ch AS ({" UNION ALL ".join(f"SELECT r, lang, 'c' AS side, '{i}' AS bin, {count(p)} AS c FROM f" for i, p in enumerate(classes))}),
+common(word) AS (VALUES {words}),
+wd AS (SELECT r, lang, 'w' AS side, coalesce(word, '') AS bin, count(*) AS c FROM (SELECT r, lang, unnest(w) AS x FROM f) LEFT JOIN common ON word = x GROUP BY ALL),
+h AS (SELECT * FROM ch UNION ALL SELECT * FROM wd),
+lh AS (SELECT lang, side, bin, sum(c) AS c FROM h GROUP BY ALL), ph AS (SELECT side, bin, sum(c) AS c FROM h GROUP BY ALL),
+lw AS (SELECT lang, sum(c) AS words FROM lh WHERE side = 'w' GROUP BY 1), pw AS (SELECT sum(c) AS words FROM lh WHERE side = 'w'),
+pick AS (SELECT f.*, lw.words IS NOT NULL AND lw.words * {quality.SHARES} >= pw.words AND lw.words - n_words >= n_words AS own_lang FROM f LEFT JOIN lw ON lw.lang IS NOT DISTINCT FROM f.lang CROSS JOIN pw),
+bins AS (SELECT k.r, q.side, q.bin, coalesce(h.c, 0) AS a, q.c - coalesce(h.c, 0) AS b FROM pick k JOIN lh q ON k.own_lang AND q.lang IS NOT DISTINCT FROM k.lang LEFT JOIN h ON h.r = k.r AND h.side = q.side AND h.bin = q.bin
+UNION ALL SELECT k.r, q.side, q.bin, coalesce(h.c, 0), q.c - coalesce(h.c, 0) FROM pick k JOIN ph q ON NOT k.own_lang LEFT JOIN h ON h.r = k.r AND h.side = q.side AND h.bin = q.bin),
+sums AS (SELECT *, a / nullif(sum(a) OVER (PARTITION BY r, side), 0) AS p, b / nullif(sum(b) OVER (PARTITION BY r, side), 0) AS q FROM bins),
+js AS (SELECT r, side, sqrt(greatest(sum({part('p', 'q')} + {part('q', 'p')}) / 2, 0)) AS d FROM sums WHERE p IS NOT NULL AND q IS NOT NULL GROUP BY r, side),
+v AS (SELECT f.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_words >= {quality.MIN_WORDS} AND word_chars >= {quality.MIN_CHARS} AND (coalesce(c.d, 0) > {quality.MAX_CHAR_DISTANCE} OR coalesce(w.d, 0) > {quality.MAX_WORD_DISTANCE}) AS far FROM f LEFT JOIN js c ON c.r = f.r AND c.side = 'c' LEFT JOIN js w ON w.r = f.r AND w.side = 'w')
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT far AS kept FROM v"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_ngram_jaccard": jaccard(), "op8_secret_ownership": ownership(), "op9_quality_divergence": divergence()}

@@ -167,6 +167,7 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1
     tasks = placed.groupBy("queue", "task").agg(F.sum("n").alias("n")).select("queue", "task", F.coalesce(F.sum("n").over(before("queue").orderBy("task")), F.lit(0)).alias("first"))
     inside = F.coalesce(F.sum("n").over(before("queue", "task").orderBy("source")), F.lit(0))
     starts = placed.withColumn("inside", inside).join(tasks, ["queue", "task"]).select(F.col("source").alias("of"), F.col("task").alias("in_task"), "queue", (F.col("first") + F.col("inside")).alias("begin"))
+    starts = materialize(starts, "starts")  # a written table's size is known, so a small one is sent to the rows instead of moving these
     rows = table.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("task") == F.col("in_task"))).select("doc_id", "source", "n", "ids", (F.col("begin") + F.col("ahead")).alias("at"), "queue")
     shared = docs.sparkSession.sparkContext.broadcast(layout)  # some numbers for each of at most SHARES + 1 queues
     wide = worker_encoder(vocabulary, keep_space).dtype
