@@ -37,3 +37,26 @@ def test_streams(spark, data, operator, tmp_path):
         query.stop()
     want = {tuple(r) for r in operator(events, ["user_id"]).collect()}
     assert got == want and len(want) > 100
+
+
+@pytest.mark.parametrize("which", ["segments", "hypotheses"])
+def test_machines(spark, tmp_path, which):
+    from spanloom.operators import segments as sg
+    from spanloom.streaming import machines as mc
+
+    kinds = ["sponsor", "body", "url", "return", "disclosure"]
+    rows = [(k, float(s), float(s + 4), ((s * 37 + k * 11) % 100) / 100, kinds[(s + k) % 5]) for k in range(3) for s in range(0, 1500, 5) if (s // 100 + k) % 3]
+    frame = spark.createDataFrame(rows, "k long, start double, end double, score double, kind string").withColumn("weight", F.lit(1.0)).withColumn("ts", F.timestamp_seconds(F.col("start") + 1_700_000_000))
+    far = frame.limit(1).withColumns({"k": F.lit(99).cast("long"), "ts": F.timestamp_seconds(F.lit(1_800_000_000))})
+    for i, part in enumerate([frame.where("start < 700"), frame.where("start >= 700"), far]):  # the last one ends all others
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    form = (lambda m, df: m.hysteresis_segments(df, ["k"], "k long", near=90.0)) if which == "segments" else (lambda m, df: m.hypotheses(df, ["k"], "k long"))
+    query = form(mc, stream).writeStream.outputMode("append").format("memory").queryName(which).option("checkpointLocation", f"{tmp_path}/state").start()
+    try:
+        query.processAllAvailable()
+        got = {tuple(r)[:5] for r in spark.table(which).collect() if r.k != 99}
+    finally:
+        query.stop()
+    want = {tuple(r)[:5] for r in form(sg, frame).collect()}
+    assert got == want and len(want) > 3
