@@ -229,10 +229,10 @@ def demotion(spark, sf_dir):
 
 
 def lease_journal(spark, sf_dir):
-    """Each user's latest run; those begun and silent for two days are orphans."""
+    """Each user's latest run; those begun and silent for six hours are orphans."""
     runs = st.latest(events(spark, sf_dir).select("user_id", "kind", "at", "event_id"), _USER, ["at", "event_id"])
     runs = runs.withColumns({"ended": F.when(F.col("kind") == "purchase", F.col("at")), "beat": F.col("at")})
-    return st.orphans(runs, _now(), 2 * _DAY).select("user_id", "event_id")
+    return st.orphans(runs, _now(), _DAY // 4).select("user_id", "event_id")
 
 
 def repeated_cache(spark, sf_dir):
@@ -244,7 +244,7 @@ def repeated_cache(spark, sf_dir):
 
 def broad_correction(spark, sf_dir):
     rows = events(spark, sf_dir).where("kind IN ('error', 'click')").select("k", F.when(F.col("kind") == "error", 1.0).otherwise(0.3).alias("weight"), F.col("user_id").alias("episode"), F.floor(F.col("at") / _DAY).alias("day"), "at")
-    return st.broad_promotion(rows, ["k"], "at", _now(), 10 * _DAY, 6, 4, 3).select("k", F.round("weighted", 6).alias("weighted"), "episodes", "days")
+    return st.broad_promotion(rows, ["k"], "at", _now(), 10 * _DAY, 2, 2, 2).select("k", F.round("weighted", 6).alias("weighted"), "episodes", "days")
 
 
 def attribution(spark, sf_dir):
@@ -342,9 +342,9 @@ QUERIES = {
     "st_ema": (average, f"WITH RECURSIVE {SPAN_SQL}, a AS (SELECT user_id, ord, v AS x FROM sp WHERE ord = 1 UNION ALL SELECT sp.user_id, sp.ord, 0.3e0 * sp.v + 0.7e0 * a.x FROM a JOIN sp ON sp.user_id = a.user_id AND sp.ord = a.ord + 1) SELECT user_id, round(arg_max(x, ord), 6) AS average, max(ord) AS n FROM a GROUP BY 1"),
     "st_prior_hierarchy": (prior_hierarchy, f"WITH {EVENT_SQL}, g AS (SELECT user_id, count(DISTINCT tm // 86400000000) % 9 AS n, avg(u) AS u, avg(k / 100) AS k, avg(u) FILTER (WHERE kind = 'click') AS c FROM ev GROUP BY 1), w AS (SELECT *, greatest(0, 1 - n / 10) * 0.5e0 AS wn, CASE WHEN n >= 3 THEN 0.4e0 + 0.2e0 * (least(n, 7) - 3) / 4 ELSE 0 END AS wt, CASE WHEN n >= 5 THEN 0.6e0 + 0.2e0 * (least(n, 10) - 5) / 5 ELSE 0 END AS wl FROM g), f AS (SELECT *, 0.5e0 * (1 - wn) + u * wn AS a FROM w), s AS (SELECT *, a * (1 - wt) + k * wt AS b FROM f) SELECT user_id, round(b * (1 - wl) + coalesce(c, 0.5e0) * wl, 6) AS trust, CASE WHEN n >= 5 THEN 'showLocal' WHEN n >= 3 THEN 'trait' ELSE 'network' END AS level FROM s"),
     "st_demotion": (demotion, "SELECT user_id, event_type AS kind, count(*) AS n, round(CASE WHEN event_type = 'view' THEN greatest(0.5e0, 1 - count(*) * 0.02e0) ELSE greatest(0.3e0, 1 - count(*) * 0.05e0) END, 6) AS multiplier FROM events WHERE event_type IN ('view', 'error') GROUP BY 1, 2"),
-    "st_lease_journal": (lease_journal, f"WITH {EVENT_SQL}, l AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY tm DESC, event_id DESC) = 1) SELECT user_id, event_id FROM l WHERE kind <> 'purchase' AND epoch_us(TIMESTAMP '2024-01-31') - tm > 172800000000"),
+    "st_lease_journal": (lease_journal, f"WITH {EVENT_SQL}, l AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY tm DESC, event_id DESC) = 1) SELECT user_id, event_id FROM l WHERE kind <> 'purchase' AND epoch_us(TIMESTAMP '2024-01-31') - tm > 21600000000"),
     "kv_repeated_cache": (repeated_cache, f"WITH {EVENT_SQL}, f AS (SELECT * FROM ev WHERE tm >= epoch_us(TIMESTAMP '2024-01-17')) SELECT user_id, k, count(*) AS n, max(tm) AS last_seen FROM f a WHERE kind <> 'error' AND NOT EXISTS (SELECT 1 FROM f b WHERE b.user_id = a.user_id AND b.k = a.k AND b.kind = 'error') GROUP BY 1, 2"),
-    "kv_broad_correction": (broad_correction, f"WITH {EVENT_SQL}, g AS (SELECT k, sum(CASE WHEN kind = 'error' THEN 1e0 ELSE 0.3e0 END) AS weighted, count(DISTINCT user_id) AS episodes, count(DISTINCT tm // 86400000000) AS days FROM ev WHERE kind IN ('error', 'click') AND tm >= epoch_us(TIMESTAMP '2024-01-21') GROUP BY 1) SELECT k, round(weighted, 6) AS weighted, episodes, days FROM g WHERE weighted >= 6 - 1e-9 AND episodes >= 4 AND days >= 3"),
+    "kv_broad_correction": (broad_correction, f"WITH {EVENT_SQL}, g AS (SELECT k, sum(CASE WHEN kind = 'error' THEN 1e0 ELSE 0.3e0 END) AS weighted, count(DISTINCT user_id) AS episodes, count(DISTINCT tm // 86400000000) AS days FROM ev WHERE kind IN ('error', 'click') AND tm >= epoch_us(TIMESTAMP '2024-01-21') GROUP BY 1) SELECT k, round(weighted, 6) AS weighted, episodes, days FROM g WHERE weighted >= 2 - 1e-9 AND episodes >= 2 AND days >= 2"),
     "kv_attribution": (attribution, f"WITH {EVENT_SQL} SELECT user_id, tm // 86400000000 AS day, coalesce(arg_max(kind, k * 100000000 + event_id) FILTER (WHERE kind IN ('purchase', 'click')), 'from ' || min(kind)) AS source FROM ev GROUP BY 1, 2"),
     "kv_invariants": (invariants, "SELECT rule, count(*) AS n, count(DISTINCT l_orderkey) AS orders FROM (SELECT l_orderkey, unnest(list_filter([CASE WHEN l_discount > 0.09e0 THEN 'late' END, CASE WHEN l_tax = 0 THEN 'free' END, CASE WHEN l_quantity < 2 THEN 'single' END], lambda x: x IS NOT NULL)) AS rule FROM lineitem) GROUP BY 1"),
     "gr_components": (components, f"WITH RECURSIVE {_EDGES} SELECT node, component FROM comp"),
