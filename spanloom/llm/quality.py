@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import text as tx
+from spanloom.llm.store import materialize
 
 # Frequent function words of the languages that the references cover.
 COMMON_WORDS = (
@@ -160,6 +161,7 @@ def references(docs: DataFrame) -> dict:
         yield flush()
 
     bins = docs.select("text", "lang").mapInArrow(partial, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    bins = materialize(bins, "bins")  # read twice: a few numbers for each language
     per_lang = bins.groupBy("lang").agg(F.collect_list(F.struct("bin", "n")).alias("hist"), F.sum(F.when(F.col("bin") >= N_CHAR, F.col("n"))).alias("words"))
     pooled = np.zeros(width, np.int64)
     for b, n in bins.groupBy("bin").agg(F.sum("n").alias("n")).collect():
