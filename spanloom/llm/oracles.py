@@ -74,5 +74,46 @@ v AS (SELECT f.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fa
 SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT far AS kept FROM v"""
 
 
+def centroid_clusters(k: int = 8, rounds: int = 10, seed: int = 3, width: int = 64, scale: int = 1024) -> str:
+    """Each round compares every vector with every centroid, by component."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT r, c, d FROM (SELECT r, c, d, row_number() OVER (PARTITION BY r ORDER BY d, c) AS place FROM (SELECT x.r, m.c, sum((x.v - m.v) * (x.v - m.v)) AS d FROM x JOIN m{r} m USING (i) GROUP BY x.r, m.c)) WHERE place = 1)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT a.c, x.i, sum(x.v)::BIGINT AS s, count(*) AS n FROM x JOIN a{r} a USING (r) GROUP BY a.c, x.i),
+m{r + 1} AS MATERIALIZED (SELECT m.c, m.i, coalesce((s.s - ((s.s % s.n) + s.n) % s.n) // s.n, m.v) AS v FROM m{r} m LEFT JOIN s{r} s USING (c, i))""")
+    return f"""WITH e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {width}),
+x AS MATERIALIZED (SELECT r, i, CAST(floor({scale} * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS v FROM (SELECT r, embedding, unnest(range(1, {width + 1})) AS i FROM e)),
+f AS (SELECT r, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), embedding) - 1 AS c FROM e QUALIFY c < {k}), m0 AS MATERIALIZED (SELECT f.c, x.i, x.v FROM f JOIN x USING (r)),
+{", ".join(steps)}, h AS (SELECT c, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM m{rounds} GROUP BY c)
+SELECT e.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia, h.centroid_sha256 FROM a{rounds} a JOIN e USING (r) JOIN h USING (c)"""
+
+
+def periodic(scales: int = 14) -> str:
+    """Runs by windows of 2 ** (k + 1) words: inside a run of period q <= 2 ** (k + 1) a window recurs first after q words exactly, and nowhere sooner.
+
+    Written for texts of fewer than 2 ** (scales + 2) words.
+    """
+    step = "list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: [ord(substr(doc_id::VARCHAR, i, 1)), 0, 0, 0, 0, 0, 0, 0]))), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)))"
+    parts = []
+    for k in range(scales):
+        prior = f"id{k}"
+        parts.append(f"""id{k + 1} AS MATERIALIZED (SELECT r, i, n, hash(h, lead(h, {1 << k}) OVER (PARTITION BY r ORDER BY i)) AS h, i + {2 << k} <= n AS inside FROM {prior} WHERE n >= {4 << k}),
+d{k} AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r, h ORDER BY i) AS q FROM id{k + 1} WHERE inside),
+g{k} AS (SELECT r, q, min(i) - q AS s, max(i) + {2 << k} AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM d{k} WHERE q >= {1 << k} AND q < {2 << k}) GROUP BY r, q, g HAVING e - s >= greatest(6, 4 * q))""")
+    runs = " UNION ALL ".join(f"SELECT r, s, e, q FROM g{k}" for k in range(scales))
+    return f"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w, xor(4294967295, {step}) AS crc FROM documents),
+p AS (SELECT *, len(w) AS n, crc // 10 AS g FROM t), p2 AS (SELECT *, CASE WHEN crc % 10 = 0 AND n > 0 THEN g % n END AS a FROM p), p3 AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM p2),
+u AS (SELECT r, doc_id, n, w, a, p, unnest(range(n)) AS i FROM p3), u2 AS MATERIALIZED (SELECT r, i, n, w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END] AS word FROM u),
+id0 AS (SELECT r, i, n, hash(word) AS h FROM u2), {", ".join(parts)},
+runs AS MATERIALIZED (SELECT r, CAST(s AS BIGINT) AS start, CAST(e - s AS BIGINT) AS length, CAST(q AS BIGINT) AS period FROM ({runs})),
+best AS (SELECT r, start, length, period, 1000 * length // period AS exponent_milli FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+lines AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS x FROM runs GROUP BY r),
+dropped AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS x FROM u2 ANTI JOIN dropped USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, exponent_milli, sha256(coalesce(lines.x, '')) AS runs_sha256, sha256(coalesce(kept.x, '')) AS collapsed_sha256
+FROM t LEFT JOIN lines USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_jaccard": jaccard(), "op8_secret_ownership": ownership(), "op9_quality_divergence": divergence()}
+    return {"op4_ngram_jaccard": jaccard(), "op8_secret_ownership": ownership(), "op9_quality_divergence": divergence(), "op12_centroid_clusters": centroid_clusters(), "op13_periodic_runs": periodic()}

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from spanloom.llm.byte_bpe import byte_bpe
 from spanloom.llm.hnsw import every_nth, nearest
 from spanloom.llm.jaccard_join import jaccard_components
+from spanloom.llm.kmeans import clusters
 from spanloom.llm.packing import pack
+from spanloom.llm.periodic import periodic_runs
 from spanloom.llm.pfor import token_files
 from spanloom.llm.pii import find_pii
 from spanloom.llm.quality import quality
@@ -65,6 +67,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"))
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -77,6 +87,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_ownership": op8_secret_ownership,
         "op9_quality_divergence": op9_quality_divergence,
         "op10_token_files": op10_token_files,
+        "op12_centroid_clusters": op12_centroid_clusters,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
