@@ -74,6 +74,16 @@ v AS (SELECT f.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fa
 SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT far AS kept FROM v"""
 
 
+def substrings(window: int = 13) -> str:
+    """All windows as strings; a word goes if one over it starts in a document of a smaller id too."""
+    return f"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+win AS MATERIALIZED (SELECT r, doc_id, i, array_to_string(w[i:i + {window - 1}], ' ') AS x FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - {window - 2})) AS i FROM t WHERE len(w) >= {window})),
+least AS (SELECT x, min(doc_id) AS m FROM win GROUP BY x),
+gone AS (SELECT DISTINCT r, i + k AS i FROM win JOIN least USING (x), range({window}) s(k) WHERE m < doc_id),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS x FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM t) ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.x, '')) AS kept_sha256 FROM t LEFT JOIN kept USING (r)"""
+
+
 def centroid_clusters(k: int = 8, rounds: int = 10, seed: int = 3, width: int = 64, scale: int = 1024) -> str:
     """Each round compares every vector with every centroid, by component."""
     steps = []
@@ -116,4 +126,4 @@ FROM t LEFT JOIN lines USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_jaccard": jaccard(), "op8_secret_ownership": ownership(), "op9_quality_divergence": divergence(), "op12_centroid_clusters": centroid_clusters(), "op13_periodic_runs": periodic()}
+    return {"op4_ngram_jaccard": jaccard(), "op8_secret_ownership": ownership(), "op9_quality_divergence": divergence(), "op11_substring_dedup": substrings(), "op12_centroid_clusters": centroid_clusters(), "op13_periodic_runs": periodic()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spanloom.llm.byte_bpe import byte_bpe
 from spanloom.llm.hnsw import every_nth, nearest
@@ -17,6 +18,7 @@ from spanloom.llm.pii import find_pii
 from spanloom.llm.quality import quality
 from spanloom.llm.secrets import find_secrets
 from spanloom.llm.store import bounded_batches
+from spanloom.llm.substrings import substring_dedup
 from spanloom.llm.token_counts import token_counts
 from spanloom.llm.warc import archived_and_audited
 
@@ -67,6 +69,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents"), window=13).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(_table(spark, sf_dir, "embeddings"))
 
@@ -87,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_ownership": op8_secret_ownership,
         "op9_quality_divergence": op9_quality_divergence,
         "op10_token_files": op10_token_files,
+        "op11_substring_dedup": op11_substring_dedup,
         "op12_centroid_clusters": op12_centroid_clusters,
         "op13_periodic_runs": op13_periodic_runs,
     }
