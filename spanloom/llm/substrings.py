@@ -3,8 +3,8 @@
 A window is ``window`` consecutive words. Its minimiser is the least hash of its three-word grams; consecutive windows
 mostly share it, and such a stretch (a super-k-mer) travels as one packed string to the bucket of its minimiser. Equal
 windows have equal minimisers, so they meet in a bucket, where sorting their word numbers counts them exactly: no hash
-decides what is equal. A packed string holds one character a word: the most frequent words have code points of their
-own, all others are spelled between a tab and a line feed, which no word holds.
+decides what is equal. A packed string holds one to three bytes for each of the most frequent words (any number of bytes of 0x20 to
+0x7F, then one of 0x80 to 0xFF, short ones first); all others are spelled between a tab and a line feed, which no word holds.
 
 What keeps large groups apart:
 
@@ -13,7 +13,7 @@ What keeps large groups apart:
   billion copies sends its bucket about one row a task.
 * Near copies differ, and their strings would all meet. A first scan finds the minimisers with more than ``HOT``
   different strings (or a millionth of all, so there are a million at most, which is what tasks are sent); windows under
-  these travel singly, to a bucket of their own. The same scan counts words for the code points.
+  these travel singly, to a bucket of their own. The same scan counts words for their codes.
 * A string holds at most ``MOST_WINDOWS`` windows.
 
 Decisions in a task follow the order of its rows, which a repeated table scan keeps.
@@ -40,10 +40,10 @@ from spanloom.llm.store import materialize
 GRAM, MOST_WINDOWS = 3, 64
 #: Different strings under one minimiser beyond which its windows travel singly; and those of a task that are too few to report.
 HOT, FEW = 1 << 16, 8
-#: Words with a code point of their own, and strings that a task remembers as copied.
+#: Words with a code of their own, and strings that a task remembers as copied.
 CODES, REMEMBERED = 60_000, 100_000
-#: Rows that are decided at once.
-CHUNK_ROWS = 1 << 16
+#: Rows that are decided at once, and bits of a bucket's number: rows of several minimisers in a bucket do no harm.
+CHUNK_ROWS, BUCKET_BITS = 1 << 16, 40
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -102,10 +102,14 @@ def _words(part: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return hashes, bounds, _binary(part[~tx.SPACE[part]], ends).dictionary_encode()
 
 
-def code_points(n: int) -> pa.BinaryArray:
-    """The first n characters beyond the space, without DEL and surrogates."""
-    points = (c for c in range(0x21, 0x110000) if c != 0x7F and not 0xD800 <= c < 0xE000)
-    return pa.array([chr(c).encode() for c, _ in zip(points, range(n), strict=False)], pa.binary())
+def codes(n: int) -> pa.BinaryArray:
+    """The first n codes, short ones first: all but the last byte are below 0x80."""
+    out: list[bytes] = []
+    heads = [b""]
+    while len(out) < n:
+        out += [h + bytes([last]) for h in heads for last in range(0x80, 0x100)][: n - len(out)]
+        heads = [h + bytes([more]) for h in heads for more in range(0x20, 0x80)] if len(out) < n else heads
+    return pa.array(out, pa.binary())
 
 
 def _gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.BinaryArray:
@@ -115,11 +119,11 @@ def _gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Bin
     return _binary(data[np.repeat(start - offsets[:-1], length) + np.arange(offsets[-1])], offsets)
 
 
-def packed(words: pa.DictionaryArray, first: np.ndarray, count: np.ndarray, known: pa.Array, points: pa.Array) -> pa.BinaryArray:
-    """``count`` words from each ``first`` on, a character for each known word, others spelled out."""
+def packed(words: pa.DictionaryArray, first: np.ndarray, count: np.ndarray, known: pa.Array, coded: pa.Array) -> pa.BinaryArray:
+    """``count`` words from each ``first`` on, codes for known words, others spelled out."""
     code = pc.index_in(words.dictionary, value_set=known)
     spelled = pc.binary_join_element_wise(pa.scalar(b"\t", pa.binary()), words.dictionary, pa.scalar(b"\n", pa.binary()), pa.scalar(b"", pa.binary()))
-    tokens = pc.if_else(code.is_valid(), points.take(code.fill_null(0)), spelled) if len(points) else spelled
+    tokens = pc.if_else(code.is_valid(), coded.take(code.fill_null(0)), spelled) if len(coded) else spelled
     data, offsets = np.frombuffer(tokens.buffers()[2], np.uint8), np.frombuffer(tokens.buffers()[1], np.int32)[: len(tokens) + 1].astype(np.int64)
     number = words.indices.to_numpy()
     length = np.diff(offsets)[number]
@@ -133,12 +137,50 @@ def unpacked(strings: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the words of all strings, equal for equal words, and each string's first."""
     rows = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
     data = np.frombuffer(strings.buffers()[2], np.uint8)[rows[0] : rows[-1]]
-    spelled = np.cumsum((data == 9).astype(np.int8) - (data == 10).astype(np.int8), dtype=np.int8)
-    begins = (data & 0xC0) != 0x80
-    begins[1:] &= spelled[:-1] == 0
-    start = np.flatnonzero(begins)
-    words = _binary(data, np.append(start, len(data))).dictionary_encode()
-    return words.indices.to_numpy().astype(np.int64), np.searchsorted(start, rows - rows[0])
+    spelled = np.cumsum((data == 9).astype(np.int8) - (data == 10).astype(np.int8), dtype=np.int8)  # until the line feed
+    ends = np.append(0, np.flatnonzero((data == 10) | ((data >= 0x80) & (spelled == 0))) + 1)
+    words = _binary(data, ends).dictionary_encode()
+    return words.indices.to_numpy().astype(np.int64), np.searchsorted(ends, rows - rows[0])
+
+
+def _short(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of each number, lowest first, and how many of them say all."""
+    used = np.zeros(len(values), np.int64)
+    for k in range(width):
+        used[(values >> np.uint64(8 * k)) > 0] = k + 1
+    return values.view(np.uint8).reshape(len(values), 8)[:, :width], used
+
+
+def _bodies(doc: np.ndarray, at: np.ndarray, strings: pa.BinaryArray, told: bool) -> pa.BinaryArray:
+    """Document and place in as few bytes as they need, ahead of each string. The first byte has the two lengths, and whether the string is a count."""
+    parts, lengths = zip(_short(doc.astype(np.int64).view(np.uint64), 8), _short((at & 0xFFFFFFFF).astype(np.uint64), 4), strict=True)
+    head = (lengths[0] * 8 + lengths[1] + 128 * told).astype(np.uint8)[:, None]
+    digest = (at >> 32).astype(np.int32).view(np.uint8).reshape(len(at), 4)
+    every = np.hstack([head, digest, *parts])
+    keep = np.hstack([np.ones((len(at), 5), bool), *(np.arange(p.shape[1]) < n[:, None] for p, n in zip(parts, lengths, strict=True))])
+    heads = _binary(every[keep], np.append(0, np.cumsum(keep.sum(axis=1))))
+    return pc.binary_join_element_wise(heads, strings, pa.scalar(b"", pa.binary()))
+
+
+def _opened(bodies: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.BinaryArray]:
+    """Of ``_bodies``: documents, places, whether the string is a count, strings."""
+    offsets = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + len(bodies) + 1].astype(np.int64)
+    data = np.frombuffer(bodies.buffers()[2], np.uint8)
+    start = offsets[:-1]
+    head = data[start].astype(np.int64)
+    n_doc, n_at = (head & 127) // 8, head & 7
+
+    def number(begin: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
+        out = np.zeros(len(begin), np.uint64)
+        for k in range(width):
+            there = np.flatnonzero(length > k)
+            out[there] |= data[begin[there] + k].astype(np.uint64) << np.uint64(8 * k)
+        return out.view(np.int64)
+
+    digest = number(start + 1, np.full(len(start), 4), 4).astype(np.uint32).view(np.int32).astype(np.int64)
+    doc, place = number(start + 5, n_doc, 8), number(start + 5 + n_doc, n_at, 4)
+    inner = start + 5 + n_doc + n_at
+    return doc, (digest << 32) | place, head >= 128, _gathered(data, inner, offsets[1:] - inner)
 
 
 def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -161,18 +203,22 @@ def _spans(doc: np.ndarray, at: np.ndarray, windows: np.ndarray, window: int) ->
 
 
 def _decided(rows: pa.Table, window: int) -> pa.RecordBatch | None:
-    """Of rows sorted by bucket, buckets whole: spans of the windows that a smaller document has too."""
-    bucket, doc = (rows.column(c).to_numpy() for c in ("bucket", "doc_id"))
-    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-    if not len(first):
+    """Of rows sorted by bucket, buckets whole: spans of the windows that a smaller document has too, and of those told before."""
+    if not rows.num_rows:
         return None
+    bucket = rows.column("bucket").to_numpy()
+    doc, at, told, strings = _opened(rows.column("body").combine_chunks())
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     several = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
-    keep = np.repeat(several, np.diff(np.append(first, len(doc))))
-    if not keep.any():
-        return None
-    rows = rows.filter(pa.array(keep))
-    doc, at = rows.column("doc_id").to_numpy(), rows.column("at").to_numpy()
-    number, bounds = unpacked(rows.column("packed").combine_chunks())
+    keep = np.flatnonzero(np.repeat(several, np.diff(np.append(first, len(doc)))) & ~told)
+    known = None
+    if told.any():
+        count = np.frombuffer(strings.take(pa.array(np.flatnonzero(told))).buffers()[2], np.int64)
+        known = _spans(doc[told], at[told], count, window)
+    if not len(keep):
+        return known
+    doc, at = doc[keep], at[keep]
+    number, bounds = unpacked(strings.take(pa.array(keep)))
     windows = np.diff(bounds) - window + 1
     row = np.repeat(np.arange(len(doc)), windows)
     inner = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -181,11 +227,12 @@ def _decided(rows: pa.Table, window: int) -> pa.RecordBatch | None:
     np.minimum.at(least, same, doc[row])
     there = np.flatnonzero(least[same] < doc[row])
     if not len(there):
-        return None
+        return known
     new = np.append(True, (np.diff(there) != 1) | (row[there[1:]] != row[there[:-1]]))
     begin = there[new]
     count = np.diff(np.append(np.flatnonzero(new), len(there)))
-    return _spans(doc[row[begin]], at[row[begin]] + inner[begin], count, window)
+    found = _spans(doc[row[begin]], at[row[begin]] + inner[begin], count, window)
+    return found if known is None else pa.concat_batches([known, found])
 
 
 def _census(docs: DataFrame, window: int) -> tuple[list[bytes], np.ndarray]:
@@ -235,8 +282,11 @@ def shared_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     owned = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.hash("text").cast("long").alias("digest"), "text")
     known, hot = _census(owned, window)
 
+    def row_batch(bucket: np.ndarray, bodies: pa.BinaryArray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array((bucket >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)), bodies], names=["bucket", "body"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, points = pa.array(known, pa.binary()), code_points(len(known))
+        table, coded = pa.array(known, pa.binary()), codes(len(known))
         copied: dict[bytes, int] = {}
         for batch in batches:
             ids, digests = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -248,7 +298,7 @@ def shared_spans(docs: DataFrame, window: int = 13) -> DataFrame:
                     continue
                 doc = np.searchsorted(bounds, first, "right") - 1
                 at = (digests[i:j][doc] << 32) | (first - bounds[doc])
-                doc_id, strings = ids[i:j][doc], packed(words, first, count + window - 1, table, points).dictionary_encode()
+                doc_id, strings = ids[i:j][doc], packed(words, first, count + window - 1, table, coded).dictionary_encode()
                 number = strings.indices.to_numpy()
                 least = np.full(len(strings.dictionary), np.iinfo(np.int64).max)
                 np.minimum.at(least, number, doc_id)
@@ -266,20 +316,18 @@ def shared_spans(docs: DataFrame, window: int = 13) -> DataFrame:
                     lost = np.flatnonzero(beaten)  # neighbouring stretches become one span
                     new = np.append(True, (doc[lost[1:]] != doc[lost[:-1]]) | (first[lost[1:]] != first[lost[:-1]] + count[lost[:-1]]))
                     begin = lost[new]
-                    yield pa.RecordBatch.from_arrays([pa.array(tx.mix(at[begin].astype(np.uint64)).view(np.int64)), pa.array(doc_id[begin]), pa.array(at[begin]), pa.nulls(len(begin), pa.binary()), pa.array(np.add.reduceat(count[lost], np.flatnonzero(new)))], names=["bucket", "doc_id", "at", "packed", "windows"])
+                    windows = np.add.reduceat(count[lost], np.flatnonzero(new)).astype(np.int64)
+                    counts = _binary(windows.view(np.uint8), np.arange(len(windows) + 1) * 8)
+                    yield row_batch(tx.mix(at[begin].astype(np.uint64)), _bodies(doc_id[begin], at[begin], counts, True))
                 left = np.flatnonzero(~beaten)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[left].view(np.int64)), pa.array(doc_id[left]), pa.array(at[left]), strings.dictionary.take(pa.array(number[left])), pa.nulls(len(left), pa.int64())], names=["bucket", "doc_id", "at", "packed", "windows"])
+                yield row_batch(bucket[left], _bodies(doc_id[left], at[left], strings.dictionary.take(pa.array(number[left])), False))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         n, limit = 0, CHUNK_ROWS
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            told = rows.filter(pc.is_valid(rows["windows"]))
-            if told.num_rows:
-                yield _spans(*(told.column(c).to_numpy() for c in ("doc_id", "at", "windows")), window)
-            held.append(rows.filter(pc.is_null(rows["windows"])))
-            n += held[-1].num_rows
+            held.append(pa.Table.from_batches([batch]))
+            n += batch.num_rows
             if n >= limit:
                 rows = pa.concat_tables(held)
                 bucket = rows.column("bucket").to_numpy()
@@ -295,7 +343,7 @@ def shared_spans(docs: DataFrame, window: int = 13) -> DataFrame:
             if spans is not None:
                 yield spans
 
-    strings = owned.mapInArrow(cut, "bucket long, doc_id long, at long, packed binary, windows long")
+    strings = owned.mapInArrow(cut, "bucket long, body binary")
     return strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(judge, "doc_id long, digest long, start long, end long")
 
 

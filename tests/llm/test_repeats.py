@@ -114,7 +114,8 @@ def cluster(rows, k, rounds, seed, width, scale):
     total = Counter()
     for d, j in own:
         total[j] += d
-    return [(v, j, d, total[j], sum(total.values()), sha(",".join(map(str, centroids[j])))) for (v, _), (d, j) in zip(kept, own, strict=True)]
+    fits = lambda x: x if x < 1 << 63 else None
+    return [(v, j, fits(d), fits(total[j]), fits(sum(total.values())), sha(",".join(map(str, centroids[j])))) for (v, _), (d, j) in zip(kept, own, strict=True)]
 
 
 @pytest.mark.parametrize("kind", ["spread", "ties", "large", "few", "edge"])
