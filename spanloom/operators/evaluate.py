@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -76,27 +77,44 @@ def match_optimal(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return grouped.groupBy("component").applyInPandas(assign, held.schema)
 
 
-def match_pairs(pairs: DataFrame, keys: Sequence[str], rounds: int = 64) -> DataFrame:
-    """Greedy one-to-one pairs by iou, then t, then p: what is the best of both its ends is taken, the rest goes on.
+def _greedy(frame: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of one component taken in order, ends used once."""
+    used_p, used_t, kept = set(), set(), []
+    for place, p, t in frame.sort_values(["iou", "t", "p"], ascending=[False, True, True])[["p", "t"]].itertuples(name=None):
+        if p not in used_p and t not in used_t:
+            used_p.add(p), used_t.add(t), kept.append(place)
+    return frame.loc[kept].drop(columns="component")
 
-    A pair that is first for its p and for its t would be taken by the greedy order too, so rounds of two
-    running minimums give its result; each round settles every component's best pair.
+
+def match_pairs(pairs: DataFrame, keys: Sequence[str], at_once: int = 100_000) -> DataFrame:
+    """Greedy one-to-one pairs by iou, then t, then p, within each key: what is the best of both its ends is taken, the rest goes on.
+
+    A pair that is first for its p and for its t would be taken by the greedy order too, so a round of two running
+    minimums is part of its result. Chains of falling overlap give up one pair a round, so what a round leaves
+    is put into connected components: those of at most ``at_once`` pairs are each worked off in order by one task, larger ones
+    go into the next round. Rounds end when nothing is left. Of repeated pairs the one of the largest iou counts; a
+    null key, end or iou takes no part.
     """
     rank = F.struct((-F.col("iou")).alias("r"), "t", "p")
-    left = written(pairs.select(*keys, "p", "t", "iou"), "pairs")
-    taken: list[DataFrame] = []
-    for _ in range(rounds):
-        best_p = left.groupBy("p").agg(F.min(rank).alias("_p"))
-        best_t = left.groupBy("t").agg(F.min(rank).alias("_t"))
-        good = written(left.join(best_p, "p").join(best_t, "t").where((F.col("_p.t") == F.col("t")) & (F.col("_t.p") == F.col("p"))).select(*keys, "p", "t", "iou"), "matched")
+    of_p, of_t = [*keys, "p"], [*keys, "t"]
+    left = written(pairs.groupBy(*keys, "p", "t").agg(F.max("iou").alias("iou")).dropna(), "pairs")
+    taken = [left.limit(0)]
+    while left.limit(1).count():
+        best_p = left.groupBy(*of_p).agg(F.min(rank).alias("_p"))
+        best_t = left.groupBy(*of_t).agg(F.min(rank).alias("_t"))
+        good = written(left.join(best_p, of_p).join(best_t, of_t).where((F.col("_p.t") == F.col("t")) & (F.col("_t.p") == F.col("p"))).select(left.columns), "matched")
+        left = written(left.join(good.select(*of_p), of_p, "left_anti").join(good.select(*of_t), of_t, "left_anti"), "left")
         taken.append(good)
-        left = written(left.join(good.select("p"), "p", "left_anti").join(good.select("t"), "t", "left_anti"), "left")
         if not left.limit(1).count():
             break
-    out = taken[0]
-    for more in taken[1:]:
-        out = out.unionByName(more)
-    return out
+        end = lambda side, at: F.struct(*keys, F.lit(side).alias("side"), F.col(at).alias("at"))
+        labels = components(left.select(end(0, "p").alias("a"), end(1, "t").alias("b")))
+        whole = left.withColumn("node", end(0, "p")).join(labels, "node").drop("node")
+        small = whole.groupBy("component").count().where(F.col("count") <= at_once).select("component")
+        types = left.select(left.columns).schema
+        taken.append(written(whole.join(small, "component").groupBy("component").applyInPandas(_greedy, types), "matched"))
+        left = written(whole.join(small, "component", "left_anti").select(left.columns), "left")
+    return reduce(DataFrame.unionByName, taken)
 
 
 def precision_recall(matched: Column, predicted: Column, truth: Column) -> tuple[Column, Column]:

@@ -1,20 +1,23 @@
 """Spans from ordered atoms and windows: decoding, finalising, segmenting, and machines with hysteresis.
 
 A machine is a small class that takes one row at a time. The batch forms feed it a key's rows in order, cut at
-gaps that close it anyway, so that a task holds a stretch and not a key; ``spanloom.streaming.machines`` feeds the
-same classes from a stream.
+gaps that close it anyway; Python then holds one stretch of rows at a time. Where the stretches begin is told by a
+window over the key, which Spark sorts and spills. ``spanloom.streaming.machines`` feeds the same classes from a stream.
+
+Rows with a null key, time, score, weight or kind take no part in the machines.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from spanloom.functions.scores import policy_action
 from spanloom.operators.intervals import overlap_join
@@ -48,38 +51,49 @@ def merge_adjacent(found: DataFrame, atoms: DataFrame, keys: Sequence[str], gap:
     return grouped.agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min_by("start", "first").alias("start"), F.max_by("end", "first").alias("end")).drop("_g")
 
 
-def split_long(spans: DataFrame, atoms: DataFrame, keys: Sequence[str], longest: float, rounds: int = 32) -> DataFrame:
+def _pieces(atoms: list[tuple], longest: float) -> Iterator[tuple]:
+    """Of a span's atoms (ordinal, start, end, loose) in order, the pieces: first, last, start, end."""
+    waiting = [(0, len(atoms))]
+    while waiting:
+        a, b = waiting.pop()
+        start, end = min(x[1] for x in atoms[a:b]), max(x[2] for x in atoms[a:b])
+        if end - start <= longest or b - a == 1:  # one atom is a piece whatever its length
+            yield atoms[a][0], atoms[b - 1][0], start, end
+            continue
+        gap, at = None, a
+        while at < b:
+            if not atoms[at][3]:
+                at += 1
+                continue
+            to = at
+            while to < b and atoms[to][3]:
+                to += 1
+            if a < at and to < b and (gap is None or to - at > gap[1] - gap[0]):
+                gap = (at, to)
+            at = to
+        if gap is None:
+            middle = (atoms[a][0] + atoms[b - 1][0]) // 2
+            gap = (sum(x[0] < middle for x in atoms[a:b]) + a, sum(x[0] <= middle for x in atoms[a:b]) + a)
+        waiting += [(x, y) for x, y in ((gap[1], b), (a, gap[0])) if x < y]
+
+
+def split_long(spans: DataFrame, atoms: DataFrame, keys: Sequence[str], longest: float) -> DataFrame:
     """Spans over ``longest`` cut at their longest stretch of unanchored atoms (the first of equal ones), or at the middle ordinal, until all fit.
 
-    Each round cuts every span that is too long once; ends are looked up by ordinal. Spans and atoms are written
-    first and so is what a round leaves too long: no round works off the ones before again.
+    A span of one atom stays as it is. Spans of a key don't overlap, so an ordered pass tells each atom its
+    long span; these alone are cut, one at a time, whatever the number of cuts.
     """
-    spans, atoms = written(spans, "spans"), written(atoms.select(*keys, "ordinal", "start", "end", (F.col("vetoed") | ~F.col("anchored")).alias("_loose")), "atoms")
-    order = Window.partitionBy(*keys).orderBy("ordinal")
-    loose = atoms.where("_loose")
-    gaps = loose.withColumn("_r", F.col("ordinal") - F.row_number().over(order)).groupBy(*keys, "_r").agg(F.min("ordinal").alias("gf"), F.max("ordinal").alias("gl")).drop("_r")
-    times = atoms.select(*keys, "ordinal", "start", "end")
-    done = spans.where(F.col("end") - F.col("start") <= longest)
+    names = [*keys, "first", "last", "start", "end"]
+    types = {f.name: f.dataType.simpleString() for f in spans.schema}
     long = spans.where(F.col("end") - F.col("start") > longest)
-    parts = [done]
-    for _ in range(rounds):
-        if not long.limit(1).count():
-            break
-        inside = long.join(gaps, list(keys), "left").withColumn("_in", (F.col("gf") > F.col("first")) & (F.col("gl") < F.col("last")))
-        best = inside.groupBy(*keys, "first", "last").agg(F.min(F.when(F.col("_in"), F.struct((F.col("gf") - F.col("gl")).alias("n"), "gf", "gl"))).alias("_b"))
-        middle = F.floor((F.col("first") + F.col("last")) / 2)
-        cut = best.select(*keys, "first", "last", F.coalesce("_b.gf", middle).alias("gf"), F.coalesce("_b.gl", middle).alias("gl"))
-        halves = F.array(F.struct(F.col("first").alias("f"), (F.col("gf") - 1).alias("l")), F.struct((F.col("gl") + 1).alias("f"), F.col("last").alias("l")))
-        pieces = cut.select(*keys, F.explode(halves).alias("p")).select(*keys, F.col("p.f").alias("first"), F.col("p.l").alias("last")).where("first <= last")
-        covered = pieces.join(times, list(keys)).where("ordinal BETWEEN first AND last")
-        again = covered.groupBy(*keys, "first", "last").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-        again = written(again, "pieces")
-        parts.append(again.where(F.col("end") - F.col("start") <= longest))
-        long = again.where(F.col("end") - F.col("start") > longest)
-    out = parts[0].select(*keys, "first", "last", "start", "end")
-    for more in parts[1:]:
-        out = out.unionByName(more.select(*keys, "first", "last", "start", "end"))
-    return out
+    order = Window.partitionBy(*keys).orderBy("ordinal", F.desc("_last")).rowsBetween(Window.unboundedPreceding, 0)
+    marks = long.select(*keys, F.col("first").alias("ordinal"), F.lit(None).cast(types["start"]).alias("start"), F.lit(None).cast(types["end"]).alias("end"), F.lit(None).cast("boolean").alias("loose"), F.col("last").alias("_last"))
+    rows = atoms.select(*keys, "ordinal", F.col("start").cast(types["start"]).alias("start"), F.col("end").cast(types["end"]).alias("end"), (F.col("vetoed") | ~F.col("anchored")).alias("loose"), F.lit(None).cast(types["last"]).alias("_last"))
+    owned = marks.unionByName(rows).withColumns({"_root": F.last(F.when(F.col("_last").isNotNull(), F.col("ordinal")), ignorenulls=True).over(order), "_to": F.last("_last", ignorenulls=True).over(order)})
+    inside = owned.where(F.col("_last").isNull() & (F.col("ordinal") <= F.col("_to")))
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), f"_root {types['first']}", *(f"{n} {types[n]}" for n in names[len(keys) :])])
+    cut = _fold(inside, [*keys, "_root"], ["ordinal"], ["ordinal", "start", "end", "loose"], lambda found: _pieces(found, longest), schema)
+    return spans.where(F.col("end") - F.col("start") <= longest).select(names).unionByName(cut.select(names))
 
 
 def snap(spans: DataFrame, atoms: DataFrame, keys: Sequence[str], radius: float, bucket: int) -> DataFrame:
@@ -123,22 +137,33 @@ def decode(atoms: DataFrame, keys: Sequence[str], gap: float = 3.0, longest: flo
 def _fold(rows: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], fold: Callable[[list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
     """``fold`` over the rows (``columns``) of each group of ``by``, in order; its rows come behind the group's keys.
 
-    Small groups share an Arrow batch with others, so that many of them cost little. Rows with a null key take no part.
+    Spark sorts (and spills); a task reads its groups one behind the other, across Arrow batches, and holds one of
+    them. Rows with a null key take no part.
     """
-    packs = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     some = rows.where(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in by)))
-    packed = some.select(*dict.fromkeys([*by, *columns, *order])).withColumn("_pack", F.pmod(F.xxhash64(*by), F.lit(packs)))
-    names = [f.split()[0] for f in schema.split(", ")]
-    width = len(by)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([*by, *order])
-        out: list[tuple] = []
-        for key, group in itertools.groupby(frame[[*by, *columns]].itertuples(index=False, name=None), key=lambda r: r[:width]):
-            out += [(*key, *r) for r in fold([r[width:] for r in group])]
-        return pd.DataFrame(out, columns=names)
+    picked = some.select(*dict.fromkeys([*by, *columns, *order]))
+    ordered = picked.repartition(*by).sortWithinPartitions(*by, *order).select(*by, *columns)
+    width, out_schema = len(by), to_arrow_schema(StructType.fromDDL(schema))
+
+    def packed(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(out_schema)], schema=out_schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        held: list[tuple] = []
+        for batch in batches:
+            found: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:width] != key:
+                    found += [(*key, *r) for r in fold(held)] if held else []
+                    key, held = row[:width], []
+                held.append(row[width:])
+            if found:
+                yield packed(found)
+        if held:
+            yield packed([(*key, *r) for r in fold(held)])
 
-    return packed.groupBy("_pack").applyInPandas(run, schema)
+    return ordered.mapInArrow(run, schema)
 
 
 # ---- segmenting turns
@@ -254,6 +279,7 @@ def hysteresis_segments(windows: DataFrame, keys: Sequence[str], key_types: str,
 
     A gap beyond ``near`` empties a machine, so a key is cut there.
     """
+    windows = windows.where("start IS NOT NULL AND end IS NOT NULL AND score IS NOT NULL")
     machine = Hysteresis(**config)
     reach = max(machine.near, machine.gap)
     order = Window.partitionBy(*keys).orderBy("start", "end", "score")
@@ -387,7 +413,7 @@ class Hypotheses:
         self.active = [h for h in self.active if start - h["last"] <= self.idle]
         h = self._best(start)
         if h is None:
-            if kind not in ("return", "body"):
+            if kind in self.radii:
                 back, ahead = self.radii[kind]
                 h = {"start": start, "end": end, "last": end, "evidence": [(start, weight)], "back": back, "ahead": ahead, "confirmed": weight >= self.confirm}
                 self.active.append(h)
@@ -408,8 +434,11 @@ HYPOTHESIS = "start double, end double, confidence double, n int, confirmed bool
 
 
 def hypotheses(evidence: DataFrame, keys: Sequence[str], key_types: str, **config: float) -> DataFrame:
-    """Evidence (start, end, kind, weight) in order to spans. After an idle gap nothing is active, so a key is cut there; what a gap ends counts as idle."""
-    idle = Hypotheses(**config).idle
+    """Evidence (start, end, kind, weight) in order to spans. After an idle gap nothing is active, so a key is cut there; what a gap ends counts as idle. Evidence of an unknown kind takes no part."""
+    machine = Hypotheses(**config)
+    known = ("return", "body", *machine.radii)
+    evidence = evidence.where(F.col("kind").isin(*known) & F.col("start").isNotNull() & F.col("end").isNotNull() & F.col("weight").isNotNull())
+    idle = machine.idle
     order = Window.partitionBy(*keys).orderBy("start", "end", "kind")
     ahead = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     cut = evidence.withColumn("_new", F.when(F.coalesce(F.col("start") - ahead > idle, F.lit(True)), 1).otherwise(0)).withColumn("_stretch", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))

@@ -44,8 +44,8 @@ def fp_seconds(spark, sf_dir):
 def gate(spark, sf_dir):
     """Greedy matches by user, their precision, recall and boundary errors, and which thresholds they miss."""
     found = ev.match_pairs(_pairs(spark, sf_dir), _USER).where("iou >= 0.05")
-    back = _pairs(spark, sf_dir).select("p", "t", (F.abs(F.col("ps") - F.col("ts")) + F.abs(F.col("pe") - F.col("te"))).alias("error"))
-    matched = found.join(back, ["p", "t"]).groupBy("user_id").agg(F.count("*").alias("m"), F.avg(F.col("error") / 2).alias("mean_error"), F.max("error").alias("max_error"))
+    back = _pairs(spark, sf_dir).select("user_id", "p", "t", (F.abs(F.col("ps") - F.col("ts")) + F.abs(F.col("pe") - F.col("te"))).alias("error"))
+    matched = found.join(back, ["user_id", "p", "t"]).groupBy("user_id").agg(F.count("*").alias("m"), F.avg(F.col("error") / 2).alias("mean_error"), F.max("error").alias("max_error"))
     counts = second_spans(spark, sf_dir).groupBy("user_id").agg(F.count_if(F.col("kind").isin("view", "click")).alias("np"), F.count_if(F.col("kind") == "purchase").alias("nt"))
     both = counts.join(matched, "user_id", "left").fillna({"m": 0, "mean_error": 0.0, "max_error": 0})
     precision, recall = ev.precision_recall(F.col("m"), F.col("np"), F.col("nt"))
@@ -56,7 +56,7 @@ def gate(spark, sf_dir):
 
 def nine(spark, sf_dir):
     """Over all matches: seeds, overlap, median errors with and without sign, coverage."""
-    pairs = ev.match_pairs(_pairs(spark, sf_dir), _USER).select("p", "t").join(_pairs(spark, sf_dir), ["p", "t"])
+    pairs = ev.match_pairs(_pairs(spark, sf_dir), _USER).select("user_id", "p", "t").join(_pairs(spark, sf_dir), ["user_id", "p", "t"])
     start, end = F.col("ps") - F.col("ts"), F.col("pe") - F.col("te")
     stats = pairs.agg(F.count("*").alias("matched"), F.round(F.avg("iou"), 6).alias("mean_iou"), F.median(F.abs(start)).alias("start_error"), F.median(F.abs(end)).alias("end_error"), F.median(start).alias("start_bias"), F.median(end).alias("end_bias"))
     cover = _covered(spark, sf_dir).agg(F.round(F.sum("both") / F.sum(F.col("both") + F.col("missed")), 6).alias("coverage_recall"), F.round(F.sum("both") / F.sum(F.col("both") + F.col("over")), 6).alias("coverage_precision"))
@@ -261,10 +261,15 @@ _COVER = f"{SPAN_SQL}, pr AS (SELECT * FROM sp WHERE kind IN ('view', 'click')),
 _ATOM_SQL = f"{SPAN_SQL}, at0 AS (SELECT user_id, ord, s, least(s + 7200, coalesce(lead(s) OVER (PARTITION BY user_id ORDER BY ord), s + 7200)) AS e, kind IN ('view', 'click', 'purchase') AS anchored, k = 99 AS vetoed, k % 10 = 0 AS brk FROM sp), r0 AS (SELECT *, ord - row_number() OVER (PARTITION BY user_id ORDER BY ord) AS g FROM at0 WHERE anchored AND NOT vetoed), runs AS (SELECT user_id, min(ord) AS f, max(ord) AS l, arg_min(s, ord) AS s, arg_max(e, ord) AS e FROM r0 GROUP BY user_id, g)"
 _MERGED = "m0 AS (SELECT *, lag(l) OVER w AS pl, lag(e) OVER w AS pe FROM runs WINDOW w AS (PARTITION BY user_id ORDER BY f)), m1 AS (SELECT *, CASE WHEN s - pe >= 0 AND s - pe < 43200 AND NOT EXISTS (SELECT 1 FROM at0 x WHERE x.user_id = m0.user_id AND x.ord > pl AND x.ord < f AND (vetoed OR brk)) THEN 0 ELSE 1 END AS new FROM m0), merged AS (SELECT user_id, min(f) AS f, max(l) AS l, arg_min(s, f) AS s, arg_max(e, f) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY f ROWS UNBOUNDED PRECEDING) AS g FROM m1) GROUP BY user_id, g)"
 _SPLIT = """gp AS (SELECT user_id, min(ord) AS gf, max(ord) AS gl FROM (SELECT *, ord - row_number() OVER (PARTITION BY user_id ORDER BY ord) AS g FROM at0 WHERE vetoed OR NOT anchored) GROUP BY user_id, g),
-cuts AS (SELECT user_id, f, l, s, e FROM merged UNION ALL SELECT x.user_id, y.f, y.l, y.s, y.e FROM (SELECT c.*, (SELECT arg_min([gf, gl], (gf - gl) * 1000000 + gf) FROM gp WHERE gp.user_id = c.user_id AND gf > c.f AND gl < c.l) AS gap FROM cuts c WHERE c.e - c.s > 129600) x, LATERAL (SELECT min(ord) AS f, max(ord) AS l, min(a.s) AS s, max(a.e) AS e FROM at0 a WHERE a.user_id = x.user_id AND a.ord BETWEEN x.f AND coalesce(x.gap[1], (x.f + x.l) // 2) - 1 HAVING count(*) > 0 UNION ALL SELECT min(ord), max(ord), min(a.s), max(a.e) FROM at0 a WHERE a.user_id = x.user_id AND a.ord BETWEEN coalesce(x.gap[2], (x.f + x.l) // 2) + 1 AND x.l HAVING count(*) > 0) y),
-split AS (SELECT * FROM cuts WHERE e - s <= 129600)"""
+cuts AS (SELECT user_id, f, l, s, e FROM merged UNION ALL SELECT x.user_id, y.f, y.l, y.s, y.e FROM (SELECT c.*, (SELECT arg_min([gf, gl], (gf - gl) * 1000000 + gf) FROM gp WHERE gp.user_id = c.user_id AND gf > c.f AND gl < c.l) AS gap FROM cuts c WHERE c.e - c.s > 129600 AND c.f < c.l) x, LATERAL (SELECT min(ord) AS f, max(ord) AS l, min(a.s) AS s, max(a.e) AS e FROM at0 a WHERE a.user_id = x.user_id AND a.ord BETWEEN x.f AND coalesce(x.gap[1], (x.f + x.l) // 2) - 1 HAVING count(*) > 0 UNION ALL SELECT min(ord), max(ord), min(a.s), max(a.e) FROM at0 a WHERE a.user_id = x.user_id AND a.ord BETWEEN coalesce(x.gap[2], (x.f + x.l) // 2) + 1 AND x.l HAVING count(*) > 0) y),
+split AS (SELECT * FROM cuts WHERE e - s <= 129600 OR f = l)"""
 _SNAP = lambda source, radius: f"sn AS (SELECT x.user_id, coalesce((SELECT arg_min(ord, ord) FROM at0 a WHERE a.user_id = x.user_id AND brk AND a.s BETWEEN x.s - {radius} AND x.s + {radius}), f) AS f, coalesce((SELECT max(ord) FROM at0 a WHERE a.user_id = x.user_id AND brk AND a.e BETWEEN x.e - {radius} AND x.e + {radius}), l) AS l, coalesce((SELECT arg_min(a.s, ord) FROM at0 a WHERE a.user_id = x.user_id AND brk AND a.s BETWEEN x.s - {radius} AND x.s + {radius}), x.s) AS s, coalesce((SELECT arg_max(a.e, ord) FROM at0 a WHERE a.user_id = x.user_id AND brk AND a.e BETWEEN x.e - {radius} AND x.e + {radius}), x.e) AS e FROM {source} x)"
 _RESOLVE = "ro AS (SELECT *, lag(l) OVER (PARTITION BY user_id ORDER BY f, l) AS pl FROM sn), rs AS (SELECT ro.user_id, CASE WHEN f <= pl THEN pl + 1 ELSE f END AS nf, l, CASE WHEN f <= pl THEN coalesce(a.s, ro.s) ELSE ro.s END AS s, ro.e FROM ro LEFT JOIN at0 a ON a.user_id = ro.user_id AND a.ord = CASE WHEN f <= pl THEN pl + 1 ELSE f END WHERE CASE WHEN f <= pl THEN pl + 1 ELSE f END <= l)"
+#: Greedy matches: in each step every user's best open pair, by overlap and ids.
+_MATCH = f"""{_PAIR_SQL}, rk AS (SELECT user_id, p, t, iou, row_number() OVER (PARTITION BY user_id ORDER BY iou DESC, t, p) AS n FROM pairs),
+state AS (SELECT user_id, 0::BIGINT AS n, []::BIGINT[] AS ps, []::BIGINT[] AS ts, true AS hit FROM (SELECT DISTINCT user_id FROM rk)
+UNION ALL SELECT user_id, n, CASE WHEN free THEN list_append(ps, p) ELSE ps END, CASE WHEN free THEN list_append(ts, t) ELSE ts END, free FROM (SELECT rk.*, s.ps, s.ts, NOT list_contains(s.ps, rk.p) AND NOT list_contains(s.ts, rk.t) AS free FROM state s JOIN rk ON rk.user_id = s.user_id AND rk.n = s.n + 1)),
+matches AS (SELECT rk.* FROM state JOIN rk USING (user_id, n) WHERE hit)"""
 _OUT = 'SELECT user_id, f AS first, l AS last, s AS "start", e AS "end"'
 _SEGMENT_SQL = """t AS (SELECT conv_id, turn, role, length(coalesce(text, '')) / 15e0 AS l, ((turn * 7 + conv_id) % 20) / 10e0 AS q FROM conversations),
 c AS (SELECT conv_id, turn, round(sum(l + q) OVER w - l, 3) AS s, round(sum(l + q) OVER w, 3) AS e, coalesce(role <> lag(role) OVER w, false) AS soft, row_number() OVER w AS rn FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
@@ -275,10 +280,10 @@ _SHARE = lambda kind: f"coalesce((SELECT sum(least(a.e, i.e) - greatest(a.s, i.s
 
 QUERIES = {
     "ev_match_optimal": (match_optimal, None),
-    "ev_match_pairs": (match_pairs, None),
+    "ev_match_pairs": (match_pairs, f"WITH RECURSIVE {_MATCH} SELECT user_id, p, t, round(iou, 6) AS iou FROM matches"),
     "ev_fp_seconds": (fp_seconds, f"WITH {_COVER}, d AS (SELECT user_id, max(e) - min(s) AS duration FROM sp GROUP BY 1) SELECT user_id, CAST(over AS BIGINT) AS fp_seconds, round(over / (duration / 3600), 6) AS per_hour FROM cov JOIN d USING (user_id)"),
-    "ev_gate": (gate, None),
-    "ev_nine": (nine, None),
+    "ev_gate": (gate, f"WITH RECURSIVE {_MATCH}, m AS (SELECT user_id, count(*) AS m, avg(err / 2) AS mean_error, max(err) AS max_error FROM (SELECT user_id, abs(ps - ts) + abs(pe - te) AS err FROM matches JOIN pairs USING (user_id, p, t) WHERE matches.iou >= 0.05e0) GROUP BY 1), c AS (SELECT user_id, count(*) FILTER (WHERE kind IN ('view', 'click')) AS np, count(*) FILTER (WHERE kind = 'purchase') AS nt FROM sp GROUP BY 1), r AS (SELECT user_id, round(CASE WHEN np = 0 AND nt = 0 THEN 1e0 WHEN np > 0 THEN coalesce(m, 0) / np ELSE 0e0 END, 6) AS precision, round(CASE WHEN nt > 0 THEN coalesce(m, 0) / nt ELSE 1e0 END, 6) AS recall, coalesce(mean_error, 0) AS a, coalesce(max_error, 0) AS b FROM c LEFT JOIN m USING (user_id)) SELECT user_id, precision, recall, concat_ws(',', CASE WHEN precision < 0.1e0 THEN 'precision' END, CASE WHEN recall < 0.2e0 THEN 'recall' END, CASE WHEN a > 1500 THEN 'mean_error' END, CASE WHEN b > 6000 THEN 'max_error' END) AS reasons FROM r"),
+    "ev_nine": (nine, f"WITH RECURSIVE {_MATCH}, x AS (SELECT pairs.* FROM matches JOIN pairs USING (user_id, p, t)), {_COVER[len(SPAN_SQL) + 2 :]} SELECT (SELECT count(*) FROM x) AS matched, (SELECT round(avg(iou), 6) FROM x) AS mean_iou, (SELECT quantile_cont(abs(ps - ts), 0.5) FROM x) AS start_error, (SELECT quantile_cont(abs(pe - te), 0.5) FROM x) AS end_error, (SELECT quantile_cont(ps - ts, 0.5) FROM x) AS start_bias, (SELECT quantile_cont(pe - te, 0.5) FROM x) AS end_bias, round(sum(cov.both) / sum(cov.both + missed), 6) AS coverage_recall, round(sum(cov.both) / sum(cov.both + over), 6) AS coverage_precision FROM cov"),
     "ev_fn_decomp": (fn_decomposition, None),
     "ev_ground_truth": (ground_truth, f"WITH {SPAN_SQL}, pr AS (SELECT * FROM sp WHERE kind = 'purchase' OR (kind = 'click' AND k >= 90)), tr AS (SELECT * FROM sp WHERE kind = 'error'), {_sweep('pr', 'tr')}, x AS (SELECT user_id, s, e, CASE WHEN s <= max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM sw WHERE e IS NOT NULL AND a > 0 AND b = 0) SELECT user_id, min(s) AS \"start\", max(e) AS \"end\" FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM x) WHERE user_id NOT IN (SELECT user_id FROM ev WHERE kind = 'error' AND k = 99) GROUP BY user_id, g"),
     "ev_delta": (delta, f"WITH {SPAN_SQL}, ci AS {_ISL(chr(39).join(['kind = ', 'click', '']))}, vi AS {_ISL(chr(39).join(['kind = ', 'view', '']))}, d AS (SELECT {_SHARE('ci')} AS b, {_SHARE('vi')} AS x FROM sp a WHERE kind = 'purchase' AND e > s) SELECT CASE WHEN b > 0 AND x = 0 THEN 'FUSION_DROP' WHEN x < b THEN 'CAND_NARROW' ELSE 'OK' END AS verdict, count(*) AS n, round(avg(x - b), 6) AS mean_delta FROM d GROUP BY 1"),

@@ -219,7 +219,7 @@ def prior_hierarchy(spark, sf_dir):
     first = st.network_blend(F.lit(0.5), F.col("u"), net)
     second = st.network_blend(first, F.col("k"), st.trait_weight(n))
     third = st.network_blend(second, F.coalesce("c", F.lit(0.5)), st.local_weight(n))
-    return each.select("user_id", F.round(third, 6).alias("trust"), F.when(n >= 5, "showLocal").when(n >= 3, "trait").otherwise("network").alias("level"))
+    return each.select("user_id", F.round(third + 1e-9, 6).alias("trust"), F.when(n >= 5, "showLocal").when(n >= 3, "trait").otherwise("network").alias("level"))
 
 
 def demotion(spark, sf_dir):
@@ -340,7 +340,7 @@ QUERIES = {
     "st_trust_lifecycle": (lifecycle, None),
     "st_listening_time": (listening, f"WITH {SPAN_SQL}, g AS (SELECT user_id, kind, least(lead(s) OVER (PARTITION BY user_id ORDER BY s, event_id) - s, 14400) AS g FROM sp) SELECT user_id, CAST(coalesce(sum(g) FILTER (WHERE kind IN ('view', 'click') AND g > 0), 0) AS BIGINT) AS listened FROM g GROUP BY 1"),
     "st_ema": (average, f"WITH RECURSIVE {SPAN_SQL}, a AS (SELECT user_id, ord, v AS x FROM sp WHERE ord = 1 UNION ALL SELECT sp.user_id, sp.ord, 0.3e0 * sp.v + 0.7e0 * a.x FROM a JOIN sp ON sp.user_id = a.user_id AND sp.ord = a.ord + 1) SELECT user_id, round(arg_max(x, ord), 6) AS average, max(ord) AS n FROM a GROUP BY 1"),
-    "st_prior_hierarchy": (prior_hierarchy, f"WITH {EVENT_SQL}, g AS (SELECT user_id, count(DISTINCT tm // 86400000000) % 9 AS n, avg(u) AS u, avg(k / 100) AS k, avg(u) FILTER (WHERE kind = 'click') AS c FROM ev GROUP BY 1), w AS (SELECT *, greatest(0, 1 - n / 10) * 0.5e0 AS wn, CASE WHEN n >= 3 THEN 0.4e0 + 0.2e0 * (least(n, 7) - 3) / 4 ELSE 0 END AS wt, CASE WHEN n >= 5 THEN 0.6e0 + 0.2e0 * (least(n, 10) - 5) / 5 ELSE 0 END AS wl FROM g), f AS (SELECT *, 0.5e0 * (1 - wn) + u * wn AS a FROM w), s AS (SELECT *, a * (1 - wt) + k * wt AS b FROM f) SELECT user_id, round(b * (1 - wl) + coalesce(c, 0.5e0) * wl, 6) AS trust, CASE WHEN n >= 5 THEN 'showLocal' WHEN n >= 3 THEN 'trait' ELSE 'network' END AS level FROM s"),
+    "st_prior_hierarchy": (prior_hierarchy, f"WITH {EVENT_SQL}, g AS (SELECT user_id, count(DISTINCT tm // 86400000000) % 9 AS n, avg(u) AS u, avg(k / 100) AS k, avg(u) FILTER (WHERE kind = 'click') AS c FROM ev GROUP BY 1), w AS (SELECT *, greatest(0, 1 - n / 10) * 0.5e0 AS wn, CASE WHEN n >= 3 THEN 0.4e0 + 0.2e0 * (least(n, 7) - 3) / 4 ELSE 0 END AS wt, CASE WHEN n >= 5 THEN 0.6e0 + 0.2e0 * (least(n, 10) - 5) / 5 ELSE 0 END AS wl FROM g), f AS (SELECT *, 0.5e0 * (1 - wn) + u * wn AS a FROM w), s AS (SELECT *, a * (1 - wt) + k * wt AS b FROM f) SELECT user_id, round(b * (1 - wl) + coalesce(c, 0.5e0) * wl + 1e-9, 6) AS trust, CASE WHEN n >= 5 THEN 'showLocal' WHEN n >= 3 THEN 'trait' ELSE 'network' END AS level FROM s"),
     "st_demotion": (demotion, "SELECT user_id, event_type AS kind, count(*) AS n, round(CASE WHEN event_type = 'view' THEN greatest(0.5e0, 1 - count(*) * 0.02e0) ELSE greatest(0.3e0, 1 - count(*) * 0.05e0) END, 6) AS multiplier FROM events WHERE event_type IN ('view', 'error') GROUP BY 1, 2"),
     "st_lease_journal": (lease_journal, f"WITH {EVENT_SQL}, l AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY tm DESC, event_id DESC) = 1) SELECT user_id, event_id FROM l WHERE kind <> 'purchase' AND epoch_us(TIMESTAMP '2024-01-31') - tm > 21600000000"),
     "kv_repeated_cache": (repeated_cache, f"WITH {EVENT_SQL}, f AS (SELECT * FROM ev WHERE tm >= epoch_us(TIMESTAMP '2024-01-17')) SELECT user_id, k, count(*) AS n, max(tm) AS last_seen FROM f a WHERE kind <> 'error' AND NOT EXISTS (SELECT 1 FROM f b WHERE b.user_id = a.user_id AND b.k = a.k AND b.kind = 'error') GROUP BY 1, 2"),

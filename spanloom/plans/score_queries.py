@@ -54,7 +54,7 @@ def beta(spark, sf_dir):
 def composite(spark, sf_dir):
     there = lambda kind, x: F.when(F.col("kind") != kind, x)
     blend = sc.composite(there("view", F.col("u")), there("click", F.col("k") / 100), there("error", 1 - F.col("u")), F.col("k") / 80)
-    return events(spark, sf_dir).select("event_id", F.round(blend, 6).alias("score"))
+    return events(spark, sf_dir).select("event_id", F.round(blend + 1e-9, 6).alias("score"))
 
 
 def gap_confidence(spark, sf_dir):
@@ -156,7 +156,7 @@ QUERIES = {
     "num_rule_classifier": (rule_score, f"WITH {EVENT_SQL} SELECT event_id, round(1 / (1 + exp(-8 * (0.4e0 * u + 0.2e0 * (k / 100) + 0.15e0 * (1 - k / 100) + 0.1e0 * (u * (k / 100)) + 0.05e0 * 0.7e0 + 0.1e0 * 0.5e0 - 0.25e0))), 6) AS score FROM ev"),
     "num_decay_linear": (decayed, f"WITH {EVENT_SQL} SELECT event_id, round(greatest(0.2e0, 1 - v / 2 / 120 * 0.8e0), 6) AS memory, round(greatest(0.1e0, 1 - v / 2 / 90 * 0.9e0), 6) AS prior FROM ev"),
     "num_beta": (beta, f"WITH {EVENT_SQL}, c AS (SELECT user_id, 2e0 + count(*) FILTER (WHERE kind = 'purchase') AS a, 2e0 + count(*) FILTER (WHERE kind = 'error') AS b FROM ev GROUP BY 1) SELECT user_id, round(a / (a + b), 6) AS mean, round(a * b / ((a + b) * (a + b) * (a + b + 1)), 9) AS variance FROM c"),
-    "num_composite": (composite, f"WITH {EVENT_SQL}, w AS (SELECT *, greatest(0e0, least(1e0, k / 80)) AS r FROM ev), x AS (SELECT *, CASE WHEN kind <> 'view' AND r >= 0.3e0 THEN 0.5e0 * r ELSE 0 END AS wt, CASE WHEN kind <> 'click' THEN 0.3e0 ELSE 0 END AS wa, CASE WHEN kind <> 'error' THEN 0.2e0 ELSE 0 END AS wm FROM w) SELECT event_id, round((wt * u + wa * k / 100 + wm * (1 - u)) / (wt + wa + wm), 6) AS score FROM x"),
+    "num_composite": (composite, f"WITH {EVENT_SQL}, w AS (SELECT *, greatest(0e0, least(1e0, k / 80)) AS r FROM ev), x AS (SELECT *, CASE WHEN kind <> 'view' AND r >= 0.3e0 THEN 0.5e0 * r ELSE 0 END AS wt, CASE WHEN kind <> 'click' THEN 0.3e0 ELSE 0 END AS wa, CASE WHEN kind <> 'error' THEN 0.2e0 ELSE 0 END AS wm FROM w) SELECT event_id, round((wt * u + wa * k / 100 + wm * (1 - u)) / (wt + wa + wm) + 1e-9, 6) AS score FROM x"),
     "num_confidence_gap": (gap_confidence, f"WITH {EVENT_SQL} SELECT event_id, round(1 - exp(-least(v, k * 2) / 60), 6) AS confidence, greatest(1, CAST(round_even(k / 2e0, 0) AS BIGINT)) AS least_gap FROM ev"),
     "num_policy_matrix": (policy, f"WITH {EVENT_SQL}, c AS (SELECT {pick_sql('k', _INTENTS)} AS intent, {pick_sql('k // 5', _OWNERS)} AS ownership FROM ev) SELECT intent, ownership, {_POLICY_SQL} AS action, count(*) AS n FROM c GROUP BY ALL"),
     "num_eligibility": (eligible, f"WITH {EVENT_SQL}, c AS (SELECT {pick_sql('k', _CLASSES)} AS content, u >= 0.5e0 AS strong FROM ev) SELECT content, strong, {_ELIGIBLE_SQL} AS eligibility, count(*) AS n FROM c GROUP BY ALL"),
