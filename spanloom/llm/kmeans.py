@@ -48,32 +48,34 @@ def fixed_point(values: np.ndarray, scale: int) -> np.ndarray:
     return out
 
 
-def _norms(vectors: np.ndarray) -> np.ndarray:
-    squares = (vectors * vectors).sum(axis=1)
-    return np.array([math.sqrt(x) for x in squares]) if vectors.dtype == object else np.sqrt(squares.astype(np.float64))
+def _root(squares: np.ndarray) -> np.ndarray:
+    """Square roots: doubles, or rounded down where the numbers are Python's."""
+    return np.array([math.isqrt(x) for x in squares], object) if squares.dtype == object else np.sqrt(squares.astype(np.float64))
 
 
 class Annuli:
     """Centroids sorted by norm."""
 
     def __init__(self, centroids: np.ndarray) -> None:
-        norms = _norms(centroids)
-        self.number = np.argsort(norms, kind="stable")
-        self.norms, self.sorted = norms[self.number], centroids[self.number]
+        squares = (centroids * centroids).sum(axis=1)
+        self.number = np.argsort(squares, kind="stable")
+        self.sorted, self.norms, self.whole = centroids[self.number], _root(squares[self.number]), _root(squares[self.number].astype(object))
 
     def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each vector the number of the nearest centroid and the squared distance."""
         if vectors.dtype != self.sorted.dtype:
             vectors = vectors.astype(object)
-        size, k = _norms(vectors), len(self.norms)
-        right = np.minimum(np.searchsorted(self.norms, size), k - 1)
+        exact = vectors.dtype == object
+        norms, k = self.whole if exact else self.norms, len(self.norms)
+        size = _root((vectors * vectors).sum(axis=1))
+        right = np.minimum(np.searchsorted(norms, size), k - 1)
         left = np.maximum(right - 1, 0)
-        first = np.where(size - self.norms[left] < self.norms[right] - size, left, right)
+        first = np.where(size - norms[left] < norms[right] - size, left, right)
         gap = vectors - self.sorted[first]
         best, number = (gap * gap).sum(axis=1), self.number[first].copy()
-        bound = np.array([math.sqrt(x) for x in best]) if best.dtype == object else np.sqrt(best.astype(np.float64))
-        bound = bound + 1e-9 * (bound + size) + 1e-6
-        low, high = np.searchsorted(self.norms, size - bound, "left"), np.searchsorted(self.norms, size + bound, "right")
+        bound = _root(best)
+        bound = bound + (3 if exact else 1e-9 * (bound + size) + 1e-6)  # for what the roots lost
+        low, high = np.searchsorted(norms, size - bound, "left"), np.searchsorted(norms, size + bound, "right")
         for place in range(k):
             rows = np.flatnonzero((low <= place) & (place < high) & (first != place))
             if len(rows):
