@@ -40,8 +40,8 @@ from spanloom.llm.store import materialize
 GRAM, MOST_WINDOWS = 3, 64
 #: Different strings under one minimiser beyond which its windows travel singly; and those of a task that are too few to report.
 HOT, FEW = 1 << 16, 8
-#: Words with a code of their own, and strings that a task remembers as copied.
-CODES, REMEMBERED = 60_000, 100_000
+#: Words with a code of their own (some 12 MB, whatever the corpus), and strings that a task remembers as copied.
+CODES, REMEMBERED = 1_000_000, 100_000
 #: Rows that are decided at once, and bits of a bucket's number: rows of several minimisers in a bucket do no harm.
 CHUNK_ROWS, BUCKET_BITS = 1 << 16, 40
 
@@ -245,6 +245,9 @@ def _census(docs: DataFrame, window: int) -> tuple[list[bytes], np.ndarray]:
         def summed() -> pa.Table:
             return pa.concat_tables(held).group_by(["word", "bucket"]).aggregate([("n", "sum")]).rename_columns(["word", "bucket", "n"])
 
+        def told(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            yield from rows.filter(pc.greater_equal(rows["n"], pc.if_else(pc.is_valid(rows["word"]), 2, FEW))).to_batches(10_000)
+
         for batch in batches:
             data, offsets = tx.doc_bytes(batch.column(0))
             for i, j in tx.doc_slices(offsets):
@@ -252,8 +255,7 @@ def _census(docs: DataFrame, window: int) -> tuple[list[bytes], np.ndarray]:
                 if not len(hashes):
                     continue
                 n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
-                often = np.flatnonzero(n >= 2)
-                held.append(pa.table({"word": words.dictionary.take(pa.array(often)), "bucket": pa.nulls(len(often), pa.int64()), "n": pa.array(n[often])}))
+                held.append(pa.table({"word": words.dictionary, "bucket": pa.nulls(len(n), pa.int64()), "n": pa.array(n)}))
                 first, count, bucket = super_kmers(hashes, bounds, window, none)
                 total += len(first)
                 if len(first):
@@ -261,13 +263,12 @@ def _census(docs: DataFrame, window: int) -> tuple[list[bytes], np.ndarray]:
                     key, n = np.unique(bucket[own], return_counts=True)
                     key, n = key[n >= 2], n[n >= 2]
                     held.append(pa.table({"word": pa.nulls(len(key), pa.binary()), "bucket": pa.array(key.view(np.int64)), "n": pa.array(n)}))
-                if sum(x.num_rows for x in held) > 1_000_000:
+                if sum(x.num_rows for x in held) > 2_000_000:
                     held = [summed()]
-                    if held[0].num_rows > 500_000:
-                        yield from held.pop().to_batches(10_000)
+                    if held[0].num_rows > 1_000_000:
+                        yield from told(held.pop())
         if held:
-            out = summed()
-            yield from out.filter(pc.or_(pc.is_valid(out["word"]), pc.greater_equal(out["n"], FEW))).to_batches(10_000)
+            yield from told(summed())
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([total])], names=["word", "bucket", "n"])
 
     census = materialize(docs.select("text").mapInArrow(scan, "word binary, bucket long, n long").groupBy("word", "bucket").agg(F.sum("n").alias("n")), "census")
