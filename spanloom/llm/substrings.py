@@ -1,7 +1,7 @@
 """Operator 11, substring dedup: words in windows that an earlier document has too are removed; windows meet by super-k-mers.
 
-A window is ``window`` consecutive words. Its minimiser is the least hash of its three-word grams; consecutive windows
-mostly share it, and such a stretch (a super-k-mer) travels as one packed string to the bucket of its minimiser. Equal
+A window is ``window`` consecutive words. Its minimiser is the least hash of its two-word grams, grams of frequent words
+coming last, so that no bucket is filled by a phrase that all texts use; consecutive windows mostly share it, and such a stretch (a super-k-mer) travels as one packed string to the bucket of its minimiser. Equal
 windows have equal minimisers, so they meet in a bucket, where sorting their word numbers counts them exactly: no hash
 decides what is equal. A packed string holds one to three bytes for each of the most frequent words (any number of bytes of 0x20 to
 0x7F, then one of 0x80 to 0xFF, short ones first); all others are spelled between a tab and a line feed, which no word holds.
@@ -11,9 +11,9 @@ What keeps large groups apart:
 * Of equal strings in a slice of a task, or behind one that the task has seen to be copied, only those of the least
   document travel; the others are decided where they stand, and go to the result as a span. So a passage with a
   billion copies sends its bucket about one row a task.
-* Near copies differ, and their strings would all meet. A first scan finds the minimisers with more than ``HOT``
+* Near copies differ, and their strings would all meet. A scan finds the minimisers with more than ``HOT``
   different strings (or a millionth of all, so there are a million at most, which is what tasks are sent); windows under
-  these travel singly, to a bucket of their own. The same scan counts words for their codes.
+  these travel singly, to a bucket of their own. A scan before counts words, for codes and grams.
 * A string holds at most ``MOST_WINDOWS`` windows.
 
 Decisions in a task follow the order of its rows, which a repeated table scan keeps.
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from spanloom.llm import text as tx
 from spanloom.llm.store import materialize
 
-#: Words of the grams that minimisers are taken from, and windows of a string at most.
-GRAM, MOST_WINDOWS = 3, 64
+#: Words of the grams that minimisers are taken from, frequent words whose grams come last, and windows of a string at most.
+GRAM, COMMON, MOST_WINDOWS = 2, 4096, 64
 #: Different strings under one minimiser beyond which its windows travel singly; and those of a task that are too few to report.
 HOT, FEW = 1 << 16, 8
 #: Words with a code of their own (some 12 MB, whatever the corpus), and strings that a task remembers as copied.
@@ -64,21 +64,24 @@ def _rolled(hashes: np.ndarray, k: int) -> np.ndarray:
     return tx.mix(out + np.uint64(k))
 
 
-def super_kmers(hashes: np.ndarray, bounds: np.ndarray, window: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is in a sorted list."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
+
+def super_kmers(hashes: np.ndarray, bounds: np.ndarray, window: int, common: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word, number of windows and bucket of each stretch of windows that share a minimiser; windows of a hot one share their own hash.
 
-    ``bounds`` has each document's first word; windows lie inside documents.
+    ``bounds`` has each document's first word; windows lie inside documents. ``common`` and ``hot`` are sorted.
     """
     n = len(hashes)
     if n < window:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0, np.uint64)
     gram = min(GRAM, window)
-    key = sliding_least(_rolled(hashes, gram), window - gram + 1)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
-        busy = hot[at] == key
-        key = np.where(busy, _rolled(hashes, window), key)
+    last = -sliding_least(-_among(hashes, common).astype(np.int8), gram) if gram > 1 else _among(hashes, common)
+    key = sliding_least(_rolled(hashes, gram) >> np.uint64(1) | (last > 0).astype(np.uint64) << np.uint64(63), window - gram + 1)
+    key = np.where(_among(key, hot), _rolled(hashes, window), key)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     place = np.flatnonzero(doc[: n - window + 1] == doc[window - 1 :])
     if not len(place):
@@ -236,58 +239,78 @@ def _decided(rows: pa.Table, window: int) -> pa.RecordBatch | None:
     return found if known is None else pa.concat_batches([known, found])
 
 
-def _census(docs: DataFrame, window: int) -> tuple[pa.BinaryArray, np.ndarray]:
-    """The most frequent words, frequent ones first, and the hot minimisers sorted."""
+def _frequent(docs: DataFrame) -> pa.BinaryArray:
+    """The most frequent words, frequent ones first: those from so high a count on that there are at most ``CODES``. Words that a task sees once are not counted."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, none = 0, np.zeros(0, np.uint64)
         held: list[pa.Table] = []
 
         def summed() -> pa.Table:
-            return pa.concat_tables(held).group_by(["word", "bucket"]).aggregate([("n", "sum")]).rename_columns(["word", "bucket", "n"])
-
-        def told(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            yield from rows.filter(pc.greater_equal(rows["n"], pc.if_else(pc.is_valid(rows["word"]), 2, FEW))).to_batches(10_000)
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         for batch in batches:
             data, offsets = tx.doc_bytes(batch.column(0))
             for i, j in tx.doc_slices(offsets):
-                hashes, bounds, words = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1])
-                if not len(hashes):
-                    continue
-                n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
-                held.append(pa.table({"word": words.dictionary, "bucket": pa.nulls(len(n), pa.int64()), "n": pa.array(n)}))
-                first, count, bucket = super_kmers(hashes, bounds, window, none)
-                total += len(first)
-                if len(first):
-                    own = np.unique(tx.mix(bucket) ^ tx.mix(_rolled(hashes, window)[first] + count.astype(np.uint64)), return_index=True)[1]
-                    key, n = np.unique(bucket[own], return_counts=True)
-                    key, n = key[n >= 2], n[n >= 2]
-                    held.append(pa.table({"word": pa.nulls(len(key), pa.binary()), "bucket": pa.array(key.view(np.int64)), "n": pa.array(n)}))
+                _, _, words = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1])
+                held.append(pa.table({"word": words.dictionary, "n": pa.array(np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary)))}))
                 if sum(x.num_rows for x in held) > 2_000_000:
                     held = [summed()]
                     if held[0].num_rows > 1_000_000:
-                        yield from told(held.pop())
+                        rows = held.pop()
+                        yield from rows.filter(pc.greater(rows["n"], 1)).to_batches(10_000)
         if held:
-            yield from told(summed())
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([total])], names=["word", "bucket", "n"])
-
-    census = materialize(docs.select("text").mapInArrow(scan, "word binary, bucket long, n long").groupBy("word", "bucket").agg(F.sum("n").alias("n")), "census")
-    total = census.where("word IS NULL AND bucket IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # words from so high a count on that there are at most CODES, told by a histogram of their counts in steps of a hundredth
-    counted = census.where("word IS NOT NULL").withColumn("step", F.floor(F.log("n") * 100))
-    steps = sorted(counted.groupBy("step").count().collect(), reverse=True)
+            rows = summed()
+            yield from rows.filter(pc.greater(rows["n"], 1)).to_batches(10_000)
+
+    counted = materialize(docs.select("text").mapInArrow(scan, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).withColumn("step", F.floor(F.log("n") * 100)), "words")
+    steps = sorted(counted.groupBy("step").count().collect(), reverse=True)  # counts in steps of a hundredth: a few thousand rows
     least = min((s for s, t in zip((r["step"] for r in steps), accumulate(r["count"] for r in steps), strict=True) if t <= CODES), default=None)
-    words = counted.where(F.lit(False) if least is None else F.col("step") >= least).select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])["word"].combine_chunks()
-    hot = census.where(F.col("bucket").isNotNull() & (F.col("n") > max(HOT, total // 1_000_000))).select("bucket").collect()
-    return words, np.sort(np.array([r[0] for r in hot], np.int64).view(np.uint64))
+    words = counted.where(F.lit(False) if least is None else F.col("step") >= least).select("word", "n").toArrow()
+    return words.sort_by([("n", "descending"), ("word", "ascending")])["word"].combine_chunks()
+
+
+def _hot(docs: DataFrame, window: int, common: np.ndarray) -> np.ndarray:
+    """Minimisers of more than ``HOT`` different strings, or a millionth of all, sorted."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, none = 0, np.zeros(0, np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            keys, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return keys, np.bincount(place, np.concatenate([n for _, n in held])).astype(np.int64)
+
+        for batch in batches:
+            data, offsets = tx.doc_bytes(batch.column(0))
+            for i, j in tx.doc_slices(offsets):
+                _, _, hashes, bounds = tx.words(data[offsets[i] : offsets[j]], offsets[i : j + 1])
+                first, count, bucket = super_kmers(hashes, bounds, window, common, none)
+                if not len(first):
+                    continue
+                total += len(first)
+                own = np.unique(tx.mix(bucket) ^ tx.mix(_rolled(hashes, window)[first] + count.astype(np.uint64)), return_index=True)[1]
+                keys, n = np.unique(bucket[own], return_counts=True)
+                held.append((keys[n > 1], n[n > 1]))
+                if sum(len(k) for k, _ in held) > 1_000_000:
+                    keys, n = summed()
+                    held = [(keys[n >= FEW], n[n >= FEW])]
+        keys, n = summed() if held else (none, np.zeros(0, np.int64))
+        some = n >= FEW
+        yield pa.RecordBatch.from_arrays([pa.array([None, *keys[some].view(np.int64).tolist()], pa.int64()), pa.array([total, *n[some].tolist()], pa.int64())], names=["bucket", "n"])
+
+    counted = materialize(docs.select("text").mapInArrow(scan, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "buckets")
+    total = counted.where("bucket IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = counted.where(F.col("bucket").isNotNull() & (F.col("n") > max(HOT, total // 1_000_000))).select("bucket").collect()
+    return np.sort(np.array([r[0] for r in hot], np.int64).view(np.uint64))
 
 
 def shared_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     """doc_id, digest (``hash(text)``), start, end: stretches of words in windows that also start in a document of a smaller doc_id. They may overlap."""
     owned = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.hash("text").cast("long").alias("digest"), "text")
-    table, hot = _census(owned, window)
+    table = _frequent(owned)
     coded = codes(len(table))
+    common = np.sort(tx.words(*tx.doc_bytes(table.slice(0, COMMON).cast(pa.string())))[2])
+    hot = _hot(owned, window, common)
 
     def row_batch(bucket: np.ndarray, bodies: pa.BinaryArray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array((bucket >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)), bodies], names=["bucket", "body"])
@@ -299,7 +322,7 @@ def shared_spans(docs: DataFrame, window: int = 13) -> DataFrame:
             data, offsets = tx.doc_bytes(batch.column(2))
             for i, j in tx.doc_slices(offsets):
                 hashes, bounds, words = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1])
-                first, count, bucket = super_kmers(hashes, bounds, window, hot)
+                first, count, bucket = super_kmers(hashes, bounds, window, common, hot)
                 if not len(first):
                     continue
                 doc = np.searchsorted(bounds, first, "right") - 1

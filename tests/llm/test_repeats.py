@@ -88,8 +88,9 @@ def test_equal_strings_of_a_task_travel_once(spark):
 def test_super_kmers_hold_every_window_once():
     rng = np.random.default_rng(5)
     hashes, bounds = rng.integers(0, 1 << 63, 400, dtype=np.uint64), np.array([0, 0, 150, 155, 400])
-    for hot in (np.zeros(0, np.uint64), np.sort(substrings.super_kmers(hashes, bounds, 13, np.zeros(0, np.uint64))[2])[:20]):
-        first, count, _ = substrings.super_kmers(hashes, bounds, 13, hot)
+    none = np.zeros(0, np.uint64)
+    for common, hot in ((none, none), (none, np.sort(substrings.super_kmers(hashes, bounds, 13, none, none)[2])[:20]), (np.sort(hashes)[:200], none)):
+        first, count, _ = substrings.super_kmers(hashes, bounds, 13, common, hot)
         assert [i for f, c in zip(first, count, strict=True) for i in range(f, f + c)] == [*range(0, 138), *range(155, 388)]
 
 
