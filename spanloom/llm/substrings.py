@@ -19,7 +19,7 @@ What keeps large groups apart:
 Decisions in a task follow the order of its rows, which a repeated table scan keeps.
 
 Defined results: null or empty text has no words; a document without an id removes nothing and loses nothing; rows of
-one doc_id do not remove from each other; where it has several texts, they are told apart by a 32-bit hash; repeated rows get one
+one doc_id do not remove from each other; where any has several rows, texts are told apart by a 64-bit hash too; repeated rows get one
 result each; an empty table gives an empty one. Only doc_id and text are read.
 """
 
@@ -44,7 +44,7 @@ HOT, FEW = 1 << 16, 8
 #: Words with a code of their own (some 12 MB, whatever the corpus), and strings that a task remembers as copied.
 CODES, REMEMBERED = 1_000_000, 100_000
 #: Rows that are decided at once, and bits of a bucket's number: rows of several minimisers in a bucket do no harm.
-CHUNK_ROWS, BUCKET_BITS = 1 << 16, 40
+CHUNK_ROWS, BUCKET_BITS = 1 << 16, 32
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -155,24 +155,23 @@ def _short(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return values.view(np.uint8).reshape(len(values), 8)[:, :width], used
 
 
-def _bodies(doc: np.ndarray, at: np.ndarray, strings: pa.BinaryArray, told: bool) -> pa.BinaryArray:
-    """Document and place in as few bytes as they need, ahead of each string. The first byte has the two lengths, and whether the string is a count."""
-    parts, lengths = zip(_short(doc.astype(np.int64).view(np.uint64), 8), _short((at & 0xFFFFFFFF).astype(np.uint64), 4), strict=True)
+def _bodies(doc: np.ndarray, digest: np.ndarray, place: np.ndarray, strings: pa.BinaryArray, told: bool, wide: int) -> pa.BinaryArray:
+    """Document and place in as few bytes as they need, and ``wide`` bytes of the digest, ahead of each string. The first byte has the two lengths, and whether the string is a count."""
+    parts, lengths = zip(_short(doc.astype(np.int64).view(np.uint64), 8), _short(place.astype(np.uint64), 4), strict=True)
     head = (lengths[0] * 8 + lengths[1] + 128 * told).astype(np.uint8)[:, None]
-    digest = (at >> 32).astype(np.int32).view(np.uint8).reshape(len(at), 4)
-    every = np.hstack([head, digest, *parts])
-    keep = np.hstack([np.ones((len(at), 5), bool), *(np.arange(p.shape[1]) < n[:, None] for p, n in zip(parts, lengths, strict=True))])
+    every = np.hstack([head, digest.astype(np.int64).view(np.uint8).reshape(len(doc), 8)[:, :wide], *parts])
+    keep = np.hstack([np.ones((len(doc), 1 + wide), bool), *(np.arange(p.shape[1]) < n[:, None] for p, n in zip(parts, lengths, strict=True))])
     heads = _binary(every[keep], np.append(0, np.cumsum(keep.sum(axis=1))))
     return pc.binary_join_element_wise(heads, strings, pa.scalar(b"", pa.binary()))
 
 
-def _opened(bodies: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.BinaryArray]:
-    """Of ``_bodies``: documents, places, whether the string is a count, strings."""
+def _opened(bodies: pa.BinaryArray, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.BinaryArray]:
+    """Of ``_bodies``: documents, digests, places, whether the string is a count, strings."""
     offsets = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + len(bodies) + 1].astype(np.int64)
     data = np.frombuffer(bodies.buffers()[2], np.uint8)
     start = offsets[:-1]
     head = data[start].astype(np.int64)
-    n_doc, n_at = (head & 127) // 8, head & 7
+    n_doc, n_place = (head & 127) // 8, head & 7
 
     def number(begin: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
         out = np.zeros(len(begin), np.uint64)
@@ -181,10 +180,11 @@ def _opened(bodies: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
             out[there] |= data[begin[there] + k].astype(np.uint64) << np.uint64(8 * k)
         return out.view(np.int64)
 
-    digest = number(start + 1, np.full(len(start), 4), 4).astype(np.uint32).view(np.int32).astype(np.int64)
-    doc, place = number(start + 5, n_doc, 8), number(start + 5 + n_doc, n_at, 4)
-    inner = start + 5 + n_doc + n_at
-    return doc, (digest << 32) | place, head >= 128, _gathered(data, inner, offsets[1:] - inner)
+    digest = number(start + 1, np.full(len(start), wide), wide)
+    own = start + 1 + wide
+    doc, place = number(own, n_doc, 8), number(own + n_doc, n_place, 4)
+    inner = own + n_doc + n_place
+    return doc, digest, place, head >= 128, _gathered(data, inner, offsets[1:] - inner)
 
 
 def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -200,28 +200,27 @@ def same_windows(number: np.ndarray, places: np.ndarray, window: int) -> np.ndar
     return _paired(number[places], number[places + window - have])
 
 
-def _spans(doc: np.ndarray, at: np.ndarray, windows: np.ndarray, window: int) -> pa.RecordBatch:
+def _spans(doc: np.ndarray, digest: np.ndarray, start: np.ndarray, windows: np.ndarray, window: int) -> pa.RecordBatch:
     """Spans of words: document, hash of the text, first word and the one behind the last."""
-    start = at & 0xFFFFFFFF
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at >> 32, pa.int64()), pa.array(start), pa.array(start + windows + window - 1)], names=["doc_id", "digest", "start", "end"])
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(digest), pa.array(start), pa.array(start + windows + window - 1)], names=["doc_id", "digest", "start", "end"])
 
 
-def _decided(rows: pa.Table, window: int) -> pa.RecordBatch | None:
+def _decided(rows: pa.Table, window: int, wide: int) -> pa.RecordBatch | None:
     """Of rows sorted by bucket, buckets whole: spans of the windows that a smaller document has too, and of those told before."""
     if not rows.num_rows:
         return None
     bucket = rows.column("bucket").to_numpy()
-    doc, at, told, strings = _opened(rows.column("body").combine_chunks())
+    doc, digest, place, told, strings = _opened(rows.column("body").combine_chunks(), wide)
     first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     several = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
     keep = np.flatnonzero(np.repeat(several, np.diff(np.append(first, len(doc)))) & ~told)
     known = None
     if told.any():
         count = np.frombuffer(strings.take(pa.array(np.flatnonzero(told))).buffers()[2], np.int64)
-        known = _spans(doc[told], at[told], count, window)
+        known = _spans(doc[told], digest[told], place[told], count, window)
     if not len(keep):
         return known
-    doc, at = doc[keep], at[keep]
+    doc, digest, place = doc[keep], digest[keep], place[keep]
     number, bounds = unpacked(strings.take(pa.array(keep)))
     windows = np.diff(bounds) - window + 1
     row = np.repeat(np.arange(len(doc)), windows)
@@ -235,7 +234,7 @@ def _decided(rows: pa.Table, window: int) -> pa.RecordBatch | None:
     new = np.append(True, (np.diff(there) != 1) | (row[there[1:]] != row[there[:-1]]))
     begin = there[new]
     count = np.diff(np.append(np.flatnonzero(new), len(there)))
-    found = _spans(doc[row[begin]], at[row[begin]] + inner[begin], count, window)
+    found = _spans(doc[row[begin]], digest[row[begin]], place[row[begin]] + inner[begin], count, window)
     return found if known is None else pa.concat_batches([known, found])
 
 
@@ -304,9 +303,20 @@ def _hot(docs: DataFrame, window: int, common: np.ndarray) -> np.ndarray:
     return np.sort(np.array([r[0] for r in hot], np.int64).view(np.uint64))
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, digest and text of the rows, and the bytes that a digest takes: none (it is 0) while every doc_id has one row, else 8 of the text's hash."""
+    own = docs.select(F.col("doc_id").cast("long"), "text")
+    twins = own.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return own.withColumn("digest", F.xxhash64("text") if twins else F.lit(0).cast("long")), 8 * twins
+
+
 def shared_spans(docs: DataFrame, window: int = 13) -> DataFrame:
-    """doc_id, digest (``hash(text)``), start, end: stretches of words in windows that also start in a document of a smaller doc_id. They may overlap."""
-    owned = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.hash("text").cast("long").alias("digest"), "text")
+    """doc_id, digest (as ``keyed`` gives it), start, end: stretches of words in windows that also start in a document of a smaller doc_id. They may overlap."""
+    return _spans_of(*keyed(docs), window)
+
+
+def _spans_of(docs: DataFrame, wide: int, window: int) -> DataFrame:
+    owned = docs.where("doc_id IS NOT NULL").select("doc_id", "digest", "text")
     table = _frequent(owned)
     coded = codes(len(table))
     common = np.sort(tx.words(*tx.doc_bytes(table.slice(0, COMMON).cast(pa.string())))[2])
@@ -326,7 +336,7 @@ def shared_spans(docs: DataFrame, window: int = 13) -> DataFrame:
                 if not len(first):
                     continue
                 doc = np.searchsorted(bounds, first, "right") - 1
-                at = (digests[i:j][doc] << 32) | (first - bounds[doc])
+                place, digest = first - bounds[doc], digests[i:j][doc]
                 doc_id, strings = ids[i:j][doc], packed(words, first, count + window - 1, table, coded).dictionary_encode()
                 number = strings.indices.to_numpy()
                 least = np.full(len(strings.dictionary), np.iinfo(np.int64).max)
@@ -347,9 +357,9 @@ def shared_spans(docs: DataFrame, window: int = 13) -> DataFrame:
                     begin = lost[new]
                     windows = np.add.reduceat(count[lost], np.flatnonzero(new)).astype(np.int64)
                     counts = _binary(windows.view(np.uint8), np.arange(len(windows) + 1) * 8)
-                    yield row_batch(tx.mix(at[begin].astype(np.uint64)), _bodies(doc_id[begin], at[begin], counts, True))
+                    yield row_batch(tx.mix(tx.mix(doc_id[begin].view(np.uint64)) + place[begin].astype(np.uint64)), _bodies(doc_id[begin], digest[begin], place[begin], counts, True, wide))
                 left = np.flatnonzero(~beaten)
-                yield row_batch(bucket[left], _bodies(doc_id[left], at[left], strings.dictionary.take(pa.array(number[left])), False))
+                yield row_batch(bucket[left], _bodies(doc_id[left], digest[left], place[left], strings.dictionary.take(pa.array(number[left])), False, wide))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -362,13 +372,13 @@ def shared_spans(docs: DataFrame, window: int = 13) -> DataFrame:
                 bucket = rows.column("bucket").to_numpy()
                 cut = int(np.searchsorted(bucket, bucket[-1]))
                 if cut:
-                    spans = _decided(rows.slice(0, cut), window)
+                    spans = _decided(rows.slice(0, cut), window, wide)
                     if spans is not None:
                         yield spans
                 held, n = [rows.slice(cut)], len(rows) - cut
                 limit = max(CHUNK_ROWS, 2 * n)  # a bucket larger than a chunk is looked at again when it has doubled
         if held:
-            spans = _decided(pa.concat_tables(held), window)
+            spans = _decided(pa.concat_tables(held), window, wide)
             if spans is not None:
                 yield spans
 
@@ -378,8 +388,9 @@ def shared_spans(docs: DataFrame, window: int = 13) -> DataFrame:
 
 def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by spaces) for every row of ``docs``."""
-    spans = shared_spans(docs, window).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    own = docs.select(F.col("doc_id").cast("long"), F.hash("text").cast("long").alias("digest"), F.col("text").cast("binary"))
+    rows, wide = keyed(docs)
+    spans = _spans_of(rows, wide, window).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    own = rows.select("doc_id", "digest", F.col("text").cast("binary"))
     rows = own.join(spans, ["doc_id", "digest"], "left").select("doc_id", "text", F.col("spans.start").alias("start"), F.col("spans.end").alias("end"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
