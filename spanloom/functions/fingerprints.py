@@ -40,7 +40,7 @@ def stable_hash(text: Column) -> Column:
 
 
 def minhash(grams: Column) -> Column:
-    """128 unsigned minima of an array of texts' hashes, as signed longs; all ones for no texts, null for null."""
+    """128 unsigned minima of an array of texts' hashes, as signed longs; all ones for no texts, null for null. Nulls within the array are left out."""
     a, b = (np.arange(HASHES, dtype=np.uint64) * np.uint64(step) for step in (STEP_A, STEP_B))
 
     @F.arrow_udf("array<long>")
@@ -48,6 +48,7 @@ def minhash(grams: Column) -> Column:
         out = []
         for texts in column.to_pylist():
             least = np.full(HASHES, 2**64 - 1, np.uint64)
+            texts = texts and [t for t in texts if t is not None]
             for k in range(0, len(texts or ()), 4096):
                 part = _fnv(texts[k : k + 4096])
                 least = np.minimum(least, ((part[:, None] + a) ^ b).min(axis=0))
@@ -74,7 +75,7 @@ def decode_signature(written: Column) -> Column:
 
 
 def simhash(frames: Column) -> Column:
-    """64 bits, each the sign of the weighted bits of all 32-bit frames; the first output bit is the lowest."""
+    """64 bits, each the sign of the weighted bits of all 32-bit frames; the first output bit is the lowest. Nulls within the array are left out."""
     rng = random.Random(WEIGHT_SEED)
     weights = np.array([[1 if rng.random() >= 0.5 else -1 for _ in range(64)] for _ in range(32)])
 
@@ -85,7 +86,7 @@ def simhash(frames: Column) -> Column:
             if values is None:
                 out.append(None)
                 continue
-            frame = np.array(values, np.int64).astype(np.uint64) & np.uint64(0xFFFFFFFF)
+            frame = np.array([v for v in values if v is not None], np.int64).astype(np.uint64) & np.uint64(0xFFFFFFFF)
             signs = ((frame[:, None] >> np.arange(32, dtype=np.uint64)) & np.uint64(1)).astype(np.int64) * 2 - 1
             votes = signs.sum(axis=0) @ weights
             out.append(int(np.packbits((votes > 0)[::-1]).view(">i8")[0]))
@@ -200,12 +201,18 @@ _SLOTS = "array<struct<side:string,start:int,end:int,left:int,right:int>>"
 
 
 def differences(a: Column, b: Column, tolerance: int = 2, least_run: int = 8, slack: int = 2, least_gap: int = 5) -> Column:
-    """Stretches of either of two sequences of 32-bit frames that the other lacks: array of (side, start, end, left, right), the last two the aligned lengths beside it."""
+    """Stretches of either of two sequences of 32-bit frames that the other lacks: array of (side, start, end, left, right), the last two the aligned lengths beside it.
+
+    Null is an empty sequence; a null within one gives null, as places behind it would be none.
+    """
 
     @F.arrow_udf(_SLOTS)
     def slots(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
         for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):
+            if None in (x or ()) or None in (y or ()):
+                out.append(None)
+                continue
             fa, fb = (np.array(v or [], np.int64).astype(np.uint32) for v in (x, y))
             runs = _joined(_runs(fa, fb, tolerance, least_run), slack)
             sides = (("a", [(r[0], r[0] + r[2]) for r in runs], len(fa)), ("b", [(r[1], r[1] + r[2]) for r in runs], len(fb)))

@@ -1,9 +1,14 @@
-"""Column functions over text, markup and addresses; all run in the JVM."""
+"""Column functions over text, markup and addresses; all but the quality of speech run in the JVM."""
 
 from __future__ import annotations
 
+import math
+import re
+import unicodedata
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -176,36 +181,59 @@ def once(rows: DataFrame, **columns: Column) -> DataFrame:
 
 
 def speech_quality(rows: DataFrame, text: str, seconds: Column) -> DataFrame:
-    """``rows`` with the parts of a transcript's quality (0 to 1): punctuation, density, repetition, word_length."""
-    rows = once(rows, _w=F.filter(F.split(text, "\\s+"), lambda w: w != ""), _s=seconds.cast("double"))
-    n = F.size("_w")
-    pair = lambda i: F.lower(F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1)))
-    rows = once(rows, _p=F.when(n >= 10, F.array_sort(F.transform(F.sequence(F.lit(0), n - 2), pair))), _l=F.transform("_w", lambda w: F.length(w).cast("double")), _u=F.transform("_w", lambda w: unusual_word(F.lower(w))))
-    enders = F.length(F.regexp_replace(text, "[^.!?]", ""))
-    clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-    punctuation = F.when(n < 5, 0.5).otherwise(clamp(1 - F.abs(enders / F.greatest(F.lit(1.0), n / 20) - 1) * 0.5))
-    rate = n / F.nullif("_s", F.lit(0.0))
-    density = F.when(F.col("_s") <= 0, 0.0).when(rate.between(1.5, 4.0), 1.0).when(rate.between(1.0, 5.0), 0.6).when(rate.between(0.5, 6.0), 0.3).otherwise(0.0)
-    # of the sorted pairs, those that stand there more than twice: two of their neighbours are equal
-    same = lambda p, i: p.eqNullSafe(F.get("_p", i))
-    often = F.size(F.filter("_p", lambda p, i: same(p, i - 2) | (same(p, i - 1) & same(p, i + 1)) | same(p, i + 2)))
-    repetition = F.when(n < 10, 0.8).otherwise(F.greatest(F.lit(0.0), 1 - often / (n - 1) * 3))
-    total = lambda c, f=lambda x: x: F.aggregate(c, F.lit(0.0), lambda s, x: s + f(x))
-    rows = once(rows, _m=total("_l") / n, _q=total("_l", lambda x: x * x) / n, _f=total("_u") / n)
-    deviation = F.sqrt(F.greatest(F.lit(0.0), F.col("_q") - F.col("_m") * F.col("_m")))
-    by_mean = F.when(F.col("_m").between(3.0, 7.0), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(F.col("_m") - 5) * 0.2))
-    by_deviation = F.when(deviation.between(1.5, 4.0), 1.0).when(deviation < 1.5, deviation / 1.5).otherwise(F.greatest(F.lit(0.0), 1 - (deviation - 4) * 0.2))
-    length = F.when(n < 5, 0.5).otherwise(clamp((by_mean + by_deviation) / 2 * (1 - F.col("_f"))))
-    return once(rows, punctuation=punctuation, density=density, repetition=repetition, word_length=length).drop("_w", "_s", "_p", "_l", "_u", "_m", "_q", "_f")
-
-
-def unusual_word(w: Column) -> Column:
+    """``rows`` with the parts of a transcript's quality (0 to 1): punctuation, density, repetition, word_length; null for a null text.
+
+    One pass in Arrow batches: words get numbers once a batch, so that what a word is like is worked out for distinct words only.
+    """
+
+    @F.arrow_udf("struct<punctuation:double,density:double,repetition:double,word_length:double>")
+    def parts(texts: pa.Array, lengths: pa.Array) -> pa.Array:
+        words = [_WORDS.findall(t) if t is not None else [] for t in texts.to_pylist()]
+        known: dict[str, int] = {}
+        ids = [np.fromiter((known.setdefault(w, len(known)) for w in found), np.int64, len(found)) for found in words]
+        lower: dict[str, int] = {}
+        low = np.fromiter((lower.setdefault(w.lower(), len(lower)) for w in known), np.int64, len(known))
+        size = np.fromiter(map(len, known), np.int64, len(known))
+        odd = np.fromiter(map(_unusual, lower), float, len(lower))
+        out = [None if t is None else _speech(t, low[i], size[i], odd, len(lower), s) for t, i, s in zip(texts.to_pylist(), ids, lengths.to_pylist(), strict=True)]
+        return pa.array(out, pa.struct([(n, pa.float64()) for n in ("punctuation", "density", "repetition", "word_length")]))
+
+    return once(rows, _q=parts(F.col(text), seconds.cast("double"))).select(*rows.columns, "_q.*")
+
+
+_WORDS = re.compile("[^ \\t\\n\\x0b\\f\\r]+")
+
+
+def _speech(text: str, words: np.ndarray, size: np.ndarray, odd: np.ndarray, known: int, seconds: float | None) -> dict:
+    """The parts for a text's words (numbers in lower case, lengths); ``odd`` has each number's penalty."""
+    clamp = lambda x: max(0.0, min(1.0, float(x)))
+    n, rate = len(words), len(words) / seconds if seconds and seconds > 0 else 0.0
+    density = next((v for v, (a, b) in ((1.0, (1.5, 4.0)), (0.6, (1.0, 5.0)), (0.3, (0.5, 6.0))) if a <= rate <= b), 0.0)
+    punctuation = length = 0.5
+    if n >= 5:
+        enders = sum(map(text.count, ".!?"))
+        punctuation = clamp(1 - abs(enders / max(1.0, n / 20) - 1) * 0.5)
+        mean, square = size.sum() / n, (size * size).sum() / n
+        deviation = math.sqrt(max(0.0, square - mean * mean))
+        by_mean = 1.0 if 3.0 <= mean <= 7.0 else max(0.0, 1 - abs(mean - 5) * 0.2)
+        by_deviation = 1.0 if 1.5 <= deviation <= 4.0 else deviation / 1.5 if deviation < 1.5 else max(0.0, 1 - (deviation - 4) * 0.2)
+        length = clamp((by_mean + by_deviation) / 2 * (1 - odd[words].sum() / n))
+    repetition = 0.8
+    if n >= 10:
+        counts = np.unique(words[:-1] * known + words[1:], return_counts=True)[1]
+        repetition = max(0.0, 1 - int(counts[counts > 2].sum()) / (n - 1) * 3)
+    return {"punctuation": punctuation, "density": density, "repetition": repetition, "word_length": length}
+
+
+def _unusual(w: str) -> float:
     """Penalty of a word in lower case for what words seldom are, 1 at most."""
-    letters, digits = F.length(F.regexp_replace(w, "[^\\p{L}]", "")), F.length(F.regexp_replace(w, "[^\\p{N}]", ""))
-    vowels = F.length(F.regexp_replace(w, "[^aeiouy]", ""))
-    part = lambda c, x: F.when(c, x).otherwise(0.0)
-    total = part(letters == 0, 0.4) + part((digits > 0) & (letters > 0), 0.2) + part(F.length(w) > 18, 0.3) + part(w.rlike("(.)\\1\\1\\1"), 0.3) + part((letters >= 5) & (vowels / letters < 0.15), 0.2)
-    return F.least(F.lit(1.0), total)
+    kinds = [unicodedata.category(c)[0] for c in w]
+    letters, digits = kinds.count("L"), kinds.count("N")
+    total = 0.4 * (letters == 0) + 0.2 * (digits > 0 and letters > 0) + 0.3 * (len(w) > 18) + 0.3 * bool(_FOUR.search(w)) + 0.2 * (letters >= 5 and sum(map(w.count, "aeiouy")) / letters < 0.15)
+    return min(1.0, total)
+
+
+_FOUR = re.compile("(.)\\1\\1\\1")
 
 
 def quality_level(score: Column) -> Column:

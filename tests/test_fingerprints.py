@@ -68,3 +68,11 @@ def test_differences(spark):
     assert got[2] == [] and got[3] == [("a", 0, 60, 0, 0)] and got[4] == [("b", 0, 30, 0, 0)]
     # seeds need an equal frame, so a copy in which every frame differs by a bit is not found
     assert got[1] == [("a", 0, 80, 0, 0), ("b", 0, 60, 0, 0)]
+
+
+def test_nulls_within_arrays(spark):
+    rows = spark.createDataFrame([(["a", None, "b"], [1, None, 2], [1, 2, 3]), (["a", "b"], [1, 2], [1, None]), (None, None, None), ([], [], []), ([None], [None], [1])], "t array<string>, f array<long>, g array<long>")
+    got = rows.select(fp.minhash(F.col("t")).alias("m"), fp.simhash(F.col("f")).alias("s"), fp.differences(F.col("f"), F.col("g")).alias("d")).collect()
+    assert got[0].m == got[1].m and got[3].m == got[4].m and got[2].m is None
+    assert got[0].s == got[1].s and got[3].s == got[4].s and got[2].s is None
+    assert [r.d is None for r in got] == [True, True, False, False, True]

@@ -13,9 +13,9 @@ from spanloom.plans import registry
 
 def value(x):
     if isinstance(x, float):
-        return "nan" if math.isnan(x) else round(x, 5) + 0.0
+        return "nan" if math.isnan(x) else round(x, 6) + 0.0
     if hasattr(x, "as_integer_ratio") and not isinstance(x, int):  # decimals
-        return round(float(x), 5)
+        return round(float(x), 6)
     return x
 
 
