@@ -94,6 +94,12 @@ def super_kmers(hashes: np.ndarray, bounds: np.ndarray, window: int, common: np.
     return place[first], np.diff(np.append(first, len(place))), key[first]
 
 
+def _bytes(strings: pa.BinaryArray) -> np.ndarray:
+    """The buffer behind strings, all of it."""
+    raw = strings.buffers()[2]
+    return np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+
+
 def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.BinaryArray:
     return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
@@ -128,23 +134,31 @@ def packed(words: pa.DictionaryArray, first: np.ndarray, count: np.ndarray, know
     code = pc.index_in(words.dictionary, value_set=known)
     spelled = pc.binary_join_element_wise(pa.scalar(b"\t", pa.binary()), words.dictionary, pa.scalar(b"\n", pa.binary()), pa.scalar(b"", pa.binary()))
     tokens = pc.if_else(code.is_valid(), coded.take(code.fill_null(0)), spelled) if len(coded) else spelled
-    data, offsets = np.frombuffer(tokens.buffers()[2], np.uint8), np.frombuffer(tokens.buffers()[1], np.int32)[: len(tokens) + 1].astype(np.int64)
+    if not len(tokens):
+        return _binary(np.zeros(0, np.uint8), np.zeros(len(first) + 1))
+    data, offsets = _bytes(tokens), np.frombuffer(tokens.buffers()[1], np.int32)[: len(tokens) + 1].astype(np.int64)
     number = words.indices.to_numpy()
     length = np.diff(offsets)[number]
     ends = np.zeros(len(number) + 1, np.int64)
     np.cumsum(length, out=ends[1:])
-    stream = np.frombuffer(_gathered(data, offsets[number], length).buffers()[2] or b"", np.uint8)
+    stream = _bytes(_gathered(data, offsets[number], length))
     return _gathered(stream, ends[first], ends[first + count] - ends[first])
 
 
-def unpacked(strings: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the words of all strings, equal for equal words, and each string's first."""
+def unpacked(strings: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, pa.BinaryArray]:
+    """Numbers of the words of all strings, equal for equal words, each string's first, and how the words of the numbers are written."""
     rows = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
-    data = np.frombuffer(strings.buffers()[2], np.uint8)[rows[0] : rows[-1]]
+    data = _bytes(strings)[rows[0] : rows[-1]]
     spelled = np.cumsum((data == 9).astype(np.int8) - (data == 10).astype(np.int8), dtype=np.int8)  # until the line feed
     ends = np.append(0, np.flatnonzero((data == 10) | ((data >= 0x80) & (spelled == 0))) + 1)
     words = _binary(data, ends).dictionary_encode()
-    return words.indices.to_numpy().astype(np.int64), np.searchsorted(ends, rows - rows[0])
+    return words.indices.to_numpy().astype(np.int64), np.searchsorted(ends, rows - rows[0]), words.dictionary
+
+
+def spelled_out(written: pa.BinaryArray, known: pa.Array, coded: pa.Array) -> list[bytes]:
+    """The words that codes stand for, or that are spelled."""
+    place = pc.index_in(written, value_set=coded)
+    return pc.if_else(place.is_valid(), known.take(place.fill_null(0)) if len(known) else written, pc.binary_slice(written, 1, -1)).to_pylist()
 
 
 def _short(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +182,7 @@ def _bodies(doc: np.ndarray, digest: np.ndarray, place: np.ndarray, strings: pa.
 def _opened(bodies: pa.BinaryArray, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.BinaryArray]:
     """Of ``_bodies``: documents, digests, places, whether the string is a count, strings."""
     offsets = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + len(bodies) + 1].astype(np.int64)
-    data = np.frombuffer(bodies.buffers()[2], np.uint8)
+    data = _bytes(bodies)
     start = offsets[:-1]
     head = data[start].astype(np.int64)
     n_doc, n_place = (head & 127) // 8, head & 7
@@ -221,7 +235,7 @@ def _decided(rows: pa.Table, window: int, wide: int) -> pa.RecordBatch | None:
     if not len(keep):
         return known
     doc, digest, place = doc[keep], digest[keep], place[keep]
-    number, bounds = unpacked(strings.take(pa.array(keep)))
+    number, bounds, _ = unpacked(strings.take(pa.array(keep)))
     windows = np.diff(bounds) - window + 1
     row = np.repeat(np.arange(len(doc)), windows)
     inner = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -312,12 +326,12 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, int]:
 
 def shared_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     """doc_id, digest (as ``keyed`` gives it), start, end: stretches of words in windows that also start in a document of a smaller doc_id. They may overlap."""
-    return _spans_of(*keyed(docs), window)
+    rows, wide = keyed(docs)
+    return _spans_of(rows, wide, window, _frequent(rows))
 
 
-def _spans_of(docs: DataFrame, wide: int, window: int) -> DataFrame:
+def _spans_of(docs: DataFrame, wide: int, window: int, table: pa.BinaryArray) -> DataFrame:
     owned = docs.where("doc_id IS NOT NULL").select("doc_id", "digest", "text")
-    table = _frequent(owned)
     coded = codes(len(table))
     common = np.sort(tx.words(*tx.doc_bytes(table.slice(0, COMMON).cast(pa.string())))[2])
     hot = _hot(owned, window, common)
@@ -389,24 +403,37 @@ def _spans_of(docs: DataFrame, wide: int, window: int) -> DataFrame:
 def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by spaces) for every row of ``docs``."""
     rows, wide = keyed(docs)
-    spans = _spans_of(rows, wide, window).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    own = rows.select("doc_id", "digest", F.col("text").cast("binary"))
-    rows = own.join(spans, ["doc_id", "digest"], "left").select("doc_id", "text", F.col("spans.start").alias("start"), F.col("spans.end").alias("end"))
+    table = _frequent(rows)
+    coded = codes(len(table))
+    spans = _spans_of(rows, wide, window, table).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text as its words alone, in codes: less to send than the text."""
+        for batch in batches:
+            data, offsets = tx.doc_bytes(batch.column(2))
+            for i, j in tx.doc_slices(offsets):
+                _, bounds, words = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), packed(words, bounds[:-1], np.diff(bounds), table, coded)], names=["doc_id", "digest", "words"])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, starts, ends = (batch.column(c) for c in range(1, 4))
-            n_words, n_removed, kept = [], [], []
+            if not batch.num_rows:
+                continue
+            starts, ends = batch.column(2), batch.column(3)
+            number, bounds, written = unpacked(batch.column(1))
+            words = spelled_out(written, table, coded)
+            removed, kept = [], []
             for k in range(batch.num_rows):
-                words = (texts[k].as_py() or b"").split()  # splits at exactly these separators
-                n_words.append(len(words))
+                own = number[bounds[k] : bounds[k + 1]]
                 if starts[k].is_valid:
-                    edge = np.zeros(len(words) + 1, np.int64)
+                    edge = np.zeros(len(own) + 1, np.int64)
                     np.add.at(edge, starts[k].values.to_numpy(), 1)
                     np.add.at(edge, ends[k].values.to_numpy(), -1)
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
-                n_removed.append(n_words[-1] - len(words))
-                kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
-
-    return rows.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))
+                    own = own[np.cumsum(edge[:-1]) == 0]
+                removed.append(int(bounds[k + 1] - bounds[k]) - len(own))
+                kept.append(b" ".join([words[w] for w in own.tolist()]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
+
+    coded_docs = rows.select("doc_id", "digest", "text").mapInArrow(pack, "doc_id long, digest long, words binary")
+    joined = coded_docs.join(spans, ["doc_id", "digest"], "left").select("doc_id", "words", F.col("spans.start").alias("start"), F.col("spans.end").alias("end"))
+    return joined.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))

@@ -76,6 +76,8 @@ def test_substrings_of_edge_cases(spark):
     got = substrings.substring_dedup(edge_cases.frame(spark))
     assert Counter(map(tuple, got.collect())) == Counter(kept_words(rows, 13))
     assert substrings.substring_dedup(edge_cases.frame(spark).limit(0)).count() == 0
+    empty = spark.createDataFrame([(1, None), (2, ""), (2, "  \n"), (None, None)], "doc_id long, text string")
+    assert {tuple(r)[1:] for r in substrings.substring_dedup(empty).collect()} == {(0, 0, "")}
 
 
 def test_equal_strings_of_a_task_travel_once(spark):
