@@ -284,7 +284,7 @@ QUERIES = {
     "ev_fp_seconds": (fp_seconds, f"WITH {_COVER}, d AS (SELECT user_id, max(e) - min(s) AS duration FROM sp GROUP BY 1) SELECT user_id, CAST(over AS BIGINT) AS fp_seconds, round(over / (duration / 3600), 6) AS per_hour FROM cov JOIN d USING (user_id)"),
     "ev_gate": (gate, f"WITH RECURSIVE {_MATCH}, m AS (SELECT user_id, count(*) AS m, avg(err / 2) AS mean_error, max(err) AS max_error FROM (SELECT user_id, abs(ps - ts) + abs(pe - te) AS err FROM matches JOIN pairs USING (user_id, p, t) WHERE matches.iou >= 0.05e0) GROUP BY 1), c AS (SELECT user_id, count(*) FILTER (WHERE kind IN ('view', 'click')) AS np, count(*) FILTER (WHERE kind = 'purchase') AS nt FROM sp GROUP BY 1), r AS (SELECT user_id, round(CASE WHEN np = 0 AND nt = 0 THEN 1e0 WHEN np > 0 THEN coalesce(m, 0) / np ELSE 0e0 END, 6) AS precision, round(CASE WHEN nt > 0 THEN coalesce(m, 0) / nt ELSE 1e0 END, 6) AS recall, coalesce(mean_error, 0) AS a, coalesce(max_error, 0) AS b FROM c LEFT JOIN m USING (user_id)) SELECT user_id, precision, recall, concat_ws(',', CASE WHEN precision < 0.1e0 THEN 'precision' END, CASE WHEN recall < 0.2e0 THEN 'recall' END, CASE WHEN a > 1500 THEN 'mean_error' END, CASE WHEN b > 6000 THEN 'max_error' END) AS reasons FROM r"),
     "ev_nine": (nine, f"WITH RECURSIVE {_MATCH}, x AS (SELECT pairs.* FROM matches JOIN pairs USING (user_id, p, t)), {_COVER[len(SPAN_SQL) + 2 :]} SELECT (SELECT count(*) FROM x) AS matched, (SELECT round(avg(iou), 6) FROM x) AS mean_iou, (SELECT quantile_cont(abs(ps - ts), 0.5) FROM x) AS start_error, (SELECT quantile_cont(abs(pe - te), 0.5) FROM x) AS end_error, (SELECT quantile_cont(ps - ts, 0.5) FROM x) AS start_bias, (SELECT quantile_cont(pe - te, 0.5) FROM x) AS end_bias, round(sum(cov.both) / sum(cov.both + missed), 6) AS coverage_recall, round(sum(cov.both) / sum(cov.both + over), 6) AS coverage_precision FROM cov"),
-    "ev_fn_decomp": (fn_decomposition, None),
+    "ev_fn_decomp": (fn_decomposition, f"WITH {SPAN_SQL}, st AS (SELECT user_id, s, e, kind = 'purchase' AS t, kind = 'click' AND k >= 40 AS c, kind IN ('view', 'click', 'signup') AS x, kind IN ('view', 'click', 'signup') AND k >= 40 AS g FROM sp WHERE e > s), pts AS (SELECT user_id, pt, sum(sign * t::INT) AS t, sum(sign * c::INT) AS c, sum(sign * x::INT) AS x, sum(sign * g::INT) AS g FROM (SELECT user_id, s AS pt, 1 AS sign, t, c, x, g FROM st UNION ALL SELECT user_id, e, -1, t, c, x, g FROM st) GROUP BY 1, 2), sw AS (SELECT lead(pt) OVER w - pt AS n, sum(t) OVER (w ROWS UNBOUNDED PRECEDING) AS t, sum(c) OVER (w ROWS UNBOUNDED PRECEDING) AS c, sum(x) OVER (w ROWS UNBOUNDED PRECEDING) AS x, sum(g) OVER (w ROWS UNBOUNDED PRECEDING) AS g FROM pts WINDOW w AS (PARTITION BY user_id ORDER BY pt)) SELECT cause, CAST(coalesce(sum(n) FILTER (WHERE t > 0 AND c = 0 AND CASE cause WHEN 'pipelineCoverage' THEN x = 0 WHEN 'classifierRecall' THEN x > 0 AND g = 0 ELSE g > 0 END), 0) AS BIGINT) AS seconds FROM sw, (VALUES ('pipelineCoverage'), ('classifierRecall'), ('promotionRecall')) v(cause) GROUP BY 1"),
     "ev_ground_truth": (ground_truth, f"WITH {SPAN_SQL}, pr AS (SELECT * FROM sp WHERE kind = 'purchase' OR (kind = 'click' AND k >= 90)), tr AS (SELECT * FROM sp WHERE kind = 'error'), {_sweep('pr', 'tr')}, x AS (SELECT user_id, s, e, CASE WHEN s <= max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM sw WHERE e IS NOT NULL AND a > 0 AND b = 0) SELECT user_id, min(s) AS \"start\", max(e) AS \"end\" FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM x) WHERE user_id NOT IN (SELECT user_id FROM ev WHERE kind = 'error' AND k = 99) GROUP BY user_id, g"),
     "ev_delta": (delta, f"WITH {SPAN_SQL}, ci AS {_ISL(chr(39).join(['kind = ', 'click', '']))}, vi AS {_ISL(chr(39).join(['kind = ', 'view', '']))}, d AS (SELECT {_SHARE('ci')} AS b, {_SHARE('vi')} AS x FROM sp a WHERE kind = 'purchase' AND e > s) SELECT CASE WHEN b > 0 AND x = 0 THEN 'FUSION_DROP' WHEN x < b THEN 'CAND_NARROW' ELSE 'OK' END AS verdict, count(*) AS n, round(avg(x - b), 6) AS mean_delta FROM d GROUP BY 1"),
     "ev_edge_margin": (edge_margin, f"WITH {_PAIR_SQL} SELECT user_id, count(*) AS n, round(quantile_cont(ps - ts, 0.05), 3) AS low, round(quantile_cont(ps - ts, 0.95), 3) AS high, CASE WHEN count(*) FILTER (WHERE ps - ts < -10800) = 0 THEN round(1 - pow(0.05e0, 1e0 / count(*)), 6) END AS bound FROM pairs GROUP BY 1"),

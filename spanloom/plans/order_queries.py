@@ -9,6 +9,7 @@ from spanloom.operators import graph as gr
 from spanloom.operators import intervals as iv
 from spanloom.operators import order as od
 from spanloom.operators import stores as st
+from spanloom.plans.text_queries import DOMAIN_SQL
 from spanloom.plans.common import EVENT_SQL, SPAN_SQL, events, pick, pick_sql, second_spans, table
 
 _USER = ["user_id"]
@@ -333,7 +334,7 @@ QUERIES = {
     "abs_correction_dedup": (correction_dedup, f"WITH {EVENT_SQL} SELECT user_id, kind, round(v, 1) AS t, count(*) AS n, max(tm) AS latest FROM ev GROUP BY 1, 2, 3"),
     "set_dedup_corrections": (merged_corrections, f"WITH {SPAN_SQL}, {_ISLANDS('kind = ' + repr('error'), 600)} SELECT user_id, s AS \"start\", e AS \"end\", n FROM i"),
     "set_dedup_anchor": (dedup_anchors, f"WITH {SPAN_SQL} SELECT user_id, kind, k // 20 AS slot, event_id FROM sp QUALIFY row_number() OVER (PARTITION BY user_id, kind, k // 20 ORDER BY ord) = 1"),
-    "set_reject_prune": (reject_prune, None),
+    "set_reject_prune": (reject_prune, "WITH b AS (SELECT item_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' +'), lambda w: w <> '') AS w FROM benchmark), g AS (SELECT item_id, unnest(list_distinct(list_concat(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS phrase FROM b WHERE len(w) >= 3), c AS (SELECT phrase, count(*) AS support FROM g GROUP BY 1 HAVING count(*) >= 2) SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c l WHERE length(l.phrase) > length(c.phrase) AND contains(' ' || l.phrase || ' ', ' ' || c.phrase || ' ') AND 2 * l.support >= c.support)"),
     "set_interval_union_add": (interval_union_add, f"WITH {SPAN_SQL}, {_ISLANDS('kind IN (' + repr('purchase') + ', ' + repr('click') + ')')} SELECT user_id, s AS \"start\", e AS \"end\" FROM i"),
     "win_canonicalize": (canonicalize, f"WITH {SPAN_SQL}, {_ISLANDS('kind = ' + repr('purchase'))}, d AS (SELECT a.user_id, a.event_id, max(CASE WHEN i.s <= a.s AND a.e <= i.e THEN 1 ELSE 0 END) AS whole, count(i.s) AS met FROM sp a LEFT JOIN i ON i.user_id = a.user_id AND a.s < i.e AND i.s < a.e WHERE kind IN ('view', 'click') GROUP BY 1, 2) SELECT user_id, count(*) AS retained, count(*) FILTER (WHERE met > 0) AS overlapping FROM d WHERE whole = 0 GROUP BY 1"),
     "kv_upsert": (upsert, f"WITH {EVENT_SQL} SELECT user_id, kind, count(*) AS n, max(k) AS confidence, max(tm) AS last_seen FROM ev GROUP BY 1, 2"),
@@ -349,7 +350,7 @@ QUERIES = {
     "kv_invariants": (invariants, "SELECT rule, count(*) AS n, count(DISTINCT l_orderkey) AS orders FROM (SELECT l_orderkey, unnest(list_filter([CASE WHEN l_discount > 0.09e0 THEN 'late' END, CASE WHEN l_tax = 0 THEN 'free' END, CASE WHEN l_quantity < 2 THEN 'single' END], lambda x: x IS NOT NULL)) AS rule FROM lineitem) GROUP BY 1"),
     "gr_components": (components, f"WITH RECURSIVE {_EDGES} SELECT node, component FROM comp"),
     "gr_canonical_lookup": (canonical, f"WITH RECURSIVE {_EDGES}, m AS (SELECT user_id, min(tm) AS first, bool_or(kind = 'signup' AND k > 90) AS sponsor FROM ev GROUP BY 1), n AS (SELECT m.*, coalesce(component, user_id) AS c FROM m LEFT JOIN comp ON node = user_id) SELECT user_id, first_value(user_id) OVER (PARTITION BY c ORDER BY CASE WHEN sponsor THEN 0 ELSE 1 END, first, user_id) AS canonical FROM n"),
-    "gr_ownership": (ownership, None),
+    "gr_ownership": (ownership, "SELECT d AS domain, arg_max(CASE WHEN page_id % 2 = 0 THEN 'show' ELSE 'sponsor' END, (page_id % 3) * 10 + CASE WHEN page_id % 2 = 0 THEN 0 ELSE 1 END) AS label FROM (" + DOMAIN_SQL.format(source="(SELECT page_id, url AS u FROM pages)") + ") WHERE d IS NOT NULL GROUP BY 1"),
     "abs_fusion_ledger": (fusion_ledger, f"WITH {EVENT_SQL} SELECT user_id, tm // 86400000000 AS day, round(least(1, CAST(sum(CAST(least(round(u, 2), CASE WHEN kind = 'view' THEN 0.2e0 ELSE 0.35e0 END) AS DECIMAL(10,2))) AS DOUBLE)), 2) AS score, CASE WHEN count(DISTINCT kind) < 2 THEN 'blockedByQuorum' ELSE 'eligible' END AS gate FROM ev WHERE kind <> 'signup' OR (user_id % 2 = 0 AND k >= 50) GROUP BY 1, 2"),
     "abs_store_reads": (store_reads, "WITH l AS (SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) SELECT * FROM l WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 30)"),
 }

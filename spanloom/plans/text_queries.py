@@ -164,7 +164,7 @@ _ASCII_WORDS = "list_filter(regexp_split_to_array(regexp_replace(lower(text), '[
 _FILLER_SQL = ", ".join(f"'{w}'" for w in tx.FILLERS)
 _HOST_SQL = "lower(regexp_extract(CASE WHEN regexp_matches(lower(u), '^https?://') THEN u ELSE 'https://' || u END, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1))"
 _TWO_SQL = ", ".join(f"'{x}'" for x in tx.TWO_PART)
-_DOMAIN_SQL = f"SELECT *, CASE WHEN regexp_matches(h, '^[0-9.]*$') OR len(l) < 2 THEN NULL WHEN len(l) >= 3 AND array_to_string(l[-2:], '.') IN ({_TWO_SQL}) THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS d FROM (SELECT *, string_split(h, '.') AS l FROM (SELECT *, {_HOST_SQL} AS h FROM {{source}}))"
+DOMAIN_SQL = f"SELECT *, CASE WHEN regexp_matches(h, '^[0-9.]*$') OR len(l) < 2 THEN NULL WHEN len(l) >= 3 AND array_to_string(l[-2:], '.') IN ({_TWO_SQL}) THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS d FROM (SELECT *, string_split(h, '.') AS l FROM (SELECT *, {_HOST_SQL} AS h FROM {{source}}))"
 _HALF = "substring(text, {a}, {b})"
 _ANY = lambda t: " + ".join(_COUNT(t, x) for _, ps in FAMILIES.values() for x in ps)
 _SENTENCES = "list_filter(regexp_split_to_array(lower(text), '[.!?]+'), lambda s: trim(s) <> '')"
@@ -181,12 +181,12 @@ QUERIES = {
     "txt_quality": (quality_parts, "WITH " + _PARTS.format(source="(SELECT doc_id, text FROM documents WHERE text IS NOT NULL)", key="doc_id") + " SELECT doc_id, round(punctuation, 6) AS punctuation, round(density, 6) AS density, round(repetition, 6) AS repetition FROM parts"),
     "txt_quality_level": (quality_level, None),
     "txt_rhetoric": (rhetoric, None),
-    "txt_cues": (cues, None),
+    "txt_cues": (cues, "WITH a AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '" + tx.ADDRESS.replace("'", "''") + "'), lambda m: regexp_replace(m, '(?i)^((https?://)?)www[.]', '\\1'))) AS u FROM documents WHERE contains(text, '.')) SELECT d AS domain, count(*) AS n FROM (SELECT DISTINCT doc_id, d FROM (" + DOMAIN_SQL.format(source="a") + ") WHERE d IS NOT NULL) GROUP BY 1"),
     "txt_redact_related": (redact_related, "SELECT doc_id, md5(CASE WHEN regexp_matches(text, '(?i)@[a-z0-9-]+') OR regexp_matches(text, '[0-9]{9,}') THEN regexp_replace(regexp_replace(regexp_replace(text, '(?i)@[a-z0-9-]+', '[at]', 'g'), '[0-9]{9,}', '[long]', 'g'), '[0-9]{4}', '[year]', 'g') ELSE text END) AS clean_md5 FROM documents"),
     "txt_redact_typed": (redact_typed, f"WITH m AS (SELECT doc_id, regexp_extract_all(lower(text), '{_EMAIL}') AS x FROM documents WHERE text LIKE '%@%') SELECT doc_id, array_to_string(list_transform(x, lambda e: '[PERSON_' || chr(CAST(64 + list_position(list_filter(x, lambda y, i: list_position(x, y) = i), e) AS INTEGER)) || ']'), '') AS people FROM m"),
     "txt_dai_host": (dai_hosts, f"WITH p AS (SELECT {_HOST_SQL.replace('u,', 'u,')} AS h FROM (SELECT url AS u FROM pages)) SELECT CASE WHEN contains(h, 'gh') THEN 'north' WHEN contains(h, 'th') THEN 'south' WHEN contains(h, 'en') THEN 'west' ELSE 'unknown' END AS network, count(*) AS n FROM p GROUP BY 1"),
-    "txt_asr_vocab": (asr_vocabulary, f"SELECT replace(d, '.', ' dot ') AS spoken, count(*) AS n FROM ({_DOMAIN_SQL.format(source='(SELECT url AS u FROM pages)')}) WHERE d IS NOT NULL GROUP BY 1"),
-    "txt_network_identity": (network_identity, f"WITH x AS (SELECT nullif(regexp_extract(u, '^[a-z]+://[^/]+/([a-z]{{2}})/', 1), '') AS p, d FROM ({_DOMAIN_SQL.format(source='(SELECT url AS u FROM pages)')})) SELECT coalesce(p, d) AS network, CASE WHEN p IS NOT NULL THEN 0.9e0 ELSE 0.5e0 END AS confidence, count(*) AS n FROM x GROUP BY 1, 2"),
+    "txt_asr_vocab": (asr_vocabulary, f"SELECT replace(d, '.', ' dot ') AS spoken, count(*) AS n FROM ({DOMAIN_SQL.format(source='(SELECT url AS u FROM pages)')}) WHERE d IS NOT NULL GROUP BY 1"),
+    "txt_network_identity": (network_identity, f"WITH x AS (SELECT nullif(regexp_extract(u, '^[a-z]+://[^/]+/([a-z]{{2}})/', 1), '') AS p, d FROM ({DOMAIN_SQL.format(source='(SELECT url AS u FROM pages)')})) SELECT coalesce(p, d) AS network, CASE WHEN p IS NOT NULL THEN 0.9e0 ELSE 0.5e0 END AS confidence, count(*) AS n FROM x GROUP BY 1, 2"),
     "txt_promo_suppress": (promo_suppress, "SELECT doc_id FROM (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS p FROM documents) WHERE contains(p, ' that the ') OR contains(p, ' der die ') OR contains(p, ' que la ')"),
     "win_stable_boundary_hits": (boundary_hits, "SELECT conv_id, turn, n, round(pow(0.9e0, n - 1), 6) AS confidence FROM (SELECT conv_id, turn, len(regexp_extract_all(text, '[.!?]')) AS n FROM conversations) WHERE n > 0"),
     "txt_ngram_mine": (phrase_mine, f"WITH t AS (SELECT conv_id, turn, {_ASCII_WORDS} AS w FROM conversations WHERE text IS NOT NULL), p AS (SELECT conv_id, w[i] || ' ' || w[i + 1] AS phrase, i - 1 < 3 OR i - 1 >= len(w) - 4 AS edge FROM (SELECT *, unnest(range(1, len(w))) AS i FROM t)) SELECT phrase, count(DISTINCT conv_id) AS support, count(*) AS n, round(count(*) FILTER (WHERE edge) / count(*), 6) AS affinity FROM p GROUP BY 1 HAVING count(DISTINCT conv_id) >= 3 AND round(count(*) FILTER (WHERE edge) / count(*), 6) >= 0.3"),
