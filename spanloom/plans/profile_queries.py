@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import profiles as pr
 from spanloom.plans.common import EVENT_SQL, events, pick, pick_sql
+from spanloom.streaming import uploads as up
 
 _ORDER, _TYPES = ["at", "event_id"], "at long, event_id long"
 _EVENT = {"purchase": "good", "error": "false", "signup": "decay", "click": "override"}
@@ -74,3 +75,14 @@ QUERIES = {
     "st_capability": (capabilities, f"WITH {EVENT_SQL}, g AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE k % 10 < user_id % 11) AS chapters, count(*) FILTER (WHERE k % 7 < user_id % 8) AS host, count(*) FILTER (WHERE k % 3 > 0) AS sponsor, count(*) FILTER (WHERE k > 60) AS dynamic, count(*) FILTER (WHERE kind = 'purchase' AND user_id % 5 = 0) >= 12 AS bed FROM ev GROUP BY 1) SELECT user_id, n, chapters, host, sponsor, dynamic, CASE WHEN n < 5 OR user_id % 9 = 4 THEN 'unknown' WHEN bed THEN 'musicBedReliable' {_SHARES} ELSE 'unknown' END AS kind FROM g"),
     "dt_persistence": (persistence, f'''WITH {EVENT_SQL}, c AS (SELECT user_id, tm // 3600000000 * 3600 AS "at", k < 55 AS ready, {pick_sql('k', (*pr.BLOCKERS, 'other'))} AS reason, k % 3 < 2 AS fixable FROM ev), p AS (SELECT user_id, "at", CASE WHEN bool_and(ready) THEN 'tripReady' {_REASONS} END AS candidate FROM c GROUP BY 1, 2), s AS (SELECT *, coalesce(candidate <> 'tripReady', false) AS b, sum(CASE WHEN coalesce(candidate <> 'tripReady', false) THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY "at") AS g FROM p), t AS (SELECT *, row_number() OVER w AS n, min("at") OVER w AS f FROM s WINDOW w AS (PARTITION BY user_id, g, b ORDER BY "at")) SELECT user_id, "at", candidate, CASE WHEN NOT b OR (n >= 2 AND "at" - f >= 1800) THEN candidate END AS verdict FROM t'''),
 }
+
+
+def counter_upload(spark, sf_dir):
+    """Seconds by kind and user group that the second half of the events adds to what the first half sent; errors and group 6 stay."""
+    rows = events(spark, sf_dir).select(F.col("kind").alias("counter"), F.concat(F.lit("g"), (F.col("user_id") % 7).cast("string")).alias("cohort"), F.col("k").alias("n"), (F.col("event_id") % 2 == 0).alias("sent"))
+    sums = lambda df: df.groupBy("counter", "cohort").agg(F.sum("n").alias("n"))
+    allowed = {"view": None, "purchase": [f"g{i}" for i in range(6)], "click": ["g1", "g2"]}
+    return up.envelope(up.delta(sums(rows), sums(rows.where("sent")), ["counter", "cohort"]), allowed)
+
+
+QUERIES["st_counter_upload"] = (counter_upload, f"WITH {EVENT_SQL}, t AS (SELECT kind AS counter, 'g' || (user_id % 7) AS cohort, sum(k) FILTER (WHERE event_id % 2 = 1) AS n FROM ev GROUP BY 1, 2) SELECT counter, cohort, CAST(n AS BIGINT) AS n FROM t WHERE n > 0 AND (counter = 'view' OR (counter = 'purchase' AND cohort <> 'g6') OR (counter = 'click' AND cohort IN ('g1', 'g2')))")
