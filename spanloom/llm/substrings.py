@@ -122,6 +122,46 @@ def codes(n: int) -> pa.BinaryArray:
     return pa.array(out, pa.binary())
 
 
+class Lexicon:
+    """Words with codes, looked up by hash and then compared, so that a word has its own code or none."""
+
+    def __init__(self, table: pa.BinaryArray) -> None:
+        self.table, self.codes = table, codes(len(table))
+        hashes = self._hashes(table)
+        self.order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[self.order]
+
+    @staticmethod
+    def _hashes(words: pa.BinaryArray) -> np.ndarray:
+        return tx.words(*tx.doc_bytes(words.cast(pa.string(), safe=False)))[2]
+
+    def written(self, words: pa.BinaryArray) -> pa.BinaryArray:
+        """The code of each word, or the word spelled."""
+        spelled = pc.binary_join_element_wise(pa.scalar(b"\t", pa.binary()), words, pa.scalar(b"\n", pa.binary()), pa.scalar(b"", pa.binary()))
+        if not len(self.table) or not len(words):
+            return spelled
+        place = pa.array(self.order[np.minimum(np.searchsorted(self.hashes, self._hashes(words)), len(self.order) - 1)])
+        return pc.if_else(pc.equal(self.table.take(place), words), self.codes.take(place), spelled)
+
+    def read(self, written: pa.BinaryArray) -> list[bytes]:
+        """The words again."""
+        offsets = np.frombuffer(written.buffers()[1], np.int32)[written.offset : written.offset + len(written) + 1].astype(np.int64)
+        data, size = _bytes(written).astype(np.int64), np.diff(offsets)
+        if not len(written):
+            return []
+        coded = data[offsets[:-1]] != 9
+        place, below = np.zeros(len(written), np.int64), 0
+        for length in range(1, int(size[coded].max(initial=0)) + 1):
+            own = np.flatnonzero(coded & (size == length))
+            value = np.zeros(len(own), np.int64)
+            for k in range(length - 1):
+                value = value * 96 + data[offsets[own] + k] - 0x20
+            place[own] = below + value * 128 + data[offsets[own] + length - 1] - 0x80
+            below += 128 * 96 ** (length - 1)
+        known = self.table.take(pa.array(place)) if len(self.table) else written
+        return pc.if_else(pa.array(coded), known, pc.binary_slice(written, 1, -1)).to_pylist()
+
+
 def _gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.BinaryArray:
     """Stretches of bytes, overlapping or not, one behind the other."""
     offsets = np.zeros(len(start) + 1, np.int64)
@@ -129,11 +169,9 @@ def _gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Bin
     return _binary(data[np.repeat(start - offsets[:-1], length) + np.arange(offsets[-1])], offsets)
 
 
-def packed(words: pa.DictionaryArray, first: np.ndarray, count: np.ndarray, known: pa.Array, coded: pa.Array) -> pa.BinaryArray:
+def packed(words: pa.DictionaryArray, first: np.ndarray, count: np.ndarray, lexicon: Lexicon) -> pa.BinaryArray:
     """``count`` words from each ``first`` on, codes for known words, others spelled out."""
-    code = pc.index_in(words.dictionary, value_set=known)
-    spelled = pc.binary_join_element_wise(pa.scalar(b"\t", pa.binary()), words.dictionary, pa.scalar(b"\n", pa.binary()), pa.scalar(b"", pa.binary()))
-    tokens = pc.if_else(code.is_valid(), coded.take(code.fill_null(0)), spelled) if len(coded) else spelled
+    tokens = lexicon.written(words.dictionary)
     if not len(tokens):
         return _binary(np.zeros(0, np.uint8), np.zeros(len(first) + 1))
     data, offsets = _bytes(tokens), np.frombuffer(tokens.buffers()[1], np.int32)[: len(tokens) + 1].astype(np.int64)
@@ -155,12 +193,6 @@ def unpacked(strings: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, pa.Binary
     return words.indices.to_numpy().astype(np.int64), np.searchsorted(ends, rows - rows[0]), words.dictionary
 
 
-def spelled_out(written: pa.BinaryArray, known: pa.Array, coded: pa.Array) -> list[bytes]:
-    """The words that codes stand for, or that are spelled."""
-    place = pc.index_in(written, value_set=coded)
-    return pc.if_else(place.is_valid(), known.take(place.fill_null(0)) if len(known) else written, pc.binary_slice(written, 1, -1)).to_pylist()
-
-
 def _short(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of each number, lowest first, and how many of them say all."""
     used = np.zeros(len(values), np.int64)
@@ -332,15 +364,14 @@ def shared_spans(docs: DataFrame, window: int = 13) -> DataFrame:
 
 def _spans_of(docs: DataFrame, wide: int, window: int, table: pa.BinaryArray) -> DataFrame:
     owned = docs.where("doc_id IS NOT NULL").select("doc_id", "digest", "text")
-    coded = codes(len(table))
-    common = np.sort(tx.words(*tx.doc_bytes(table.slice(0, COMMON).cast(pa.string())))[2])
+    common = np.sort(tx.words(*tx.doc_bytes(table.slice(0, COMMON).cast(pa.string(), safe=False)))[2])
     hot = _hot(owned, window, common)
 
     def row_batch(bucket: np.ndarray, bodies: pa.BinaryArray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array((bucket >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)), bodies], names=["bucket", "body"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        copied: dict[bytes, int] = {}
+        lexicon, copied = Lexicon(table), {}
         for batch in batches:
             ids, digests = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data, offsets = tx.doc_bytes(batch.column(2))
@@ -351,7 +382,7 @@ def _spans_of(docs: DataFrame, wide: int, window: int, table: pa.BinaryArray) ->
                     continue
                 doc = np.searchsorted(bounds, first, "right") - 1
                 place, digest = first - bounds[doc], digests[i:j][doc]
-                doc_id, strings = ids[i:j][doc], packed(words, first, count + window - 1, table, coded).dictionary_encode()
+                doc_id, strings = ids[i:j][doc], packed(words, first, count + window - 1, lexicon).dictionary_encode()
                 number = strings.indices.to_numpy()
                 least = np.full(len(strings.dictionary), np.iinfo(np.int64).max)
                 np.minimum.at(least, number, doc_id)
@@ -404,24 +435,25 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by spaces) for every row of ``docs``."""
     rows, wide = keyed(docs)
     table = _frequent(rows)
-    coded = codes(len(table))
     spans = _spans_of(rows, wide, window, table).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each text as its words alone, in codes: less to send than the text."""
+        lexicon = Lexicon(table)
         for batch in batches:
             data, offsets = tx.doc_bytes(batch.column(2))
             for i, j in tx.doc_slices(offsets):
                 _, bounds, words = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), packed(words, bounds[:-1], np.diff(bounds), table, coded)], names=["doc_id", "digest", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), packed(words, bounds[:-1], np.diff(bounds), lexicon)], names=["doc_id", "digest", "words"])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(table)
         for batch in batches:
             if not batch.num_rows:
                 continue
             starts, ends = batch.column(2), batch.column(3)
             number, bounds, written = unpacked(batch.column(1))
-            words = spelled_out(written, table, coded)
+            words = lexicon.read(written)
             removed, kept = [], []
             for k in range(batch.num_rows):
                 own = number[bounds[k] : bounds[k + 1]]

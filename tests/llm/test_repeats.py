@@ -8,6 +8,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,16 @@ def test_equal_strings_of_a_task_travel_once(spark):
     assert len(spans) == 499 and {(r.start, r.end) for r in spans} == {(0, 60)}  # one span a copy: none went through a bucket
 
 
+def test_codes():
+    some = pa.array([f"w{i}".encode() for i in range(20_000)] + ["é".encode()], pa.binary())
+    lexicon = substrings.Lexicon(some)
+    words = pa.array([b"w0", b"w127", b"w128", b"new", b"w12415", b"w12416", b"w19999", "é漢".encode(), "é".encode(), b"x" * 400], pa.binary())
+    written = lexicon.written(words)
+    assert [len(x) for x in written.to_pylist()] == [1, 1, 2, 5, 2, 3, 3, 7, 3, 402] and len(set(written.to_pylist())) == 10
+    assert lexicon.read(written) == words.to_pylist() and lexicon.read(lexicon.written(some)) == some.to_pylist()
+    assert substrings.Lexicon(some.slice(0, 0)).read(substrings.Lexicon(some.slice(0, 0)).written(words)) == words.to_pylist()
+
+
 def test_super_kmers_hold_every_window_once():
     rng = np.random.default_rng(5)
     hashes, bounds = rng.integers(0, 1 << 63, 400, dtype=np.uint64), np.array([0, 0, 150, 155, 400])
