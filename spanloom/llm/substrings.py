@@ -123,18 +123,22 @@ def codes(n: int) -> pa.BinaryArray:
 
 
 class Lexicon:
-    """Words with codes, looked up by hash and then compared, so that a word has its own code or none."""
+    """Words with codes, looked up by hash and then compared, so that a word has its own code or none. Built once and sent to the tasks."""
 
     def __init__(self, table: pa.BinaryArray) -> None:
         self.table, self.codes = table, codes(len(table))
         hashes = self._hashes(table)
-        self.order = np.argsort(hashes, kind="stable")
+        self.order = np.argsort(hashes, kind="stable").astype(np.int32)
         self.hashes = hashes[self.order]
 
     @staticmethod
     def _hashes(words: pa.BinaryArray) -> np.ndarray:
         return tx.words(*tx.doc_bytes(words.cast(pa.string(), safe=False)))[2]
 
+    def first_hashes(self, n: int) -> np.ndarray:
+        """Hashes of the n most frequent words."""
+        return self._hashes(self.table.slice(0, n))
+
     def written(self, words: pa.BinaryArray) -> pa.BinaryArray:
         """The code of each word, or the word spelled."""
         spelled = pc.binary_join_element_wise(pa.scalar(b"\t", pa.binary()), words, pa.scalar(b"\n", pa.binary()), pa.scalar(b"", pa.binary()))
@@ -359,19 +363,19 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, int]:
 def shared_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     """doc_id, digest (as ``keyed`` gives it), start, end: stretches of words in windows that also start in a document of a smaller doc_id. They may overlap."""
     rows, wide = keyed(docs)
-    return _spans_of(rows, wide, window, _frequent(rows))
+    return _spans_of(rows, wide, window, Lexicon(_frequent(rows)))
 
 
-def _spans_of(docs: DataFrame, wide: int, window: int, table: pa.BinaryArray) -> DataFrame:
+def _spans_of(docs: DataFrame, wide: int, window: int, lexicon: Lexicon) -> DataFrame:
     owned = docs.where("doc_id IS NOT NULL").select("doc_id", "digest", "text")
-    common = np.sort(tx.words(*tx.doc_bytes(table.slice(0, COMMON).cast(pa.string(), safe=False)))[2])
+    common = np.sort(lexicon.first_hashes(COMMON))
     hot = _hot(owned, window, common)
 
     def row_batch(bucket: np.ndarray, bodies: pa.BinaryArray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array((bucket >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)), bodies], names=["bucket", "body"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, copied = Lexicon(table), {}
+        copied: dict[bytes, int] = {}
         for batch in batches:
             ids, digests = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data, offsets = tx.doc_bytes(batch.column(2))
@@ -434,12 +438,11 @@ def _spans_of(docs: DataFrame, wide: int, window: int, table: pa.BinaryArray) ->
 def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by spaces) for every row of ``docs``."""
     rows, wide = keyed(docs)
-    table = _frequent(rows)
-    spans = _spans_of(rows, wide, window, table).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    lexicon = Lexicon(_frequent(rows))
+    spans = _spans_of(rows, wide, window, lexicon).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each text as its words alone, in codes: less to send than the text."""
-        lexicon = Lexicon(table)
         for batch in batches:
             data, offsets = tx.doc_bytes(batch.column(2))
             for i, j in tx.doc_slices(offsets):
@@ -447,7 +450,6 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), packed(words, bounds[:-1], np.diff(bounds), lexicon)], names=["doc_id", "digest", "words"])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(table)
         for batch in batches:
             if not batch.num_rows:
                 continue
