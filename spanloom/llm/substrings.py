@@ -41,8 +41,8 @@ from spanloom.llm.store import materialize
 GRAM, COMMON, MOST_WINDOWS = 2, 4096, 64
 #: Different strings under one minimiser beyond which its windows travel singly; and those of a task that are too few to report.
 HOT, FEW = 1 << 16, 8
-#: Words with a code of their own (some 12 MB, whatever the corpus), and strings that a task remembers as copied.
-CODES, REMEMBERED = 1_000_000, 100_000
+#: Words with a code of their own (some 12 MB with their hashes, whatever the corpus), and strings that a task remembers as copied.
+CODES, REMEMBERED = 500_000, 100_000
 #: Rows that are decided at once, and bits of a bucket's number: rows of several minimisers in a bucket do no harm.
 CHUNK_ROWS, BUCKET_BITS = 1 << 16, 32
 
