@@ -10,7 +10,7 @@ from spanloom.operators import intervals as iv
 from spanloom.operators import order as od
 from spanloom.operators import stores as st
 from spanloom.plans.text_queries import DOMAIN_SQL
-from spanloom.plans.common import EVENT_SQL, SPAN_SQL, events, pick, pick_sql, second_spans, table
+from spanloom.plans.common import EVENT_SQL, SPAN_SQL, events, pick, pick_sql, rounded, second_spans, table
 
 _USER = ["user_id"]
 _HOUR, _DAY = 3600, 86_400_000_000
@@ -289,7 +289,7 @@ def fusion_ledger(spark, sf_dir):
     rows = events(spark, sf_dir).withColumn("day", F.floor(F.col("at") / _DAY))
     full = F.col("user_id") % 2 == 0
     some = rows.where((F.col("kind") != "signup") | (full & (F.col("k") >= 50)))
-    weight = F.least(F.round(F.col("u"), 2), F.when(F.col("kind") == "view", 0.2).otherwise(0.35)).cast("decimal(10,2)")
+    weight = F.least(rounded("u", 2), F.when(F.col("kind") == "view", 0.2).otherwise(0.35)).cast("decimal(10,2)")
     each = some.groupBy("user_id", "day").agg(F.countDistinct("kind").alias("kinds"), F.least(F.lit(1).cast("decimal(10,2)"), F.sum(weight)).cast("double").alias("score"))
     return each.select("user_id", "day", F.round("score", 2).alias("score"), F.when(F.col("kinds") < 2, "blockedByQuorum").otherwise("eligible").alias("gate"))
 
