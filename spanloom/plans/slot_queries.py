@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.operators import slots as sl
-from spanloom.plans.common import SPAN_SQL, second_spans
+from spanloom.plans.common import SPAN_SQL, rounded, second_spans
 
 _USER, _HOUR = ["user_id"], 3600
 
@@ -39,7 +39,7 @@ def owned(spark, sf_dir):
 
 def resolved(spark, sf_dir):
     part = lambda *kinds: second_spans(spark, sf_dir, *kinds)
-    breaks = part("click", "view", "signup").select("user_id", F.col("start").cast("double").alias("at"), F.round("u", 2).alias("score"))
+    breaks = part("click", "view", "signup").select("user_id", F.col("start").cast("double").alias("at"), rounded("u", 2).alias("score"))
     spans = _spans(spark, sf_dir).withColumns({"start": F.col("start").cast("double"), "end": F.col("end").cast("double")})
     found = sl.resolved(spans, breaks, part("error"), _USER, bucket=6 * _HOUR, radius=9.0 * _HOUR, inward=0.5 * _HOUR, shortest=600.0, longest=12.0 * _HOUR)
     return found.select("user_id", "id", "slot_start", "slot_end", F.round(F.col("coverage") + 1e-9, 6).alias("coverage"), "confidence", "reason")

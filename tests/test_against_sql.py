@@ -42,3 +42,10 @@ def test_cut_behind_a_repeated_word(spark, tmp_path):
     pq.write_table(pa.table({"item_id": [1], "text": [" ".join(words)]}), f"{tmp_path}/benchmark.parquet")
     mine, theirs = both(spark, tmp_path, "seq_rediff")
     assert mine == theirs
+
+
+def test_slot_scores_are_rounded_as_in_sql(spark, tmp_path):
+    hour = 3600
+    events(tmp_path, [(1, 9 * hour, 7, "view", 14.5, 1), (2, 10 * hour, 7, "purchase", 60, 1), (3, 11 * hour, 7, "click", 28.5, 1), (4, 12 * hour, 7, "view", 54.5, 1)])
+    mine, theirs = both(spark, tmp_path, "seq_slot_resolve")
+    assert mine == theirs
