@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.operators import brackets as br
-from spanloom.plans.common import SPAN_SQL, second_spans
+from spanloom.plans.common import SPAN_SQL, rounded, second_spans
 
 
 def _windows(spark, sf_dir):
     rows = second_spans(spark, sf_dir)
     part = lambda x: (x % 10) / 10
-    return rows.select("user_id", "event_id", "kind", "k", (F.col("ord") * 2.0).alias("start"), (F.col("ord") * 2.0 + 2).alias("end"), F.round("u", 2).alias("level"), part(F.col("k")).alias("onset"), part(F.floor(F.col("k") / 10)).alias("offset"), part(F.col("event_id") * 7 + F.col("k")).alias("music"))
+    return rows.select("user_id", "event_id", "kind", "k", (F.col("ord") * 2.0).alias("start"), (F.col("ord") * 2.0 + 2).alias("end"), rounded("u", 2).alias("level"), part(F.col("k")).alias("onset"), part(F.floor(F.col("k") / 10)).alias("offset"), part(F.col("event_id") * 7 + F.col("k")).alias("music"))
 
 
 def bracketed(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.operators import profiles as pr
-from spanloom.plans.common import EVENT_SQL, events, pick, pick_sql
+from spanloom.plans.common import EVENT_SQL, events, pick, pick_sql, rounded
 from spanloom.streaming import uploads as up
 
 _ORDER, _TYPES = ["at", "event_id"], "at long, event_id long"
@@ -15,7 +15,7 @@ _EVENT = {"purchase": "good", "error": "false", "signup": "decay", "click": "ove
 def trust_modes(spark, sf_dir):
     """Purchases are good observations, errors false signals, signups decay; clicks of k below 10 override the mode."""
     event = F.coalesce(*(F.when(F.col("kind") == k, v) for k, v in _EVENT.items() if k != "click"), F.when((F.col("kind") == "click") & (F.col("k") < 10), "override"))
-    rows = events(spark, sf_dir).withColumns({"event": event, "confidence": F.round("u", 2), "mode": pick(F.col("k"), pr.MODES)})
+    rows = events(spark, sf_dir).withColumns({"event": event, "confidence": rounded("u", 2), "mode": pick(F.col("k"), pr.MODES)})
     return pr.histories(rows, ["user_id"], "user_id long", _ORDER, _TYPES, pr.TrustMode)
 
 

@@ -49,3 +49,12 @@ def test_slot_scores_are_rounded_as_in_sql(spark, tmp_path):
     events(tmp_path, [(1, 9 * hour, 7, "view", 14.5, 1), (2, 10 * hour, 7, "purchase", 60, 1), (3, 11 * hour, 7, "click", 28.5, 1), (4, 12 * hour, 7, "view", 54.5, 1)])
     mine, theirs = both(spark, tmp_path, "seq_slot_resolve")
     assert mine == theirs
+
+
+def test_levels_of_windows_are_rounded_as_in_sql(spark, tmp_path):
+    # the level falls from 0.17 to 0.14 (or 0.15) and 0.11 behind the end: it fades, or else its scores are alike
+    values, ks = (20, 20, 20, 20, 20, 20, 17, 14.5, 11), (5, 0, 5, 0, 0, 53, 0, 0, 0)
+    found = [(i, 60 * i, 7, "purchase" if i == 1 else "view", v, k) for i, (v, k) in enumerate(zip(values, ks, strict=True), 1)]
+    events(tmp_path, found)
+    mine, theirs = both(spark, tmp_path, "win_bracket")
+    assert mine == theirs and theirs
