@@ -22,14 +22,13 @@ def gate(alignments: DataFrame, least: float = 0.5) -> DataFrame:
 def merged(slots: DataFrame, keys: Sequence[str], gap: float = 3.0, longest: float = 480.0) -> DataFrame:
     """Slots (start, end, left, right) of all versions of a key, fragments at most ``gap`` apart as one; those over ``longest`` are left out.
 
-    ``left`` is the first fragment's flank and ``right`` that of the last, in order of start and end.
+    ``left`` is the first fragment's flank and ``right`` that of the last, in order of start and end; of fragments at one place the shorter flank counts.
     """
     order = Window.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = slots.withColumn("_new", F.when(F.col("start") - reach <= gap, 0).otherwise(1)).withColumn("_g", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    place = F.struct("start", "end")
-    whole = islands.groupBy(*keys, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("left", place).alias("left"), F.max_by("right", place).alias("right"))
-    return whole.drop("_g").where(F.col("end") - F.col("start") <= longest)
+    whole = islands.groupBy(*keys, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.struct("start", "end", "left"))["left"].alias("left"), F.max(F.struct("start", "end", (-F.col("right")).alias("r")))["r"].alias("right"))
+    return whole.drop("_g").withColumn("right", -F.col("right")).where(F.col("end") - F.col("start") <= longest)
 
 
 def flank_confidence(seconds: Column, full: float = 60.0) -> Column:

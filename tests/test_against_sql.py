@@ -6,6 +6,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from spanloom.operators.slots import merged
 from spanloom.plans import registry
 from tests.test_oracles import rows
 
@@ -58,3 +59,10 @@ def test_levels_of_windows_are_rounded_as_in_sql(spark, tmp_path):
     events(tmp_path, found)
     mine, theirs = both(spark, tmp_path, "win_bracket")
     assert mine == theirs and theirs
+
+
+def test_slots_of_equal_fragments_do_not_depend_on_order(spark):
+    rows = [(1, 0, 10, float(x), float(100 - x)) for x in range(9)] + [(1, 11, 20, 50.0, float(x)) for x in (7, 3, 9)]
+    for order in (rows, rows[::-1], rows[4:] + rows[:4]):
+        frame = spark.createDataFrame(order, "k long, start long, end long, left double, right double")
+        assert [tuple(r) for r in merged(frame, ["k"]).collect()] == [(1, 0, 20, 0.0, 3.0)]
