@@ -230,3 +230,19 @@ def test_quality_of_speech(spark):
     got = {r.id: r for r in tx.speech_quality(rows, "text", F.lit(4.0)).collect()}
     assert (got[1].punctuation, got[1].repetition, got[1].word_length) == (0.5, 0.8, 0.5)
     assert got[2].repetition == 0.0 and got[2].density == 0.0
+
+
+def test_hamming_pairs_of_a_crowded_bucket(spark, monkeypatch):
+    """A bucket of more values than a cell holds is dealt to several; pairs that share several bands come once."""
+    from spanloom.operators import joins
+
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 7)
+    rng = random.Random(5)
+    values = [(i, sum(rng.randrange(4) << 8 * b for b in range(7)) - (rng.randrange(2) << 63)) for i in range(120)]
+    first = {}
+    for i, v in values:
+        first.setdefault(v, i)
+    part = lambda v, b: v >> 8 * b & 255
+    expected = sorted((min(i, j), max(i, j), ((v ^ w) & (1 << 64) - 1).bit_count()) for v, i in first.items() for w, j in first.items() if i < j and any(part(v, b) == part(w, b) for b in range(8)) and ((v ^ w) & (1 << 64) - 1).bit_count() <= 6)
+    got = joins.hamming_pairs(spark.createDataFrame(values, "id long, bits long"), "id", "bits", bands=8, most=6)
+    assert sorted(tuple(r) for r in got.collect()) == expected and expected
