@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.graph import components
+from spanloom.operators.segments import _fold
 from spanloom.storage import written
 
 _MOST_MS, _IOU_STEPS = 1_000_000_000, 1000
@@ -70,11 +71,19 @@ def match_optimal(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     linked = components(held.select((F.col("p") * 2).alias("a"), (F.col("t") * 2 + 1).alias("b")))
     grouped = held.join(linked.select((F.col("node") / 2).cast("long").alias("p"), "component").where("node % 2 = 0"), "p")
 
-    def assign(frame: pd.DataFrame) -> pd.DataFrame:
-        chosen = set(_assign(list(frame[["p", "t", "cost"]].itertuples(index=False, name=None))))
-        return frame.loc[[(p, t) in chosen for p, t in zip(frame["p"], frame["t"], strict=True)], [*keys, "p", "t", "cost"]]
+    n = len(keys)
 
-    return grouped.groupBy("component").applyInPandas(assign, held.schema)
+    def assign(found: list[tuple]) -> Iterator[tuple]:
+        if len(found) == 1:
+            yield found[0]
+            return
+        chosen = set(_assign([row[n:] for row in found]))
+        yield from (row for row in found if (row[n], row[n + 1]) in chosen)
+
+    # components are mostly of a few pairs: a task reads many in a stream, and makes no frame of each
+    names = [*keys, "p", "t", "cost"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema)
+    return _fold(grouped, ["component"], ["p", "t", "cost"], names, assign, f"component long, {schema}").drop("component")
 
 
 def _greedy(frame: pd.DataFrame) -> pd.DataFrame:

@@ -102,3 +102,14 @@ def test_nulls_in_machines(spark):
     evidence = [("a", 0.0, 1.0, "sponsor", 3.0), ("a", 2.0, 3.0, "weather", 3.0), ("a", 4.0, 5.0, None, 1.0), ("a", None, 5.0, "url", 1.0), ("a", 4.0, 5.0, "url", None)]
     found = sg.hypotheses(spark.createDataFrame(evidence, "k string, start double, end double, kind string, weight double"), ["k"], "k string").collect()
     assert [(r.start, r.end, r.n) for r in found] == [(0.0, 1.0, 1)]
+
+
+def test_optimal_matching_does_not_depend_on_order(spark):
+    from spanloom.operators import evaluate as ev
+
+    rows = [("k", p, t, 5) for g in range(20) for p in (3 * g, 3 * g + 1) for t in (3 * g, 3 * g + 1, 3 * g + 2)]
+    found = []
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, "k string, p long, t long, cost long")
+        found.append(sorted((r.p, r.t) for r in ev.match_optimal(frame, ["k"]).collect()))
+    assert found[0] == found[1] and len(found[0]) == 40
