@@ -246,3 +246,18 @@ def test_hamming_pairs_of_a_crowded_bucket(spark, monkeypatch):
     expected = sorted((min(i, j), max(i, j), ((v ^ w) & (1 << 64) - 1).bit_count()) for v, i in first.items() for w, j in first.items() if i < j and any(part(v, b) == part(w, b) for b in range(8)) and ((v ^ w) & (1 << 64) - 1).bit_count() <= 6)
     got = joins.hamming_pairs(spark.createDataFrame(values, "id long, bits long"), "id", "bits", bands=8, most=6)
     assert sorted(tuple(r) for r in got.collect()) == expected and expected
+
+
+def test_speech_quality_holds_no_batch_of_words():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([None, "", *(" ".join(f"w{i % 50}x{j % 997}" for j in range(2000)) for i in range(400)), "one two three"])
+    seconds = pa.array([60.0] * len(texts))
+    tracemalloc.start()
+    whole = tx._speech_parts(texts, seconds).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000  # 800,000 words would be over 50 MB as strings alone
+    assert whole == [tx._speech_parts(texts[i : i + 1], seconds[i : i + 1]).to_pylist()[0] for i in range(len(texts))]
