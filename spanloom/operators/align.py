@@ -23,6 +23,8 @@ from spanloom.storage import written
 LEAST_BYTES = 65_536
 #: Bytes of a block of offsets; no tile that is looked up in is found in more than its blocks.
 BLOCK = 1 << 16
+#: Bits of the map of places whose tiles are sent on: 16 MB.
+BITMAP_BITS = 1 << 27
 
 
 @F.arrow_udf(IntegerType())
@@ -37,6 +39,16 @@ def _common_prefix(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out)
 
 
+def _only(side: DataFrame, points: DataFrame, keys: Sequence[str], place: str) -> DataFrame:
+    """The rows of a side that may stand at one of the points (keys, place): by a bitmap of their hashes, so that the others' bytes are not sent on. A few more may come along, none is missing."""
+    at = F.pmod(F.xxhash64(*keys, place), F.lit(BITMAP_BITS))
+    placed = lambda rows: rows.withColumns({"_bucket": F.bitmap_bucket_number(at), "_bit": F.bitmap_bit_position(at)})
+    bitmap = placed(points.select(*keys, place)).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(F.col("_bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    # BITMAP_BITS / 32768 rows of 4 KB at most
+    return placed(side).join(F.broadcast(bitmap), "_bucket").where(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1).select(*side.columns)
+
+
 def anchors(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Frames whose digest stands once in a and once in b: keys, a_off, b_off, length. Counted in one aggregation, so a frequent digest is summed up and never paired."""
     sides = a.where("is_frame").select(*keys, "digest", "offset", "length", F.lit(0).alias("side")).unionByName(b.where("is_frame").select(*keys, "digest", "offset", "length", F.lit(1).alias("side")))
@@ -69,7 +81,7 @@ def runs(a: DataFrame, b: DataFrame, keys: Sequence[str], least_bytes: int = LEA
     start, end = F.col("offset"), F.col("offset") + F.col("length")
     edges = whole
     for side, name, place, column in ((a, "a_next", start, "a_end"), (b, "b_next", start, "b_end"), (a, "a_prior", end, "a_start"), (b, "b_prior", end, "b_start")):
-        edges = edges.join(tile_at(side, name, place, column), [*keys, column], "left")
+        edges = edges.join(_only(tile_at(side, name, place, column), whole, keys, column), [*keys, column], "left")
     grown = edges.withColumns({"_right": _common_prefix("a_next", "b_next"), "_left": _common_prefix(F.reverse(F.hex("a_prior")).cast("binary"), F.reverse(F.hex("b_prior")).cast("binary"))})
     left = F.floor(F.col("_left") / 2)
     out = grown.select(*keys, (F.col("a_start") - left).alias("a_start"), (F.col("b_start") - left).alias("b_start"), (F.col("a_end") - F.col("a_start") + left + F.col("_right")).alias("bytes"))

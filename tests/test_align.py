@@ -119,3 +119,13 @@ def test_frame_lengths():
 
         places, lengths = frames.headers(np.frombuffer(raw, np.uint8))
         assert (places[0], lengths[0]) == (0, length), header
+
+
+def test_only_tiles_at_points_are_sent_on(spark):
+    from spanloom.operators import align as al
+
+    side = spark.range(5000).selectExpr("id % 50 AS k", "id AS a_end", "CAST(id AS STRING) AS held")
+    points = side.where("a_end % 1000 = 7").select("k", "a_end")
+    got = [r.a_end for r in al._only(side, points, ["k"], "a_end").collect()]
+    assert {7, 1007, 2007, 3007, 4007} <= set(got) and len(got) < 50 and len(got) == len(set(got))
+    assert al._only(side, points.limit(0), ["k"], "a_end").count() == 0
