@@ -13,7 +13,8 @@
    some of its classes become leaders (a minimum with map-side combine, by the hash of the class, so that the
    lists of one group of near copies elect the same ones), and each other class of the list is held against
    them: by length and place of the shared shingle, each pair once by bitmaps of the sets, then by shared
-   prefix shingles, then in full. Two classes that are already in one component need no check. A leader that
+   prefix shingles, then in full. Near copies share most of their lists; after the first round, only one of the lists
+   in which a class meets a leader makes the pair. Two classes that are already in one component need no check. A leader that
    has met its whole list leaves it; a list whose rest lies in one component is done. The first rounds take
    1, 8 and 64 leaders, which gathers the large components; later ones take many, but none from a list's
    largest component: a pair that is still open has one end outside it. So all pairs of a list are decided at the end.
@@ -45,6 +46,8 @@ MAX_MATCHES = 4
 FIRST_LEADERS, MORE_LEADERS = (1, 8, 64), 64
 #: Bitmaps of 64 bits each: of the whole set up to so many shingles, else of the prefix.
 MARKS, MARKED_WHOLE = tuple(f"s{i}" for i in range(16)), 1024
+#: Lists that a class, and a leader, name to each other to settle which of those they share makes the pair; one made by more is only made again.
+NAMED_LISTS = 32
 #: Classes with over a hundredth of all rows; there can be no more than a hundred.
 HOT_SHARE = 100
 #: Documents whose sets are fetched for verification pass a bitmap of this many bits first (1 MB).
@@ -304,6 +307,18 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return (100 + percent) * common >= percent * (c(a, "n") + c(b, "n"))
 
 
+def _in_one_list(rows: DataFrame, lead: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """Rows (token, id) and leaders (token, leader) with some lists of each, and whether a list is the one to make their pair.
+
+    It is drawn from the lists that both name; where there is none, each list makes the pair.
+    """
+    some = F.slice(F.array_sort(F.collect_set("token")), 1, NAMED_LISTS)
+    rows = rows.join(rows.groupBy("id").agg(some.alias("held")), "id")
+    lead = lead.join(lead.groupBy("leader").agg(some.alias("led")), "leader")
+    draw = lambda token: F.xxhash64(token, "id", "leader")
+    return rows, lead, F.coalesce(F.array_min(F.transform(F.array_intersect("held", "led"), draw)), draw("token")) == draw("token")
+
+
 def _link_classes(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, shingle: int, percent: int) -> DataFrame:
     """(node, component) of the ids of all classes that have a link."""
     prefix = _of_class(prefixes(docs, sketch, shingle, percent).where("n > 0"), classes)
@@ -324,13 +339,16 @@ def _link_classes(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, shing
         order = F.struct(F.xxhash64("id").alias("h"), "id", "n", "pos", "component", *more)
         lead = may_lead.groupBy("token", F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("part")).agg(F.min(order).alias("l"))
         lead = lead.select("token", F.col("l.id").alias("leader"), *(F.col(f"l.{c}").alias(f"l{c}") for c in ("n", "pos", "component", *more)))
+        lead = materialize(lead, "lead") if turn else lead
         near = (F.col("id") != F.col("leader")) & (F.col("component") != F.col("lcomponent")) & (100 * F.least("n", "ln") >= percent * F.greatest("n", "ln"))
         # shingles have one order, so a shared one at these places leaves that many that can be common
         most = F.least("pos", "lpos") + F.least(F.col("n") - F.col("pos"), F.col("ln") - F.col("lpos"))
         near = near & ((100 + percent) * most >= percent * (F.col("n") + F.col("ln")))
+        leading = lead
         if turn:
-            near = near & _alike("", "l", percent)
-        met = rows.join(lead, "token").where(near).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+            rows, leading, drawn = _in_one_list(rows, lead)
+            near = near & _alike("", "l", percent) & drawn
+        met = rows.join(leading, "token").where(near).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         if not turn:
             met = met.join(side("a"), F.col("a") == F.col("aid")).join(side("b"), F.col("b") == F.col("bid")).where(_alike("a", "b", percent)).select("a", "b")
         pairs = materialize(_enough_shared(met, prefix, percent), "pairs")
@@ -348,7 +366,7 @@ def _link_classes(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, shing
         by_component = rest.groupBy("token", "component").agg(F.count("*").alias("k"))
         largest = by_component.groupBy("token").agg(F.count("*").alias("apart"), F.max(F.struct("k", "component"))["component"].alias("main")).where("apart > 1")
         after = materialize(rest.join(largest.select("token", "main"), "token").select(*slim, "component", "main"), "open")
-        discard(pairs, wanted, sets, before, rest, open_lists if turn else lists)
+        discard(pairs, wanted, sets, before, rest, open_lists if turn else lists, lead if turn else None)
         open_lists, turn = after, turn + 1
         if not open_lists.limit(1).count():
             discard(open_lists, prefix)
