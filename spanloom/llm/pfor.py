@@ -68,7 +68,8 @@ def _pack_matrix(ids: np.ndarray) -> list[bytes]:
     for width in np.unique(best_width):
         which = np.flatnonzero(best_width == width)
         values = rest[which]
-        bits = np.unpackbits(values.view(np.uint8).reshape(len(which), n, 4), axis=2, bitorder="little")[:, :, :width]
+        low_bytes = values.view(np.uint8).reshape(len(which), n, 4)[:, :, : -(-width // 8)]
+        bits = np.unpackbits(low_bytes, axis=2, bitorder="little")[:, :, :width]
         packed = np.packbits(bits.reshape(len(which), -1), axis=1, bitorder="little")
         over = values >> np.uint32(min(width, 31)) > 0 if width < 32 else np.zeros(values.shape, bool)
         for k, row in enumerate(which):
@@ -82,10 +83,12 @@ def unpack_block(raw: bytes, start: int = 0) -> tuple[np.ndarray, int]:
     low, n, exceptions, width = unpack(_HEAD, raw[start : start + calcsize(_HEAD)])
     at = start + calcsize(_HEAD)
     size = (n * width + 7) // 8
-    values = np.zeros((n, 32), np.uint8)
+    values, n_bytes = np.zeros((n, 4), np.uint8), -(-width // 8)
     if width:
-        values[:, :width] = np.unpackbits(np.frombuffer(raw, np.uint8, size, at), bitorder="little")[: n * width].reshape(n, width)
-    ids = np.packbits(values, axis=1, bitorder="little").view("<u4").reshape(-1).copy()
+        bits = np.zeros((n, 8 * n_bytes), np.uint8)
+        bits[:, :width] = np.unpackbits(np.frombuffer(raw, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
+        values[:, :n_bytes] = np.packbits(bits.reshape(-1), bitorder="little").reshape(n, n_bytes)
+    ids = values.view("<u4").reshape(-1)
     at += size
     ids[np.frombuffer(raw, "<u2", exceptions, at)] = np.frombuffer(raw, "<u4", exceptions, at + 2 * exceptions)
     return ids + np.uint32(low), at + 6 * exceptions
