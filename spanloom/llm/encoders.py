@@ -31,6 +31,8 @@ _PLAIN = ".,;:!?|*$%&#()"
 MAX_KEPT = 300_000
 #: Stretches whose ids are put behind each other at once.
 AT_ONCE = 1 << 18
+#: Characters of the texts whose stretches are in memory at once, as some ten times as many bytes, one text at least.
+SLICE_CHARS = 1 << 19
 
 _AFTER = f"(?![^{_WHITE}{_PLAIN}])"
 SPACED = re.compile(f"[{_WHITE}]*+(?:[{_LETTERS}]++{_AFTER}|[^{_WHITE}]++)|[{_WHITE}]++")
@@ -38,18 +40,25 @@ UNSPACED = re.compile(f"[{_LETTERS}]+{_AFTER}|[^{_WHITE}]+")
 _WHITES = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{_WHITE}]", c))
 
 
+def _room(held: np.ndarray, n: int) -> np.ndarray:
+    """The array, or a copy a quarter longer than ``n`` if it is shorter than that."""
+    return held if n <= len(held) else np.concatenate([held, np.zeros(n + n // 4 - len(held), held.dtype)])
+
+
 class Kept:
     """Stretches and their ids, which stand behind each other in one array."""
 
     def __init__(self, dtype: str):
         self.place: dict[str, int] = {}
-        self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, dtype)
+        self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, dtype)  # longer than what they hold, so that few additions move them
 
     def add(self, stretches: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n = len(self.place)
-        self.place.update(zip(stretches, range(n, n + len(stretches)), strict=True))
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(lengths)])
-        self.ids = np.concatenate([self.ids, ids])
+        n, m = len(self.place), len(stretches)
+        self.place.update(zip(stretches, range(n, n + m), strict=True))
+        end = int(self.first[n])
+        self.first, self.ids = _room(self.first, n + m + 1), _room(self.ids, end + len(ids))
+        self.first[n + 1 : n + m + 1] = end + np.cumsum(lengths)
+        self.ids[end : end + len(ids)] = ids
 
     def lengths(self, places: np.ndarray) -> np.ndarray:
         return self.first[places + 1] - self.first[places]
@@ -118,7 +127,18 @@ class Encoder:
             self.kept.add(alone[k : k + 4096], np.array(list(chain.from_iterable(ids)), self.dtype), np.array([len(x) for x in ids], np.int64))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian bytes of ``dtype``.
+        """Ids of each text as little-endian bytes of ``dtype``."""
+        out: list[bytes] = []
+        first, size = 0, 0
+        for i, x in enumerate(texts):
+            if i > first and size + len(x) > SLICE_CHARS:
+                out += self._encode_slice(texts[first:i])
+                first, size = i, 0
+            size += len(x)
+        return out + self._encode_slice(texts[first:])
+
+    def _encode_slice(self, texts: list[str]) -> list[bytes]:
+        """Ids of some texts, whose stretches are all in memory at once.
 
         Stretches are kept in two generations: those in use move to the younger one, and the older one is
         dropped when the younger is full, so frequent stretches stay.

@@ -34,6 +34,24 @@ def test_words_need_no_mark_between_them():
     assert [encoder.kept.ids_of(np.array([encoder.kept.place[x]]))[0].tolist() for x in words] == [encoder.tokenizer.encode(x, add_special_tokens=False).ids for x in words]
 
 
+def test_a_batch_is_not_in_memory_as_stretches_at_once():
+    import tracemalloc
+
+    from spanloom.llm.encoders import Encoder
+
+    encoder = Encoder("word_bpe_49k.json", False)
+    draw = random.Random(5)
+    texts = [" ".join(f"w{draw.randrange(2000)}" for _ in range(600)) for _ in range(1000)]
+    encoder.encode(texts[:50])
+    tracemalloc.start()
+    ids = encoder.encode(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 32e6, most  # 3 MB of texts in small words: 600,000 stretches
+    assert [ids[i] for i in (0, 499, 999)] == [x for i in (0, 499, 999) for x in encoder.encode([texts[i]])]
+    assert encoder.encode([]) == []
+
+
 @pytest.mark.parametrize("width", range(33))
 def test_blocks_of_every_width(width):
     from spanloom.llm.pfor import BLOCK, pack_blocks, unpack_block
