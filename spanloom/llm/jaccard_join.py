@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import text as tx
 from spanloom.llm.components import connected_components
-from spanloom.llm.store import discard, materialize
+from spanloom.llm.store import discard, materialize, tasks_for
 
 SKETCH_BITS, SKETCH_PARTS = 21, 64
 MAX_MATCHES = 4
@@ -236,12 +236,13 @@ def _of_class(found: DataFrame, classes: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame, shingle: int, percent: int, digests: bool) -> tuple[DataFrame, DataFrame]:
     """All rows (doc_id, digest, n, cls), and each class's component: cls, copies, all_rows, first (its row to stay)."""
     scanned = materialize(document_sets(docs, shingle, digests), "sets")
+    scans = max(docs.sparkSession.sparkContext.defaultParallelism, len(scanned.inputFiles()))  # tasks that have read the documents; what has no more rows is written by so many
     members = scanned.where("part IS NULL").select("doc_id", "digest", "n", "cls")
     sketch = frequency_sketch(scanned.where("part IS NOT NULL").select("part", "counts"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest"))
     classes = members.where("n > 0").groupBy("cls").agg(least.alias("first"), F.first("n").alias("n"), F.count("*").alias("copies"))
-    classes = materialize(classes.withColumns({"id": F.monotonically_increasing_id(), "rep": F.col("first.doc_id")}), "classes")  # the written id is what all later steps read
-    labels = _link_classes(docs, classes, sketch, shingle, percent)
+    classes = materialize(classes.withColumns({"id": F.monotonically_increasing_id(), "rep": F.col("first.doc_id")}).coalesce(scans), "classes")  # the written id is what all later steps read
+    labels = _link_classes(docs, classes, sketch, shingle, percent, scans)
     named = labels.join(classes, labels.node == classes.id).select("cls", "component", "first")
     names = named.groupBy("component").agg(F.min("first").alias("least"))
     by_class = classes.select("cls", "copies", "first").join(named.join(names, "component").select("cls", "least"), "cls", "left")
@@ -319,42 +320,42 @@ def _in_one_list(rows: DataFrame, lead: DataFrame) -> tuple[DataFrame, DataFrame
     return rows, lead, F.coalesce(F.array_min(F.transform(F.array_intersect("held", "led"), draw)), draw("token")) == draw("token")
 
 
-def _link_classes(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """(node, component) of the ids of all classes that have a link."""
+def _link_classes(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, shingle: int, percent: int, scans: int) -> DataFrame:
+    """(node, component) of the ids of all classes that have a link. ``scans``: tasks that read the documents."""
     prefix = _of_class(prefixes(docs, sketch, shingle, percent).where("n > 0"), classes)
-    prefix = materialize(prefix.select("id", "n", "matches", "prefix", *MARKS), "prefixes")
+    prefix = materialize(prefix.select("id", "n", "matches", "prefix", *MARKS).coalesce(scans), "prefixes")
     marked = prefix.select("id", "n", F.size("prefix").alias("pn"), *MARKS)
     side = lambda k: marked.select(*(F.col(c).alias(k + c) for c in marked.columns))
     posting = prefix.select(F.posexplode("prefix").alias("pos", "token"), "id", "n")
     shared = posting.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     slim = ["token", "id", "n", "pos", "m"]
-    lists = materialize(posting.join(shared, "token").select(*slim), "lists")
+    lists = materialize(posting.join(shared, "token").select(*slim).coalesce(scans), "lists")
     open_lists, labels, turn, leaders = lists.withColumns({"component": F.col("id"), "main": F.lit(-1).cast("long")}), None, 0, 1
     while True:
+        tasks = tasks_for(open_lists)
         leaders = FIRST_LEADERS[turn] if turn < len(FIRST_LEADERS) else leaders * MORE_LEADERS
-        # in the first round the bitmaps are held against distinct pairs, later on against the few rows of open lists
-        rows = open_lists if not turn else open_lists.drop("n").join(marked, "id")
-        more = [] if not turn else ["pn", *MARKS]
-        may_lead = rows if turn < len(FIRST_LEADERS) else rows.where("component <> main")
-        order = F.struct(F.xxhash64("id").alias("h"), "id", "n", "pos", "component", *more)
+        may_lead = open_lists if turn < len(FIRST_LEADERS) else open_lists.where("component <> main")
+        order = F.struct(F.xxhash64("id").alias("h"), "id", "n", "pos", "component")
         lead = may_lead.groupBy("token", F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("part")).agg(F.min(order).alias("l"))
-        lead = lead.select("token", F.col("l.id").alias("leader"), *(F.col(f"l.{c}").alias(f"l{c}") for c in ("n", "pos", "component", *more)))
-        lead = materialize(lead, "lead") if turn else lead
+        lead = lead.select("token", F.col("l.id").alias("leader"), *(F.col(f"l.{c}").alias(f"l{c}") for c in ("n", "pos", "component")))
+        lead = materialize(lead.coalesce(tasks), "lead") if turn else lead
         near = (F.col("id") != F.col("leader")) & (F.col("component") != F.col("lcomponent")) & (100 * F.least("n", "ln") >= percent * F.greatest("n", "ln"))
         # shingles have one order, so a shared one at these places leaves that many that can be common
         most = F.least("pos", "lpos") + F.least(F.col("n") - F.col("pos"), F.col("ln") - F.col("lpos"))
         near = near & ((100 + percent) * most >= percent * (F.col("n") + F.col("ln")))
-        leading = lead
-        if turn:
-            rows, leading, drawn = _in_one_list(rows, lead)
+        rows, leading = open_lists, lead
+        if turn:  # in the first round the bitmaps are held against distinct pairs, later on against the few rows of open lists
+            bits = ["pn", *MARKS]
+            led = marked.select(F.col("id").alias("leader"), *(F.col(c).alias(f"l{c}") for c in bits))
+            rows, leading, drawn = _in_one_list(rows.join(marked.select("id", *bits), "id"), lead.join(led, "leader"))
             near = near & _alike("", "l", percent) & drawn
         met = rows.join(leading, "token").where(near).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         if not turn:
             met = met.join(side("a"), F.col("a") == F.col("aid")).join(side("b"), F.col("b") == F.col("bid")).where(_alike("a", "b", percent)).select("a", "b")
-        pairs = materialize(_enough_shared(met, prefix, percent), "pairs")
-        wanted = materialize(classes.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id").select("id", "cls", "rep"), "wanted")
-        sets = materialize(sets_of(docs, wanted, shingle), "members")
-        links = _verify(pairs, sets, percent)
+        pairs = materialize(_enough_shared(met, prefix, percent).coalesce(scans), "pairs")
+        wanted = materialize(classes.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id").select("id", "cls", "rep").coalesce(scans), "wanted")
+        sets = materialize(sets_of(docs, wanted, shingle).coalesce(scans), "members")
+        links = _verify(pairs, sets, percent).coalesce(tasks_for(pairs, sets))
         before = labels
         if before is not None:  # earlier links, as stars
             links = links.union(before.select(F.col("node").alias("a"), F.col("component").alias("b")))
@@ -362,10 +363,13 @@ def _link_classes(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, shing
         rest = (open_lists if turn else open_lists.where("m > 2")).select(*slim)
         rest = rest.join(lead.select("token", F.col("leader").alias("id")), ["token", "id"], "left_anti")
         rest = rest.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        rest = materialize(rest, "rest")
-        by_component = rest.groupBy("token", "component").agg(F.count("*").alias("k"))
-        largest = by_component.groupBy("token").agg(F.count("*").alias("apart"), F.max(F.struct("k", "component"))["component"].alias("main")).where("apart > 1")
-        after = materialize(rest.join(largest.select("token", "main"), "token").select(*slim, "component", "main"), "open")
+        rest = materialize(rest.coalesce(tasks), "rest")
+        if turn + 1 < len(FIRST_LEADERS):
+            apart = rest.groupBy("token").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one < other").withColumn("main", F.lit(-1).cast("long"))
+        else:
+            by_component = rest.groupBy("token", "component").agg(F.count("*").alias("k"))
+            apart = by_component.groupBy("token").agg(F.count("*").alias("apart"), F.max(F.struct("k", "component"))["component"].alias("main")).where("apart > 1")
+        after = materialize(rest.join(apart.select("token", "main"), "token").select(*slim, "component", "main").coalesce(tasks), "open")
         discard(pairs, wanted, sets, before, rest, open_lists if turn else lists, lead if turn else None)
         open_lists, turn = after, turn + 1
         if not open_lists.limit(1).count():

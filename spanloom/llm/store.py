@@ -28,6 +28,14 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def tasks_for(*tables: DataFrame) -> int:
+    """As many tasks as Spark takes to read the largest of some written tables, one for each core at least.
+
+    A table of no more rows than these is written by so many: small ones do not become a file for each partition of a shuffle.
+    """
+    return max(tables[0].sparkSession.sparkContext.defaultParallelism, *(t.rdd.getNumPartitions() for t in tables))
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back: later reads don't recompute it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
