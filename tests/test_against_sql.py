@@ -66,3 +66,11 @@ def test_slots_of_equal_fragments_do_not_depend_on_order(spark):
     for order in (rows, rows[::-1], rows[4:] + rows[:4]):
         frame = spark.createDataFrame(order, "k long, start long, end long, left double, right double")
         assert [tuple(r) for r in merged(frame, ["k"]).collect()] == [(1, 0, 20, 0.0, 3.0)]
+
+
+def test_slots_without_length_own_nothing(spark, tmp_path):
+    # a view of no length lies within user 7's purchase alone, and within user 8's beside a proper one
+    found = [(1, 0, 7, "purchase", 50, 1), (2, 600, 7, "view", 0.01, 40), (3, 0, 8, "purchase", 60, 1), (4, 300, 8, "view", 0, 40), (5, 3000, 8, "view", 5, 40)]
+    events(tmp_path, found)
+    mine, theirs = both(spark, tmp_path, "seq_slot_owned")
+    assert mine == theirs and len(theirs) == 2
