@@ -43,7 +43,7 @@ def _proper(spans: DataFrame) -> DataFrame:
 
 def _enclosing(chosen: DataFrame, vetoes: DataFrame, keys: Sequence[str], bucket: int) -> DataFrame:
     """keys, id of chosen slots (start, end, core_start, core_end) that take in a vetoed stretch which the span itself does not touch."""
-    met = overlap_join(chosen, vetoes.select(*keys, "start", "end"), keys, bucket)
+    met = overlap_join(chosen, _proper(vetoes).select(*keys, "start", "end"), keys, bucket)
     outside = ~((F.col("a.core_start") < F.col("b.end")) & (F.col("b.start") < F.col("a.core_end")))
     return met.where(outside).select(*keys, F.col("a.id").alias("id")).distinct().withColumn("_veto", F.lit(True))
 

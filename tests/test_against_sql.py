@@ -74,3 +74,13 @@ def test_slots_without_length_own_nothing(spark, tmp_path):
     events(tmp_path, found)
     mine, theirs = both(spark, tmp_path, "seq_slot_owned")
     assert mine == theirs and len(theirs) == 2
+
+
+def test_vetoes_without_length_veto_nothing(spark, tmp_path):
+    hour = 3600
+    slot = [(1, 10 * hour, 7, "purchase", 60, 1), (2, 9 * hour, 7, "click", 90, 1), (3, 12 * hour, 7, "click", 90, 1), (4, 9 * hour + 1800, 7, "view", 100, 40)]
+    for length, vetoed in ((0.01, False), (1, True)):
+        events(tmp_path, [*slot, (5, 9 * hour + 2000, 7, "error", length, 1)])
+        for name in ("seq_slot_resolve", "seq_slot_owned"):
+            mine, theirs = both(spark, tmp_path, name)
+            assert mine == theirs and ("vetoNewlyEnclosed" in next(iter(theirs))) == vetoed
