@@ -54,7 +54,7 @@ def owned(spans: DataFrame, slots: DataFrame, vetoes: DataFrame, keys: Sequence[
     A slot that covers less than ``least`` of the span counts only if it lies within it and no other slot meets it. ``reason``
     tells why a span has no slot; its slot is then the best there was.
     """
-    met = overlap_join(spans, _proper(slots), keys, bucket)
+    met = overlap_join(_proper(spans), _proper(slots), keys, bucket)
     length = F.col("a.end") - F.col("a.start")
     shared = F.least("a.end", "b.end") - F.greatest("a.start", "b.start")
     best = met.groupBy(*keys, F.col("a.id").alias("id")).agg(F.count("*").alias("_n"), F.min(F.struct((-shared).alias("s"), F.col("b.start").alias("start"), F.col("b.end").alias("end"), F.col("b.left").alias("left"), F.col("b.right").alias("right"), length.alias("length"))).alias("_b"))

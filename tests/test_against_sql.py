@@ -84,3 +84,9 @@ def test_vetoes_without_length_veto_nothing(spark, tmp_path):
         for name in ("seq_slot_resolve", "seq_slot_owned"):
             mine, theirs = both(spark, tmp_path, name)
             assert mine == theirs and ("vetoNewlyEnclosed" in next(iter(theirs))) == vetoed
+
+
+def test_spans_without_length_have_no_owner(spark, tmp_path):
+    events(tmp_path, [(1, 0, 7, "view", 60, 40), (2, 600, 7, "purchase", 0.01, 1), (3, 700, 7, "purchase", 5, 1)])
+    mine, theirs = both(spark, tmp_path, "seq_slot_owned")
+    assert mine == theirs and len(theirs) == 2
