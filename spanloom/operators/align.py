@@ -63,28 +63,30 @@ def runs(a: DataFrame, b: DataFrame, keys: Sequence[str], least_bytes: int = LEA
     A stretch is made of tiles that are equal at one distance, and of the bytes that the tiles on its two ends share.
     Tiles of a are looked up once for each distance at which the pair has an anchor: few, where one is an edit of the other.
     """
-    found = anchors(a, b, keys).withColumn("delta", F.col("a_off") - F.col("b_off"))
-    deltas = written(found.groupBy(*keys, "delta").agg(F.count("*").alias("n")), "deltas")
+    found = written(anchors(a, b, keys).select(*keys, (F.col("a_off") - F.col("b_off")).alias("delta"), F.col("a_off").alias("offset")), "anchors")
+    deltas = found.select(*keys, "delta").distinct()
     tile = ["offset", "length", "digest"]
-    moved = a.select(*keys, *tile).join(deltas.select(*keys, "delta"), list(keys)).withColumn("b_off", F.col("offset") - F.col("delta"))
+    moved = a.select(*keys, *tile).join(deltas, list(keys)).withColumn("b_off", F.col("offset") - F.col("delta"))
     there = b.select(*keys, F.col("offset").alias("b_off"), "length", "digest")
-    equal = moved.join(there, [*keys, "b_off", "length", "digest"]).join(found.select(*keys, "delta", F.col("a_off").alias("offset"), F.lit(1).alias("anchor")), [*keys, "delta", "offset"], "left")
+    equal = moved.join(there, [*keys, "b_off", "length", "digest"]).join(found.withColumn("anchor", F.lit(1)), [*keys, "delta", "offset"], "left")
     order = Window.partitionBy(*keys, "delta").orderBy("offset")
     apart = F.coalesce(F.col("offset") != F.lag(F.col("offset") + F.col("length")).over(order), F.lit(True))
     islands = equal.withColumn("_new", apart.cast("int")).withColumn("_run", F.sum("_new").over(order)).groupBy(*keys, "delta", "_run")
     whole = islands.agg(F.min("offset").alias("a_start"), F.max(F.col("offset") + F.col("length")).alias("a_end"), F.max("anchor").alias("anchor")).where("anchor = 1").drop("_run", "anchor")
     whole = written(whole.withColumns({"b_start": F.col("a_start") - F.col("delta"), "b_end": F.col("a_end") - F.col("delta")}), "runs")
 
-    def tile_at(side: DataFrame, name: str, place: Column, column: str) -> DataFrame:
-        return side.select(*keys, place.alias(column), F.col("bytes").alias(name))
-
-    start, end = F.col("offset"), F.col("offset") + F.col("length")
-    edges = whole
-    for side, name, place, column in ((a, "a_next", start, "a_end"), (b, "b_next", start, "b_end"), (a, "a_prior", end, "a_start"), (b, "b_prior", end, "b_start")):
-        edges = edges.join(_only(tile_at(side, name, place, column), whole, keys, column), [*keys, column], "left")
-    grown = edges.withColumns({"_right": _common_prefix("a_next", "b_next"), "_left": _common_prefix(F.reverse(F.hex("a_prior")).cast("binary"), F.reverse(F.hex("b_prior")).cast("binary"))})
-    left = F.floor(F.col("_left") / 2)
-    out = grown.select(*keys, (F.col("a_start") - left).alias("a_start"), (F.col("b_start") - left).alias("b_start"), (F.col("a_end") - F.col("a_start") + left + F.col("_right")).alias("bytes"))
+    def beside(end: str, place: Column, content: Column, name: str) -> DataFrame:
+        """At one end of runs the bytes that the tiles there share. Only their number goes on."""
+        places = [f"a_{end}", f"b_{end}"]
+        tile_at = lambda side, at: _only(side.select(*keys, place.alias(at), content.alias(f"{at}_bytes")), whole, keys, at)
+        both = whole.select(*keys, *places).join(tile_at(a, places[0]), [*keys, places[0]]).join(tile_at(b, places[1]), [*keys, places[1]])
+        return both.select(*keys, *places, _common_prefix(*(f"{at}_bytes" for at in places)).alias(name))
+
+    after = beside("end", F.col("offset"), F.col("bytes"), "_right")
+    before = beside("start", F.col("offset") + F.col("length"), F.reverse(F.hex("bytes")).cast("binary"), "_left")
+    grown = whole.join(after, [*keys, "a_end", "b_end"], "left").join(before, [*keys, "a_start", "b_start"], "left")
+    left, right = F.floor(F.coalesce("_left", F.lit(0)) / 2), F.coalesce("_right", F.lit(0))
+    out = grown.select(*keys, (F.col("a_start") - left).alias("a_start"), (F.col("b_start") - left).alias("b_start"), (F.col("a_end") - F.col("a_start") + left + right).alias("bytes"))
     return out.where(F.col("bytes") >= least_bytes)
 
 
@@ -133,8 +135,11 @@ SLOT_KINDS = ("head", "tail", "replaced", "removed_in_b", "inserted_in_b")
 def slots(a: DataFrame, b: DataFrame, keys: Sequence[str], key_types: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """What lies between the common runs of two streams, in bytes and seconds of a: keys, kind, a_start, a_end, a_bytes, b_bytes, start, end, left_flank, right_flank.
 
-    A pair without a common run has no slots. Flanks are the seconds of the runs on both sides, 0 at the streams' ends.
+    A pair without a common run has no slots. Flanks are the seconds of the runs on both sides, 0 at the streams' ends. Tiles are
+    made once, of both sides in one go, as they are read a dozen times: mostly without their bytes.
     """
+    tiles = written(a.withColumn("_side", F.lit(0)).unionByName(b.withColumn("_side", F.lit(1))), "tiles", codec="zstd")
+    a, b = (tiles.where(F.col("_side") == side).drop("_side") for side in (0, 1))
     chained = chain(runs(a, b, keys, least_bytes), keys, key_types).where("place IS NOT NULL")
     chained = written(chained.withColumns({"a_end": F.col("a_start") + F.col("bytes"), "b_end": F.col("b_start") + F.col("bytes")}), "chain")
     ends = lambda side, name: side.groupBy(*keys).agg(F.max("leading").alias(f"{name}_lead"), F.max("size").alias(f"{name}_size"))

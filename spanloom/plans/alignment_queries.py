@@ -11,21 +11,21 @@ from spanloom.sources.frames import read_tiles
 
 # a frame: its header (128 kbit/s, 44,100 Hz) and 413 bytes, in hexadecimal
 _HEAD, _ROOM = "FFFB9064", 826
+_FRAME = 417
 _KEYS = ["doc_id"]
 
 
 def _versions(spark, sf_dir):
     """doc_id, a, b: both versions of every document's stream."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("x"))
-    size = F.ceil(F.length("x") / _ROOM).cast("int")
-    frame = lambda i: F.concat(F.lit(_HEAD), F.rpad(F.substring("x", i * _ROOM + 1, F.lit(_ROOM)), _ROOM, "0"))
-    framed = docs.select("doc_id", F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), frame)).otherwise(F.array().cast("array<string>")).alias("f"))
-    other = lambda n: framed.select((F.col("doc_id") - n).alias("doc_id"), F.array_join("f", "").alias(f"m{n}"))
+    padded = F.rpad("x", F.ceil(F.length("x") / _ROOM).cast("int") * _ROOM, F.lit("0"))
+    # all headers in one go: a frame cut out by its place would read the text from its beginning
+    framed = docs.select("doc_id", F.unhex(F.regexp_replace(padded, f"(.{{{_ROOM}}})", f"{_HEAD}$1")).alias("f"))
+    other = lambda n: framed.select((F.col("doc_id") - n).alias("doc_id"), F.col("f").alias(f"m{n}"))
     both = framed.join(other(1), "doc_id", "left").join(other(2), "doc_id", "left")
-    half = F.floor(F.size("f") / 2).cast("int")
-    part = lambda a, n: F.array_join(F.slice("f", a, n), "")
-    whole = lambda m: F.unhex(F.concat(part(F.lit(1), half), F.coalesce(m, F.lit("")), part(half + 1, F.size("f") - half)))
-    return both.select("doc_id", whole("m1").alias("a"), whole("m2").alias("b"))
+    half = F.floor(F.length("f") / (2 * _FRAME)).cast("int") * _FRAME
+    whole = lambda m: F.concat(F.substring("f", F.lit(1), half), F.coalesce(m, F.lit(b"")), F.substring("f", half + 1, F.length("f")))
+    return both.select("doc_id", whole(F.col("m1")).alias("a"), whole(F.col("m2")).alias("b"))
 
 
 def byte_align(spark, sf_dir):

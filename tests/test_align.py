@@ -129,3 +129,44 @@ def test_only_tiles_at_points_are_sent_on(spark):
     got = [r.a_end for r in al._only(side, points, ["k"], "a_end").collect()]
     assert {7, 1007, 2007, 3007, 4007} <= set(got) and len(got) < 50 and len(got) == len(set(got))
     assert al._only(side, points.limit(0), ["k"], "a_end").count() == 0
+
+
+def test_tiles_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rng = random.Random(3)
+    files = spark.createDataFrame([(k, *pair(rng)) for k in range(4)], "k int, a binary, b binary")
+    a, b = (frames.read_tiles(files, ["k"], "k int", side) for side in ("a", "b"))
+    tiles = a.count() + b.count()
+    assert align.slots(*(t.mapInArrow(counted, t.schema) for t in (a, b)), ["k"], "k int", least_bytes=900).count() > 0
+    assert made.value == tiles
+
+
+def test_tiles_of_many_files(spark):
+    sizes = {1: 3, 2: frames.BATCH_TILES + 5, 3: 0, 4: 2}
+    files = spark.createDataFrame([(k, (HEADER + bytes(413)) * n) for k, n in sizes.items()], "k int, content binary").coalesce(1)
+    got: dict = {}
+    for t in frames.read_tiles(files, ["k"], "k int").select("k", "offset", "length", "size").collect():
+        got.setdefault(t.k, []).append(tuple(t)[1:])
+    assert got == {k: [(417 * i, 417, 417 * n) for i in range(n)] for k, n in sizes.items() if n}
+
+
+def test_streams_of_texts(spark, tmp_path):
+    from spanloom.plans import alignment_queries
+
+    texts = ["", "x" * 412, "y" * 413, "é" * 207, None, "z" * 2000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    framed = []
+    for text in texts:
+        raw = (text or "").encode()
+        framed.append([HEADER + raw[i : i + 413].ljust(413, b"\0") for i in range(0, len(raw), 413)])
+    for r in alignment_queries._versions(spark, str(tmp_path)).collect():
+        own, half = framed[r.doc_id], len(framed[r.doc_id]) // 2
+        for got, n in ((r.a, 1), (r.b, 2)):
+            middle = framed[r.doc_id + n] if r.doc_id + n < len(framed) else []
+            assert bytes(got) == b"".join([*own[:half], *middle, *own[half:]])
