@@ -12,6 +12,8 @@ from spanloom.sources.frames import read_tiles
 # a frame: its header (128 kbit/s, 44,100 Hz) and 413 bytes, in hexadecimal
 _HEAD, _ROOM = "FFFB9064", 826
 _FRAME = 417
+#: Ids of documents that are put together with those behind them.
+_BLOCK = 16
 _KEYS = ["doc_id"]
 
 
@@ -21,8 +23,14 @@ def _versions(spark, sf_dir):
     padded = F.rpad("x", F.ceil(F.length("x") / _ROOM).cast("int") * _ROOM, F.lit("0"))
     # all headers in one go: a frame cut out by its place would read the text from its beginning
     framed = docs.select("doc_id", F.unhex(F.regexp_replace(padded, f"(.{{{_ROOM}}})", f"{_HEAD}$1")).alias("f"))
-    other = lambda n: framed.select((F.col("doc_id") - n).alias("doc_id"), F.col("f").alias(f"m{n}"))
-    both = framed.join(other(1), "doc_id", "left").join(other(2), "doc_id", "left")
+    # a document, the next and the next but one come together in blocks of ids, so that each text is sent about once
+    block = lambda doc: F.floor(doc / _BLOCK)
+    dealt = framed.select(F.explode(F.array_distinct(F.array(*(block(F.col("doc_id") - n) for n in range(3))))).alias("block"), F.struct("doc_id", "f").alias("d"))
+    blocks = dealt.groupBy("block").agg(F.collect_list("d").alias("all"))
+    own = F.filter("all", lambda d: block(d["doc_id"]).eqNullSafe(F.col("block")))
+    later = lambda d, n: F.transform(F.filter("all", lambda o: o["doc_id"] == d["doc_id"] + n), lambda o: o["f"])
+    near = blocks.select(F.inline(F.transform(own, lambda d: F.struct(d["doc_id"].alias("doc_id"), d["f"].alias("f"), later(d, 1).alias("next"), later(d, 2).alias("last")))))
+    both = near.select("doc_id", "f", F.explode_outer("next").alias("m1"), "last").select("doc_id", "f", "m1", F.explode_outer("last").alias("m2"))
     half = F.floor(F.length("f") / (2 * _FRAME)).cast("int") * _FRAME
     whole = lambda m: F.concat(F.substring("f", F.lit(1), half), F.coalesce(m, F.lit(b"")), F.substring("f", half + 1, F.length("f")))
     return both.select("doc_id", whole(F.col("m1")).alias("a"), whole(F.col("m2")).alias("b"))
